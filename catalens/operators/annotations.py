@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +123,3 @@ def activity(annotations: DataFrame, *, at: str = "created_at") -> DataFrame:
     """Annotations per author and day."""
     return annotations.groupBy("author", F.to_date(at).alias("day")).agg(F.count("*").alias("annotations"))
 
-
-def union_by_author(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .materialize import materialize
 
+SMALL_ROWS = 200_000  # a table of at most this many rows may be ordered in one task
 BLOCK = "_block"
 _POSITION = "_position"
 _POSITION_BITS = 33  # monotonically_increasing_id: partition in the upper 31 bits, row in the lower 33
@@ -24,6 +25,12 @@ def _columns(items: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
 
 
+def staged(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Write an aggregate once and tell whether it is small enough to be ordered in one task."""
+    table = materialize(df, "aggregate")
+    return table, table.count() <= SMALL_ROWS
+
+
 def range_blocks(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Sort ``df`` by ``order`` across blocks; adds ``_block`` and the row's 0-based ``_position`` in it."""
     keys = _columns(order)
@@ -68,15 +75,19 @@ def running(
     maxima: dict[str, str | Column] | None = None,
     last: dict[str, str | Column] | None = None,
     prior: bool = False,
+    small: bool = False,
 ) -> DataFrame:
     """Running sums, maxima and last non-null values per ``partition`` in ``order``.
 
     The frame is every row up to and including the current one, or strictly before it with ``prior``.
     Equal order keys are treated as separate rows, so give a unique order inside each partition. Sums keep
-    the type of their input column.
+    the type of their input column. ``small`` says that the row count was checked (see ``staged``); a
+    plain window does then.
     """
     sums, maxima, last = sums or {}, maxima or {}, last or {}
     partition = list(partition)
+    if small:
+        return _running_small(df, order, partition, sums, maxima, last, prior)
     staged = df
     for name, value in {**sums, **maxima, **last}.items():
         staged = staged.withColumn(f"_in_{name}", F.col(value) if isinstance(value, str) else value)
@@ -124,6 +135,21 @@ def running(
     return out.select(*result)
 
 
+def _running_small(df, order, partition, sums, maxima, last, prior) -> DataFrame:
+    window = (Window.partitionBy(*partition) if partition else Window).orderBy(*_columns(order))
+    frame = window.rowsBetween(Window.unboundedPreceding, -1 if prior else 0)
+    new = {}
+    for name, value in sums.items():
+        value = F.col(value) if isinstance(value, str) else value
+        kind = df.select(value.alias("v")).schema["v"].dataType
+        new[name] = F.coalesce(F.sum(value).over(frame), F.lit(0)).cast(kind)
+    for name, value in maxima.items():
+        new[name] = F.max(value).over(frame)
+    for name, value in last.items():
+        new[name] = F.last(value, ignorenulls=True).over(frame)
+    return df.withColumns(new)
+
+
 def exact_percentiles(
     df: DataFrame, value: str, probabilities: Sequence[float], *, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -133,8 +159,10 @@ def exact_percentiles(
     all values of a group (the built-in exact ``percentile`` does).
     """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranked = running(counts, [value], partition=by, sums={"_upto": "_n"})
+    counts, small = staged(
+        df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    )
+    ranked = running(counts, [value], partition=by, sums={"_upto": "_n"}, small=small)
     ranked = ranked.withColumn("_from", F.col("_upto") - F.col("_n"))
     if by:
         totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
