@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalog", "rules"]
+MODULES = ["catalog", "rules", "text"]
 
 
 def registries():

@@ -154,14 +154,14 @@ def _(t):
 @R.add(
     "src_query_store",
     """SELECT 'main' AS database, o.schema, o.object_name, CAST(SUM(r.count_executions) AS BIGINT) AS execution_count,
-      MAX(r.last_execution_time) AS last_execution_time, ROUND(AVG(r.avg_duration) / 1000, 9) AS avg_duration_ms,
-      ROUND(SUM(r.avg_cpu_time * r.count_executions) / 1000, 9) AS total_cpu_ms
+      MAX(r.last_execution_time) AS last_execution_time, ROUND(AVG(r.avg_duration) / 1000, 11) AS avg_duration_ms,
+      ROUND(SUM(r.avg_cpu_time * r.count_executions) / 1000, 11) AS total_cpu_ms
     FROM {qs_queries} q JOIN {qs_plans} p ON q.query_id = p.query_id JOIN {qs_runtime} r ON p.plan_id = r.plan_id
     JOIN {qs_objects} o ON q.object_id = o.object_id
     WHERE q.object_id > 0 AND o.schema IS NOT NULL GROUP BY o.schema, o.object_name, q.object_id""",
 )
 def _(t):
-    return rounded(sv.query_store_stats(t("qs_queries"), t("qs_plans"), t("qs_runtime"), t("qs_objects")), 9)
+    return rounded(sv.query_store_stats(t("qs_queries"), t("qs_plans"), t("qs_runtime"), t("qs_objects")), 11)
 
 
 @R.add(

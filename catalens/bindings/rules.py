@@ -53,8 +53,8 @@ ROLE_SQL = """CASE
 NODES = {
     "nodes": f"""SELECT *, 'app:' || database || '.' || table_name || '.' || column_name AS id, {ROLE_SQL} AS semantic_role,
       profiled_rows > 0 AS p FROM {{catalog_columns}}""",
-    "reviewed": """SELECT *, array_to_string(list_filter([CASE WHEN semantic_role = 'Unclassified' THEN 'unclassified_role' END,
-        CASE WHEN null_rate > 0.5 THEN 'high_null_rate' END], x -> x IS NOT NULL), ',') AS reasons FROM {nodes}""",
+    "reviewed": """SELECT *, concat_ws(',', CASE WHEN semantic_role = 'Unclassified' THEN 'unclassified_role' END,
+        CASE WHEN null_rate > 0.5 THEN 'high_null_rate' END) AS reasons FROM {nodes}""",
     "facts": f"""SELECT database, schema, table_name, {DOMAIN_SQL} AS domain, MAX(row_count_estimate) AS row_count, COUNT(*) AS column_count,
         COUNT(*) FILTER (WHERE reasons <> '') AS columns_needing_review FROM {{reviewed}} GROUP BY database, schema, table_name""",
 }
@@ -168,8 +168,8 @@ def _(t):
 
 @R.add(
     "entity_review_status",
-    """SELECT database, schema, table_name, array_to_string(list_filter([CASE WHEN domain = 'UncategorizedDomain' THEN 'unclassified_domain' END,
-        CASE WHEN columns_needing_review > column_count * 0.3 THEN 'many_unclassified_columns' END], x -> x IS NOT NULL), ',') AS reasons,
+    """SELECT database, schema, table_name, concat_ws(',', CASE WHEN domain = 'UncategorizedDomain' THEN 'unclassified_domain' END,
+        CASE WHEN columns_needing_review > column_count * 0.3 THEN 'many_unclassified_columns' END) AS reasons,
       CASE WHEN domain = 'UncategorizedDomain' OR columns_needing_review > column_count * 0.3 THEN 'needs_review' ELSE 'auto_classified' END AS review_status
     FROM {facts}""",
     NODES,
@@ -311,9 +311,9 @@ def _(t):
     return graph.entities_in_domain(facts(t), "SalesDomain")
 
 
-@R.add("edges_from_table", f"SELECT * FROM ({EDGES_SQL}) e WHERE from_table = 'app:db7.OrderItem'")
+@R.add("edges_from_table", f"SELECT * FROM ({EDGES_SQL}) e WHERE from_table = 'app:db9.Customer'")
 def _(t):
-    return graph.edges_from_table(graph.relationships(t("catalog_columns"), RULES), "app:db7.OrderItem")
+    return graph.edges_from_table(graph.relationships(t("catalog_columns"), RULES), "app:db9.Customer")
 
 
 @R.add(
@@ -395,11 +395,11 @@ def _(t):
 
 @R.add(
     "exec_stats",
-    """SELECT database, object_name, execution_count, last_execution_time, ROUND(avg_duration_ms, 3) AS avg_duration_ms, total_cpu_ms FROM {per_object}""",
+    """SELECT database, object_name, execution_count, last_execution_time, ROUND(avg_duration_ms, 7) AS avg_duration_ms, total_cpu_ms FROM {per_object}""",
     USAGE,
 )
 def _(t):
-    return use.exec_stats(all_stats(t)).withColumn("avg_duration_ms", F.round("avg_duration_ms", 3))
+    return use.exec_stats(all_stats(t)).withColumn("avg_duration_ms", F.round("avg_duration_ms", 7))
 
 
 @R.add(
