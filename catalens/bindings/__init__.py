@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["catalog", "rules", "text"]
+MODULES = ["catalog", "rules", "text", "notes", "survival"]
 
 
 def registries():
