@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.materialize import materialize
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 VIEWS: dict[str, str] = {
@@ -198,12 +200,15 @@ def tables_in(sql: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", sql)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table or a view."""
+def table(spark: SparkSession, folder: str, name: str, staged: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A test table or a view; views in ``staged`` are taken from there."""
+    staged = staged or {}
+    if name in staged:
+        return staged[name]
     if name == "survival_base":
         return survival_base(spark, folder)
     if name in VIEWS:
-        return spark.sql(VIEWS[name], **{t: table(spark, folder, t) for t in tables_in(VIEWS[name])})
+        return spark.sql(VIEWS[name], **{t: table(spark, folder, t, staged) for t in tables_in(VIEWS[name])})
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -270,11 +275,16 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.sql: dict[str, str] = {}
 
-    def add(self, name: str, sql: str | None = None, extra: dict[str, str] | None = None):
+    def add(self, name: str, sql: str | None = None, extra: dict[str, str] | None = None, stage: tuple[str, ...] = ()):
+        """Register a query; the views in ``stage`` are written once because it reads them several times."""
+
         def register(make):
             def run(spark: SparkSession, folder: str) -> DataFrame:
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
-                return make(lambda t: table(spark, folder, t))
+                staged: dict[str, DataFrame] = {}
+                for view in stage:
+                    staged[view] = materialize(table(spark, folder, view, staged), view)
+                return make(lambda t: table(spark, folder, t, staged))
 
             self.queries[name] = run
             if sql is not None:

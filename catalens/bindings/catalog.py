@@ -87,7 +87,7 @@ def primary_keys(t):
     )
 
 
-R.add("src_primary_keys", PK_SQL)(primary_keys)
+R.add("src_primary_keys", PK_SQL, stage=("catalog_keyed",))(primary_keys)
 
 FK_SQL = """SELECT t.database, s.schema_name AS schema, t.table_name, c.column_name, fk.fk_name,
       rs.schema_name AS ref_schema, rt.table_name AS ref_table, rc.column_name AS ref_column
@@ -108,7 +108,7 @@ def foreign_keys(t):
     )
 
 
-R.add("src_foreign_keys", FK_SQL)(foreign_keys)
+R.add("src_foreign_keys", FK_SQL, stage=("catalog_keyed",))(foreign_keys)
 
 USAGE_SQL = """SELECT t.database, s.schema_name AS schema, t.table_name, MAX(last_user_seek) AS last_user_seek,
       MAX(last_user_scan) AS last_user_scan, MAX(last_user_lookup) AS last_user_lookup, MAX(last_user_update) AS last_user_update
@@ -194,6 +194,7 @@ def _(t):
     "scan_log_latest",
     """SELECT target, MAX(scanned_at) AS last_scan, COUNT(*) AS rows,
       (SELECT MAX(scanned_at) FROM {catalog_columns}) AS last_updated FROM {catalog_columns} GROUP BY target""",
+    stage=("catalog_columns",),
 )
 def _(t):
     cat = t("catalog_columns")
@@ -238,6 +239,7 @@ def snapshots(t):
 @R.add(
     "snapshot_latest",
     f"SELECT '2024-01-31_093000' AS snapshot_id, {CATALOG_COLUMNS} FROM {{catalog_columns}}",
+    stage=("catalog_columns",),
 )
 def _(t):
     return io.latest_snapshot(snapshots(t)).select("snapshot_id", *CATALOG_COLUMNS.split(", "))
@@ -249,6 +251,7 @@ def _(t):
       SELECT '2024-01-30' AS id, * FROM {catalog_columns} WHERE target = 't0' UNION ALL
       SELECT '2024-01-31' AS id, * FROM {catalog_columns} WHERE target <> 't2' UNION ALL
       SELECT '2024-01-31_093000' AS id, * FROM {catalog_columns}) s GROUP BY id""",
+    stage=("catalog_columns",),
 )
 def _(t):
     return io.snapshot_list(snapshots(t))
@@ -313,6 +316,7 @@ def assembled(t):
     LEFT JOIN ({FK_SQL}) fk ON c.database = fk.database AND c.schema = fk.schema AND c.table_name = fk.table_name AND c.column_name = fk.column_name
     LEFT JOIN ({USAGE_SQL}) u ON c.database = u.database AND c.schema = u.schema AND c.table_name = u.table_name
     WHERE c.schema NOT IN ('sys', 'INFORMATION_SCHEMA')""",
+    stage=("catalog_keyed",),
 )
 def _(t):
     return assembled(t)
@@ -377,9 +381,17 @@ def _(t):
     return rounded(profile.column_profiles(rows), 4)
 
 
-@R.add("profile_approx")
+@R.add(
+    "profile_approx",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) AS profiled_rows, true AS near_exact FROM lineitem" for c in LINEITEM),
+)
 def _(t):
-    return profile.column_profiles(t("lineitem"), approximate=True, extremes=True)
+    """The sketched counts, told apart only by lying within a tenth of the exact ones."""
+    lines = t("lineitem")
+    exact = profile.column_profiles(lines).select("column_name", F.col("distinct_count").alias("exact"))
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.1
+    sketched = profile.column_profiles(lines, approximate=True, extremes=True)
+    return sketched.join(exact, "column_name").select("column_name", "profiled_rows", near.alias("near_exact"))
 
 
 @R.add(

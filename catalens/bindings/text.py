@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, review
 from ..operators import sqltext as st
+from ..operators import usage as use
+from ..plans.materialize import spread
 from .base import Registry
-from .rules import RULES, USAGE, ranked
+from .rules import REFERENCE, RULES, USAGE, all_stats
 
 R = Registry()
 KEEP = ["database", "object_name"]
 
 
 def prepared(t):
-    return st.prepare(t("sql_objects"))
+    return st.prepare(spread(t("sql_objects")))
 
 
 def plain(name: str) -> str:
@@ -23,7 +25,7 @@ def plain(name: str) -> str:
 
 
 def re_(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
+    return "'" + pattern.replace("*+", "*").replace("'", "''") + "'"
 
 
 # The SQL side reads the raw texts: those of the test tables hold no comments, so only blanks collapse,
@@ -65,7 +67,7 @@ TEXT = {
     "filters": """SELECT database, object_name, CAST(ROW_NUMBER() OVER (PARTITION BY database, object_name ORDER BY wi, i) - 1 AS INT) AS position,
         g1 AS "column", CASE WHEN g2 <> '' THEN g2 WHEN g4 <> '' THEN 'LIKE' WHEN g5 <> '' THEN 'IN' WHEN g6 <> '' THEN 'BETWEEN' ELSE 'IS NULL' END AS operator,
         CASE WHEN g2 <> '' THEN substr(replace(g3, '''', ''), 1, 50) WHEN g4 <> '' THEN substr(replace(g4, '''', ''), 1, 50)
-          WHEN g5 <> '' THEN '(' || replace(g5, '''', '') || ')' WHEN g6 <> '' THEN g6 || ' AND ' || g7 ELSE 'NULL' END AS value_pattern
+          WHEN g5 <> '' THEN replace(g5, '''', '') WHEN g6 <> '' THEN g6 || ' AND ' || g7 ELSE 'NULL' END AS value_pattern
       FROM {conds}""",
     "ratios": f"""SELECT database, object_name, i, true AS is_ratio, regexp_extract(m, {re_(st.RATIO)}, 1) AS formula, NULLIF(regexp_extract(m, {re_(st.RATIO)}, 2), '') AS name
       FROM (SELECT database, object_name, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
@@ -231,9 +233,14 @@ def _(t):
 
 
 def scored(t, kind):
-    """Patterns of all objects with the importance of their object."""
-    objects = st.prepare(ranked(t))
-    return st.exploded(objects, kind, [*KEEP, "importance_score", "execution_count", "last_executed"])
+    """Patterns of all objects with the importance of their object.
+
+    The texts are mined where they are scanned; the patterns, not the texts, go through the join.
+    """
+    objects = prepared(t).withColumn("found", st.mined(kind))
+    rows = use.ranked_objects(objects, all_stats(t), F.lit(REFERENCE).cast("timestamp_ntz"), keep=("found",))
+    kept = [*KEEP, "importance_score", "execution_count", "last_executed", "found"]
+    return st.unnested(rows.select(*kept), "found")
 
 
 METRIC_TEXT = """CASE WHEN formula LIKE '%Discount%' THEN 'Discount amount or rate calculation' ELSE 'Volume/count metric' END"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +74,20 @@ def attach_profile(columns: DataFrame, profile: DataFrame) -> DataFrame:
     return kept.join(profile.select(*COLUMN_KEY, *PROFILE_DEFAULTS), COLUMN_KEY, "left").fillna(PROFILE_DEFAULTS)
 
 
+def readable_parts(readers: dict[str, Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Parts of the databases that can be read; one that cannot is left out with a warning."""
+    parts = []
+    for name, read in readers.items():
+        try:
+            part = read()
+            part.schema  # analysis errors surface here
+        except Exception as error:
+            warnings.warn(f"{name} skipped: {error}", stacklevel=2)
+        else:
+            parts.append(part)
+    return parts
+
+
 def union_databases(parts: list[DataFrame], *, target: str, server: str) -> DataFrame:
     """One catalog from the parts of several databases, types made equal and stamped with their origin."""
     stamped = [

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grouped import nested_parts
+from ..plans.materialize import materialize
 from ..plans.schemas import TABLE_KEY
 from .classify import domain_of, relationship_of, role_of
 
@@ -97,9 +98,10 @@ def entities(nodes: DataFrame, rules: dict, *, part_columns: int = 5000) -> Data
 
     A table of up to ``part_columns`` columns is one row (``part`` 0); a larger one has several parts.
     """
-    nested = nested_parts(nodes, TABLE_KEY, F.struct(*NODE_FIELDS), F.col("column_name"), part_columns)
-    facts = entity_facts(nodes, rules)
-    return facts.join(nested.withColumnRenamed("items", "has_column").drop("group_rows"), TABLE_KEY)
+    facts = materialize(entity_facts(nodes, rules), "facts")  # one row per table, read twice
+    sizes = facts.select(*TABLE_KEY, F.col("column_count").alias("rows"))
+    nested = nested_parts(nodes, TABLE_KEY, F.struct(*NODE_FIELDS), F.col("column_name"), sizes, part_columns)
+    return facts.join(nested.withColumnRenamed("items", "has_column"), TABLE_KEY)
 
 
 def relationships(catalog: DataFrame, rules: dict) -> DataFrame:

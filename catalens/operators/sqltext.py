@@ -6,7 +6,8 @@ content of string literals is hex-encoded first, so that words inside literals a
 
 Subset: one-level nested parentheses inside function arguments; a join's left side is the table after the
 nearest preceding FROM (``UNKNOWN`` for a derived table); aliases are those given with AS; referenced
-columns are the qualified ones (``t.column``). The patterns use only what Java regex and RE2 share.
+columns are the qualified ones (``t.column``). But for possessive repeats, a matter of speed only, the
+patterns use what Java regex and RE2 share.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 # --- patterns ---------------------------------------------------------------------------------------
 
-IDENT = r'(?:\[[^\]]+\]|"[^"]+"|[A-Za-z_#][A-Za-z0-9_#$]*)'
-NAME = rf"{IDENT}(?:\.{IDENT})*"
+# possessive repeats (*+) keep a failed match from being retried inside a word
+IDENT = r'(?:\[[^\]]+\]|"[^"]+"|(?:\b[A-Za-z_]|#)[A-Za-z0-9_#$]*+)'
+NAME = rf"{IDENT}(?:\.{IDENT})*+"
 LITERAL = r"(?:'[0-9A-F]*')+"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 ARGUMENT = r"[^()]*(?:\([^()]*\)[^()]*)*"
@@ -36,7 +38,7 @@ CONDITION = (
     rf"(?i)(?:\b(NOT)\s+)?({NAME})\s*(?:"
     rf"(>=|<=|!=|<>|=|>|<)\s*({VALUE})"
     rf"|\s(?:(NOT)\s+)?LIKE\s+({VALUE})"
-    rf"|\s(?:(NOT)\s+)?IN\s*\(\s*(SELECT\b|[^()]*)"
+    rf"|\s(?:(NOT)\s+)?IN\s*(\(\s*SELECT\b|\([^()]*\))"
     rf"|\s(?:(NOT)\s+)?BETWEEN\s+({VALUE})\s+AND\s+({VALUE})"
     rf"|\sIS\s+(?:(NOT)\s+)?NULL\b)"
 )
@@ -67,7 +69,11 @@ def masked(definition: str | Column = "definition") -> Column:
 
 
 def prepare(objects: DataFrame, definition: str = "definition") -> DataFrame:
-    """Adds ``sql``, the masked text that the extraction columns read."""
+    """Adds ``sql``, the masked text that the extraction columns read.
+
+    Mining is CPU-bound: a text table in fewer files than there are cores is worth a ``repartition`` first;
+    a large one has enough splits of its own.
+    """
     return objects.withColumn("sql", masked(definition))
 
 
@@ -101,6 +107,12 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _matches(text: Column, pattern: str, groups: int) -> Column:
+    """Every match as the array of its groups (1 …), each match run through the regex once more, not once per group."""
+    joined = "\x01".join(f"${i}" for i in range(1, groups + 1))
+    return F.transform(_all(text, pattern), lambda m: F.split(F.regexp_replace(m, pattern, joined), "\x01"))
+
+
 def _tail(parts: Column) -> Column:
     """Array without its first element."""
     return F.filter(parts, lambda _, i: i > 0)
@@ -121,11 +133,8 @@ def joins(sql: str = "sql") -> Column:
             kind, rest = F.substring_index(piece, "\x02", 1), F.substring_index(piece, "\x02", -1)
             on = F.get(F.split(F.regexp_extract(rest, ON_PART, 1), ON_END, 2), 0)
             pairs = F.transform(
-                _all(on, ON_PAIR),
-                lambda m: F.struct(
-                    _unquoted(F.regexp_extract(m, ON_PAIR, 1)).alias("left_column"),
-                    _unquoted(F.regexp_extract(m, ON_PAIR, 2)).alias("right_column"),
-                ),
+                _matches(on, ON_PAIR, 2),
+                lambda g: F.struct(_unquoted(g[0]).alias("left_column"), _unquoted(g[1]).alias("right_column")),
             )
             return F.struct(
                 left.alias("left_table"),
@@ -143,36 +152,37 @@ def joins(sql: str = "sql") -> Column:
 def aggregations(sql: str = "sql") -> Column:
     """``function, column, alias, context`` of every SUM, COUNT, AVG, MIN and MAX."""
 
-    def one(m: Column) -> Column:
-        column = F.trim(F.regexp_extract(m, AGGREGATE, 2))
+    def one(g: Column) -> Column:
+        column = F.trim(g[1])
         plain = column.rlike(rf"^{NAME}$")
         prefix = F.regexp_extract(column, rf"^({IDENT})\.", 1)
         return F.struct(
-            F.upper(F.regexp_extract(m, AGGREGATE, 1)).alias("function"),
+            F.upper(g[0]).alias("function"),
             F.when(column == "", "*").when(plain, _unquoted(column)).otherwise(column).alias("column"),
-            _or_null(_unquoted(F.regexp_extract(m, AGGREGATE, 3))).alias("alias"),
+            _or_null(_unquoted(g[2])).alias("alias"),
             F.when(plain, _or_null(_unquoted(prefix))).alias("context"),
         )
 
-    return F.transform(_all(F.col(sql), AGGREGATE), one)
+    return F.transform(_matches(F.col(sql), AGGREGATE, 3), one)
 
 
 def filters(sql: str = "sql") -> Column:
     """``column, operator, value_pattern`` of every WHERE condition, NOT forms included."""
 
-    def one(m: Column) -> Column:
+    def one(g: Column) -> Column:
         def part(i: int) -> Column:
-            return F.regexp_extract(m, CONDITION, i)
+            return g[i - 1]
 
         compare, like, in_list, low = part(3), part(6), part(8), part(10)
         negated = F.concat_ws("", part(1), part(5), part(7), part(9), part(12)) != ""
-        in_values = F.transform(F.split(in_list, ","), value_pattern)
+        listed = F.substring(in_list, F.lit(2), F.length(in_list) - 2)
+        in_values = F.transform(F.split(listed, ","), value_pattern)
         shown = F.concat_ws(
             ", ", F.slice(in_values, 1, 5), F.when(F.size(in_values) > 5, F.array(F.lit("..."))).otherwise(
                 F.array().cast("array<string>")
             ),
         )
-        is_in = m.rlike(rf"(?i)^(?:NOT\s+)?{NAME}\s+(?:NOT\s+)?IN\s*\(")
+        is_in = in_list != ""
         operator = (
             F.when(compare == "<>", "!=").when(compare != "", compare).when(like != "", "LIKE")
             .when(is_in, "IN").when(low != "", "BETWEEN").otherwise("IS NULL")
@@ -180,7 +190,7 @@ def filters(sql: str = "sql") -> Column:
         value = (
             F.when(compare != "", value_pattern(part(4)))
             .when(like != "", value_pattern(like))
-            .when(is_in & F.upper(in_list).startswith("SELECT"), "(subquery)")
+            .when(is_in & in_list.rlike(r"(?i)^\(\s*SELECT\b"), "(subquery)")
             .when(is_in, F.concat(F.lit("("), shown, F.lit(")")))
             .when(low != "", F.concat(value_pattern(low), F.lit(" AND "), value_pattern(part(11))))
             .otherwise("NULL")
@@ -195,7 +205,7 @@ def filters(sql: str = "sql") -> Column:
     clauses = F.transform(
         _tail(F.split(F.col(sql), WHERE_SPLIT)), lambda c: F.get(F.split(c, WHERE_END, 2), 0)
     )
-    return F.transform(F.flatten(F.transform(clauses, lambda c: _all(c, CONDITION))), one)
+    return F.transform(F.flatten(F.transform(clauses, lambda c: _matches(c, CONDITION, 12))), one)
 
 
 def formula_columns(formula: Column) -> Column:
@@ -216,31 +226,32 @@ def _unmasked(text: Column) -> Column:
 def ratio_metrics(sql: str = "sql") -> Column:
     """``name, formula, columns_used, is_ratio`` of every division."""
 
-    def one(m: Column) -> Column:
-        formula = F.regexp_extract(m, RATIO, 1)
+    def one(g: Column) -> Column:
+        formula = g[0]
         return F.struct(
-            _or_null(_unquoted(F.regexp_extract(m, RATIO, 2))).alias("name"),
+            _or_null(_unquoted(g[1])).alias("name"),
             F.substring(_unmasked(formula), 1, 500).alias("formula"),
             formula_columns(F.regexp_replace(formula, LITERAL, "''")).alias("columns_used"),
             F.lit(True).alias("is_ratio"),
         )
 
-    return F.transform(_all(F.col(sql), RATIO), one)
+    text = F.when(F.contains(F.col(sql), F.lit("/")), F.col(sql)).otherwise("")
+    return F.transform(_matches(text, RATIO, 2), one)
 
 
 def case_metrics(sql: str = "sql") -> Column:
     """The same fields for every CASE expression that contains SUM, COUNT or AVG."""
 
-    def one(m: Column) -> Column:
-        formula = F.regexp_extract(m, CASE, 1)
+    def one(g: Column) -> Column:
+        formula = g[0]
         return F.struct(
-            _or_null(_unquoted(F.regexp_extract(m, CASE, 2))).alias("name"),
+            _or_null(_unquoted(g[1])).alias("name"),
             F.substring(_unmasked(formula), 1, 500).alias("formula"),
             formula_columns(F.regexp_replace(formula, LITERAL, "''")).alias("columns_used"),
             F.lit(False).alias("is_ratio"),
         )
 
-    found = F.filter(_all(F.col(sql), CASE), lambda m: m.rlike(HAS_AGGREGATE))
+    found = F.filter(_matches(F.col(sql), CASE, 2), lambda g: g[0].rlike(HAS_AGGREGATE))
     return F.transform(found, one)
 
 
@@ -272,8 +283,18 @@ def with_patterns(prepared: DataFrame) -> DataFrame:
 
 def exploded(prepared: DataFrame, kind: str, keep: list[str]) -> DataFrame:
     """One row per pattern of ``kind`` with its ``position`` in the text."""
-    found = {**KINDS, "ratio_metrics": ratio_metrics, "case_metrics": case_metrics}[kind]()
-    return prepared.select(*keep, F.posexplode(found).alias("position", "p")).select(*keep, "position", "p.*")
+    return unnested(prepared.select(*keep, mined(kind).alias("_found")), "_found")
+
+
+def mined(kind: str) -> Column:
+    """Array of the patterns of one kind."""
+    return {**KINDS, "ratio_metrics": ratio_metrics, "case_metrics": case_metrics}[kind]()
+
+
+def unnested(df: DataFrame, patterns: str) -> DataFrame:
+    """One row per entry of a pattern array, its fields as columns next to the others."""
+    keep = [c for c in df.columns if c != patterns]
+    return df.select(*keep, F.posexplode(patterns).alias("position", "_p")).select(*keep, "position", "_p.*")
 
 
 def complexity(prepared: DataFrame, keep: list[str]) -> DataFrame:

@@ -56,8 +56,13 @@ def importance(executions: Column, last_run: Column, reference: Column) -> Colum
     return F.log1p(executions.cast("double")) * COUNT_WEIGHT + recency * RECENCY_WEIGHT
 
 
-def ranked_objects(objects: DataFrame, stats: DataFrame, reference: Column) -> DataFrame:
-    """All objects with their statistics (defaults where there are none) and importance score."""
+def ranked_objects(
+    objects: DataFrame, stats: DataFrame, reference: Column, *, keep: tuple[str, ...] = ("definition",)
+) -> DataFrame:
+    """All objects with their statistics (defaults where there are none) and importance score.
+
+    ``keep`` names further object columns to carry along, such as mined patterns.
+    """
     per_object = exec_stats(stats)
     joined = objects.join(per_object, ["database", "object_name"], "left")
     executions = F.coalesce("execution_count", F.lit(0))
@@ -68,7 +73,7 @@ def ranked_objects(objects: DataFrame, stats: DataFrame, reference: Column) -> D
         F.bround(F.coalesce("avg_duration_ms", F.lit(0.0)), 2).alias("avg_duration_ms"),
         F.bround(importance(executions, F.col("last_execution_time"), reference), 2).alias("importance_score"),
         (F.coalesce("definition", F.lit("")) != "").alias("has_definition"),
-        "definition",
+        *keep,
     )
 
 

@@ -19,20 +19,22 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def nested_parts(
-    df: DataFrame, keys: Sequence[str], item: Column, spread: Column, part_rows: int
+    df: DataFrame, keys: Sequence[str], item: Column, spread: Column, sizes: DataFrame, part_rows: int
 ) -> DataFrame:
     """Collect ``item`` per group into sorted arrays of about ``part_rows`` entries.
 
-    A group of up to ``part_rows`` rows gives one row (part 0). A larger one is split over
-    ``ceil(rows / part_rows)`` parts by the hash of ``spread``, so no task builds an unbounded array.
+    ``sizes`` has the group keys and their row count ``rows``. A group of up to ``part_rows`` rows gives one
+    array (part 0). A larger one is split over ``ceil(rows / part_rows)`` parts by the hash of ``spread``;
+    the shuffle is on (keys, part), so neither an array nor a task has to hold a large group.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    parts = F.ceil(F.col("_rows") / F.lit(part_rows)).cast("int")
+    large = sizes.where(F.col("rows") > part_rows).select(
+        *keys, F.ceil(F.col("rows") / F.lit(part_rows)).cast("int").alias("_parts")
+    )
     return (
-        df.withColumn("_item", item)
-        .withColumn("_spread", spread)
-        .join(sizes, list(keys))
-        .withColumn("part", F.pmod(F.xxhash64("_spread"), parts).cast("int"))
+        df.select(*keys, item.alias("_item"), spread.alias("_spread"))
+        .join(large, list(keys), "left")
+        .withColumn("part", F.coalesce(F.pmod(F.xxhash64("_spread"), F.col("_parts")).cast("int"), F.lit(0)))
+        .repartition(*keys, "part")
         .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list("_item")).alias("items"), F.first("_rows").alias("group_rows"))
+        .agg(F.sort_array(F.collect_list("_item")).alias("items"))
     )
