@@ -196,7 +196,7 @@ REVIEW_DOMAIN = """SELECT 'app:' || database || '.' || table_name AS id, databas
       'Table not classified into any business domain' AS reason, 'Review table purpose and assign to appropriate domain' AS suggested_action
     FROM {facts} WHERE domain = 'UncategorizedDomain'"""
 REVIEW_UNCLASSIFIED = """SELECT id, column_name AS "column", table_name AS "table", data_type, 'No semantic role pattern matched' AS reason,
-      'Add pattern to ontology_config.toml or manually classify' AS suggested_action FROM {nodes} WHERE semantic_role = 'Unclassified'"""
+      'Add a pattern to the rule file or classify manually' AS suggested_action FROM {nodes} WHERE semantic_role = 'Unclassified'"""
 REVIEW_NULL = """SELECT id, column_name AS "column", table_name AS "table", null_rate, 'Column is ' || CAST(round_even(null_rate * 100, 0) AS INT) || '% null' AS reason,
       'Verify if column is deprecated or has data quality issues' AS suggested_action FROM {nodes} WHERE p AND null_rate > 0.5"""
 REVIEW_LOW = """SELECT id, column_name AS "column", table_name AS "table", distinct_count, semantic_role AS current_role,

@@ -25,32 +25,41 @@ def lookback_features(
     The totals up to both window edges are read off one running total per entity, so each event is handled
     once however many origins and windows cover it, and no event-origin pairs are made.
     """
-    edges = [F.struct(F.lit(0).alias("back"), F.col(origin).alias("at"))] + [
-        F.struct(F.lit(n).alias("back"), (F.col(origin) - F.expr(f"interval {n} days")).alias("at")) for n in days
+    edges = [F.struct(F.lit(0).alias("_back"), F.col(origin).alias("_at"))] + [
+        F.struct(F.lit(n).alias("_back"), (F.col(origin) - F.expr(f"interval {n} days")).alias("_at")) for n in days
     ]
     marks = origins.select(entity, origin).distinct().select(entity, origin, F.inline(F.array(*edges)))
     amount = F.col(value).cast("double") if value else F.lit(0.0)
+    finite = F.abs(amount) < F.lit(float("inf"))  # false for NaN too, which orders above infinity
     kind = marks.schema[origin].dataType
     rows = events.where(F.col(entity).isNotNull() & F.col(time).isNotNull()).groupBy(
-        F.col(entity), F.col(time).alias("at")
-    ).agg(F.count("*").alias("n"), F.coalesce(F.sum(amount), F.lit(0.0)).alias("total"))
+        F.col(entity), F.col(time).cast(kind).alias("_at")
+    ).agg(
+        F.count("*").alias("_rows"),
+        F.coalesce(F.sum(F.when(finite, amount)), F.lit(0.0)).alias("_amount"),
+        F.count_if(~finite).alias("_odd"),
+    )
     timeline = rows.select(
-        entity, F.lit(None).cast(kind).alias(origin), F.lit(-1).alias("back"), F.col("at").cast(kind).alias("at"),
-        "n", "total",
-    ).unionByName(marks.withColumns({"n": F.lit(0).cast("long"), "total": F.lit(0.0)}))
-    # an event at the very time of an edge counts as before it (back = -1 sorts first)
+        entity, F.lit(None).cast(kind).alias(origin), F.lit(-1).alias("_back"), "_at", "_rows", "_amount", "_odd"
+    ).unionByName(
+        marks.withColumns({"_rows": F.lit(0).cast("long"), "_amount": F.lit(0.0), "_odd": F.lit(0).cast("long")})
+    )
+    # an event at the very time of an edge counts as before it (_back = -1 sorts first)
     upto = running(
-        timeline, ["at", "back", origin], partition=[entity], sums={"_n": "n", "_total": "total"}
-    ).where(F.col("back") >= 0)
+        timeline, ["_at", "_back", origin], partition=[entity], sums={"_n": "_rows", "_total": "_amount", "_bad": "_odd"}
+    ).where(F.col("_back") >= 0)
 
     def edge(name: str, back: int) -> Column:
-        return F.max(F.when(F.col("back") == back, F.col(name)))
+        return F.max(F.when(F.col("_back") == back, F.col(name)))
 
     features = []
     for n in days:
         features.append((edge("_n", 0) - edge("_n", n)).alias(f"events_{n}d"))
         if value:
-            features.append((edge("_total", 0) - edge("_total", n)).alias(f"{value}_{n}d"))
+            # a value that is not finite spoils the windows that hold it, not all later ones
+            spoilt = edge("_bad", 0) > edge("_bad", n)
+            total = edge("_total", 0) - edge("_total", n)
+            features.append(F.when(spoilt, F.lit(float("nan"))).otherwise(total).alias(f"{value}_{n}d"))
     return upto.groupBy(entity, origin).agg(*features)
 
 

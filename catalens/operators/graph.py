@@ -149,7 +149,7 @@ def review_unclassified(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("semantic_role") == "Unclassified").select(
         "id", F.col("column_name").alias("column"), F.col("table_name").alias("table"), "data_type",
         F.lit("No semantic role pattern matched").alias("reason"),
-        F.lit("Add pattern to ontology_config.toml or manually classify").alias("suggested_action"),
+        F.lit("Add a pattern to the rule file or classify manually").alias("suggested_action"),
     )
 
 
