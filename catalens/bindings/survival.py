@@ -228,6 +228,39 @@ def _(t):
     return model.summary(rows.sparkSession)
 
 
+def cox_sql(tie_terms: str, share: str) -> str:
+    """Two features (risk, household) at fixed coefficients 0.3 and -0.2."""
+    moments = ", ".join(
+        f"SUM({w}) AS {p}0, SUM({w} * risk) AS {p}a, SUM({w} * hh) AS {p}b, SUM({w} * risk * hh) AS {p}ab"
+        for w, p in (("w", "s"), ("w * event", "d"))
+    )
+    upto = ", ".join(f"SUM(s{m}) OVER (ORDER BY duration DESC) AS r{m}" for m in ("0", "a", "b", "ab"))
+    left = {m: f"(r{m} - {share} * d{m})" for m in ("0", "a", "b", "ab")}
+    return f"""SELECT ROUND(SUM(CASE WHEN k = 0 THEN es ELSE 0 END - m * ln({left['0']})), 6) AS ll,
+      ROUND(SUM(CASE WHEN k = 0 THEN ea ELSE 0 END - m * {left['a']} / {left['0']}), 6) AS g0,
+      ROUND(SUM(CASE WHEN k = 0 THEN eb ELSE 0 END - m * {left['b']} / {left['0']}), 6) AS g1,
+      ROUND(SUM(m * ({left['ab']} / {left['0']} - {left['a']} * {left['b']} / {left['0']} / {left['0']})), 6) AS h0_1
+    FROM (SELECT *, {tie_terms} FROM (SELECT *, {upto} FROM (
+      SELECT duration, SUM(event) AS d, SUM(event * (0.3 * risk - 0.2 * hh)) AS es, SUM(event * risk) AS ea, SUM(event * hh) AS eb, {moments}
+      FROM (SELECT *, CAST(exp(0.3 * risk - 0.2 * hh) AS DOUBLE) AS w FROM (SELECT *, CAST(c_mktsegment = 'HOUSEHOLD' AS INT) AS hh FROM {{survival_base}}) a) b
+      GROUP BY duration) c) x WHERE d > 0) y"""
+
+
+def cox_score(t, ties):
+    rows = t(S).withColumn("household", (F.col("c_mktsegment") == "HOUSEHOLD").cast("int"))
+    return rounded(mo.cox_score(rows, "duration", "event", ["risk", "household"], [0.3, -0.2], ties=ties)).select("ll", "g0", "g1", "h0_1")
+
+
+@R.add("cox_score_efron", cox_sql("1 AS m, unnest(range(0, CAST(d AS BIGINT))) AS k", "k / d"))
+def _(t):
+    return cox_score(t, "efron")
+
+
+@R.add("cox_score_breslow", cox_sql("d AS m, 0 AS k", "0"))
+def _(t):
+    return cox_score(t, "breslow")
+
+
 @R.add("discrete_time_hazard")
 def _(t):
     rows = t(S).select("c_custkey", "duration", "event", "risk")

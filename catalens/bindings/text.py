@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, review
 from ..operators import sqltext as st
 from ..operators import usage as use
-from ..plans.materialize import spread
+from ..plans.materialize import materialize, spread
 from .base import Registry
 from .rules import REFERENCE, RULES, USAGE, all_stats
 
@@ -256,7 +256,8 @@ METRIC_TEXT = """CASE WHEN formula LIKE '%Discount%' THEN 'Discount amount or ra
     ALL,
 )
 def _(t):
-    return review.review_metrics(scored(t, "ratio_metrics"), st.exploded(prepared(t), "metrics", KEEP))
+    found = materialize(scored(t, "ratio_metrics"), "metrics")  # read twice, mined once
+    return review.review_metrics(found, st.exploded(prepared(t), "metrics", KEEP))
 
 
 @R.add(
@@ -298,7 +299,7 @@ FILTER_TEXT = """CASE "column" WHEN 'o.Status' THEN 'Filtering to CANCELLED item
     ALL,
 )
 def _(t):
-    return review.review_filters(scored(t, "filters"))
+    return review.review_filters(materialize(scored(t, "filters"), "filters"))  # read twice, mined once
 
 
 @R.add(

@@ -52,6 +52,102 @@ def _linear(names: list[str], beta: np.ndarray) -> Column:
     return sum((F.col(n) * float(b) for n, b in zip(names, beta)), F.lit(0.0))
 
 
+@dataclass
+class _Design:
+    """Standardised rows (t, e, x0 …), written once and read in every iteration."""
+
+    rows: DataFrame
+    columns: list[str]
+    means: list[float]
+    scales: list[float]
+    n: int
+    most_tied: int
+    small: bool
+
+
+def _design(df: DataFrame, duration: str, event: str, features: list[str], *, standardise: bool = True) -> _Design:
+    known = df.dropna(subset=[duration, event, *features])
+    stats = known.agg(
+        F.count("*").alias("n"),
+        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
+        *[F.stddev(f).alias(f"s{i}") for i, f in enumerate(features)],
+    ).first()
+    p = range(len(features))
+    means = [stats[f"m{i}"] if standardise else 0.0 for i in p]
+    scales = [(stats[f"s{i}"] or 1.0) if standardise else 1.0 for i in p]
+    columns = [f"x{i}" for i in p]
+    rows = materialize(
+        known.select(
+            F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
+            *[((F.col(f) - m) / s).alias(x) for f, m, s, x in zip(features, means, scales, columns)],
+        ),
+        "design",
+    )
+    shape = rows.groupBy("t").agg(F.sum("e").alias("d")).agg(F.count("*").alias("times"), F.max("d").alias("d")).first()
+    return _Design(rows, columns, means, scales, stats["n"], shape["d"] or 0, shape["times"] <= SMALL_ROWS)
+
+
+def _partial_likelihood(design: _Design, beta: np.ndarray, ties: str) -> DataFrame:
+    """One row: log partial likelihood ``ll``, gradient ``g0 …`` and curvature ``h0_0 …`` at ``beta``."""
+    xs = design.columns
+    pairs = list(combinations_with_replacement(range(len(xs)), 2))
+    score = _linear(xs, beta)
+    rows = design.rows.withColumn("w", F.exp(score)).withColumn("ew", F.col("w") * F.col("e"))
+
+    def moments(weight: str, prefix: str) -> dict[str, Column]:
+        w = F.col(weight)
+        return {
+            f"{prefix}0": F.sum(w),
+            **{f"{prefix}1_{i}": F.sum(w * F.col(x)) for i, x in enumerate(xs)},
+            **{f"{prefix}2_{i}_{j}": F.sum(w * F.col(xs[i]) * F.col(xs[j])) for i, j in pairs},
+        }
+
+    everyone, dead = moments("w", "s"), moments("ew", "d")
+    own = {f"ex_{i}": F.sum(F.col("e") * F.col(x)) for i, x in enumerate(xs)}
+    per_time = rows.groupBy("t").agg(
+        F.sum("e").alias("d"), F.sum(F.col("e") * score).alias("es"),
+        *[c.alias(k) for k, c in {**everyone, **dead, **own}.items()],
+    )
+    at_risk = running(
+        per_time, [F.col("t").desc()], sums={f"r{k[1:]}": F.col(k) for k in everyone}, small=design.small
+    ).where("d > 0")
+    if ties == "efron":
+        # the i-th of d tied events sees i/d of their weight removed; long runs of ties are split
+        size = F.lit(_TIED_EVENTS_PER_ROW).cast("long")
+        at_risk = at_risk.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1, size)))
+        if design.most_tied > 100 * _TIED_EVENTS_PER_ROW:
+            at_risk = at_risk.repartition("t", "from")
+        upto = F.least(F.col("from") + size, F.col("d")) - 1
+        at_risk = at_risk.withColumn("k", F.explode(F.sequence("from", upto)))
+        share, weight, first = F.col("k") / F.col("d"), F.lit(1), F.col("k") == 0
+    else:
+        share, weight, first = F.lit(0.0), F.col("d"), F.lit(True)
+
+    def left(suffix: str) -> Column:
+        return F.col(f"r{suffix}") - share * F.col(f"d{suffix}")
+
+    def once(name: str) -> Column:
+        return F.when(first, F.col(name)).otherwise(0.0)
+
+    s0 = left("0")
+    return at_risk.agg(
+        F.sum(once("es") - weight * F.log(s0)).alias("ll"),
+        *[F.sum(once(f"ex_{i}") - weight * left(f"1_{i}") / s0).alias(f"g{i}") for i in range(len(xs))],
+        *[
+            F.sum(weight * (left(f"2_{i}_{j}") / s0 - left(f"1_{i}") * left(f"1_{j}") / s0 / s0)).alias(f"h{i}_{j}")
+            for i, j in pairs
+        ],
+    )
+
+
+def cox_score(
+    df: DataFrame, duration: str, event: str, features: Sequence[str], beta: Sequence[float], *, ties: str = "efron"
+) -> DataFrame:
+    """Log partial likelihood, gradient and curvature of given coefficients on the features' own scale."""
+    design = _design(df, duration, event, list(features), standardise=False)
+    return _partial_likelihood(design, np.array(beta, dtype=float), ties)
+
+
 def cox_ph(
     df: DataFrame,
     duration: str,
@@ -71,104 +167,36 @@ def cox_ph(
     if ties not in ("efron", "breslow"):
         raise ValueError(f"unknown ties: {ties}")
     features = list(features)
-    known = df.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
-    for f in features:
-        known = known.where(F.col(f).isNotNull())
-    stats = known.agg(
-        F.count("*").alias("n"),
-        *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
-        *[F.stddev(f).alias(f"s{i}") for i, f in enumerate(features)],
-    ).first()
-    n = stats["n"]
-    means = [stats[f"m{i}"] for i in range(len(features))]
-    scales = [stats[f"s{i}"] or 1.0 for i in range(len(features))]
-    xs = [f"x{i}" for i in range(len(features))]
-    design = materialize(
-        known.select(
-            F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"),
-            *[((F.col(f) - m) / s).alias(x) for f, m, s, x in zip(features, means, scales, xs)],
-        ),
-        "design",
-    )
-    shape = design.groupBy("t").agg(F.sum("e").alias("d")).agg(F.count("*").alias("times"), F.max("d").alias("d")).first()
-    small = shape["times"] <= SMALL_ROWS
-    pairs = list(combinations_with_replacement(range(len(xs)), 2))
+    design = _design(df, duration, event, features)
+    p, pull = len(features), design.n * penalizer
+    if design.most_tied == 0:
+        raise ValueError("no events to fit")
 
     def step(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        score = _linear(xs, beta)
-        rows = design.withColumn("w", F.exp(score)).withColumn("ew", F.col("w") * F.col("e"))
-        sums = {"s0": F.sum("w")}
-        sums.update({f"s1_{i}": F.sum(F.col("w") * F.col(x)) for i, x in enumerate(xs)})
-        sums.update({f"s2_{i}_{j}": F.sum(F.col("w") * F.col(xs[i]) * F.col(xs[j])) for i, j in pairs})
-        own = {"d0": F.sum("ew")}
-        own.update({f"d1_{i}": F.sum(F.col("ew") * F.col(x)) for i, x in enumerate(xs)})
-        own.update({f"d2_{i}_{j}": F.sum(F.col("ew") * F.col(xs[i]) * F.col(xs[j])) for i, j in pairs})
-        own.update({f"ex_{i}": F.sum(F.col("e") * F.col(x)) for i, x in enumerate(xs)})
-        per_time = rows.groupBy("t").agg(
-            F.sum("e").alias("d"), F.sum(F.col("e") * score).alias("es"),
-            *[c.alias(k) for k, c in {**sums, **own}.items()],
-        )
-        at_risk = running(
-            per_time, [F.col("t").desc()], sums={f"r{k[1:]}": F.col(k) for k in sums}, small=small
-        ).where("d > 0")
-        if ties == "efron":
-            # the i-th of d tied events sees i/d of their weight removed; long runs of ties are split
-            chunked = at_risk.withColumn(
-                "from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1, F.lit(_TIED_EVENTS_PER_ROW).cast("long")))
-            )
-            if shape["d"] > 100 * _TIED_EVENTS_PER_ROW:
-                chunked = chunked.repartition("t", "from")
-            upto = F.least(F.col("from") + _TIED_EVENTS_PER_ROW, F.col("d")) - 1
-            at_risk = chunked.withColumn("k", F.explode(F.sequence("from", upto)))
-            share, weight, first = F.col("k") / F.col("d"), F.lit(1), F.col("k") == 0
-        else:
-            share, weight, first = F.lit(0.0), F.col("d"), F.lit(True)
-
-        def left(suffix: str) -> Column:
-            return F.col(f"r{suffix}") - share * F.col(f"d{suffix}")
-
-        def once(name: str) -> Column:
-            return F.when(first, F.col(name)).otherwise(0.0)
-
-        s0 = left("0")
-        totals = at_risk.agg(
-            F.sum(once("es") - weight * F.log(s0)).alias("ll"),
-            *[F.sum(once(f"ex_{i}") - weight * left(f"1_{i}") / s0).alias(f"g{i}") for i in range(len(xs))],
-            *[
-                F.sum(weight * (left(f"2_{i}_{j}") / s0 - left(f"1_{i}") * left(f"1_{j}") / s0 / s0)).alias(f"h{i}_{j}")
-                for i, j in pairs
-            ],
-        ).first()
-        gradient = np.array([totals[f"g{i}"] for i in range(len(xs))], dtype=float)
-        curvature = np.zeros((len(xs), len(xs)))
-        for i, j in pairs:
-            curvature[i, j] = curvature[j, i] = totals[f"h{i}_{j}"]
-        pull = n * penalizer
-        return (
-            totals["ll"] - 0.5 * pull * float(beta @ beta),
-            gradient - pull * beta,
-            curvature + pull * np.eye(len(xs)),
-        )
+        row = _partial_likelihood(design, beta, ties).first()
+        curvature = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], dtype=float)
+        gradient = np.array([row[f"g{i}"] for i in range(p)], dtype=float)
+        return row["ll"] - 0.5 * pull * float(beta @ beta), gradient - pull * beta, curvature + pull * np.eye(p)
 
-    beta = np.zeros(len(xs))
+    beta = np.zeros(p)
     value, gradient, curvature = step(beta)
     iterations = 0
     for iterations in range(1, max_iterations + 1):
-        move = np.linalg.solve(curvature, gradient)
-        size = 1.0
-        while True:
-            tried = step(beta + size * move)
-            if tried[0] >= value - 1e-12 * abs(value) or size < 1e-4:
-                break
+        move, size = np.linalg.solve(curvature, gradient), 1.0
+        tried = step(beta + move)
+        while tried[0] < value - 1e-12 * abs(value) and size > 1e-4:
             size /= 2
-        beta, gained = beta + size * move, tried[0] - value
+            tried = step(beta + size * move)
+        gained = tried[0] - value
+        beta = beta + size * move
         value, gradient, curvature = tried
-        if abs(gained) <= tolerance * max(1.0, abs(value)) and float(np.abs(gradient).max()) < 1e-5 * n:
+        if abs(gained) <= tolerance * max(1.0, abs(value)) and float(np.abs(gradient).max()) < 1e-5 * design.n:
             break
     errors = np.sqrt(np.diag(np.linalg.inv(curvature)))
+    scales = np.array(design.scales)
     return CoxModel(
-        features, means, list(beta / scales), list(errors / scales), value, iterations,
-        _baseline(design, xs, beta, small),
+        features, design.means, [float(b) for b in beta / scales], [float(e) for e in errors / scales], value, iterations,
+        _baseline(design.rows, design.columns, beta, design.small),
     )
 
 

@@ -292,9 +292,17 @@ def mined(kind: str) -> Column:
 
 
 def unnested(df: DataFrame, patterns: str) -> DataFrame:
-    """One row per entry of a pattern array, its fields as columns next to the others."""
+    """One row per entry of a pattern array, its fields as columns next to the others.
+
+    The outer form with a filter behind it: for a plain explode Spark infers a filter on the array's size and
+    pushes it to the scan, which would mine every text twice.
+    """
     keep = [c for c in df.columns if c != patterns]
-    return df.select(*keep, F.posexplode(patterns).alias("position", "_p")).select(*keep, "position", "_p.*")
+    return (
+        df.select(*keep, F.posexplode_outer(patterns).alias("position", "_p"))
+        .where(F.col("position").isNotNull())
+        .select(*keep, "position", "_p.*")
+    )
 
 
 def complexity(prepared: DataFrame, keep: list[str]) -> DataFrame:
