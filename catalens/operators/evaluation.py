@@ -386,12 +386,12 @@ def bootstrap_ci(
     """Point estimate and percentile interval of a mean (one row per replicate is ordered)."""
     rates = bootstrap_rates(df, value, key, replicates=replicates, uniform=uniform)
     tail = (1 - level) / 2
-    interval = rates.agg(
-        F.percentile("rate", tail).alias("ci_lower"), F.percentile("rate", 1 - tail).alias("ci_upper"),
-        F.lit(1).alias("_one"),
+    point = df.agg(F.avg(value).alias("rate")).select(F.lit(0).alias("replicate"), "rate")
+    drawn = F.when(F.col("replicate") > 0, F.col("rate"))
+    return rates.unionByName(point).agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("rate"))).alias("estimate"),
+        F.percentile(drawn, tail).alias("ci_lower"), F.percentile(drawn, 1 - tail).alias("ci_upper"),
     )
-    point = df.agg(F.avg(value).alias("estimate"), F.lit(1).alias("_one"))
-    return point.join(interval, "_one").drop("_one")
 
 
 # --- drift ------------------------------------------------------------------------------------------

@@ -254,8 +254,11 @@ def target_leakage(df: DataFrame, target: str, features: Sequence[str], *, thres
 
 def temporal_split_check(train: DataFrame, test: DataFrame, time: str) -> DataFrame:
     """Whether every test row is later than every training row."""
-    last = train.agg(F.max(time).alias("train_end"), F.lit(1).alias("_one"))
-    first = test.agg(F.min(time).alias("test_start"), F.lit(1).alias("_one"))
-    return last.join(first, "_one").select(
-        "train_end", "test_start", (F.col("test_start") > F.col("train_end")).alias("in_order")
+    parts = train.select(F.col(time).alias("_t"), F.lit(True).alias("_train")).unionByName(
+        test.select(F.col(time).alias("_t"), F.lit(False).alias("_train"))
     )
+    edges = parts.agg(
+        F.max(F.when(F.col("_train"), F.col("_t"))).alias("train_end"),
+        F.min(F.when(~F.col("_train"), F.col("_t"))).alias("test_start"),
+    )
+    return edges.withColumn("in_order", F.col("test_start") > F.col("train_end"))
