@@ -108,9 +108,12 @@ def domain_counts(catalog: DataFrame, rules: list[dict]) -> DataFrame:
 
 def source_stats(catalog: DataFrame) -> DataFrame:
     """Columns, tables, databases and foreign-key columns."""
-    return catalog.agg(
-        F.count("*").alias("total_columns"),
-        F.count_distinct(F.struct(*TABLE_KEY)).alias("total_tables"),
+    per_table = catalog.groupBy(*TABLE_KEY).agg(
+        F.count("*").alias("_columns"), F.count_if("is_foreign_key").alias("_foreign_keys")
+    )
+    return per_table.agg(
+        F.coalesce(F.sum("_columns"), F.lit(0)).alias("total_columns"),
+        F.count("*").alias("total_tables"),
         F.count_distinct("database").alias("total_databases"),
-        F.count_if("is_foreign_key").alias("total_foreign_keys"),
+        F.coalesce(F.sum("_foreign_keys"), F.lit(0)).alias("total_foreign_keys"),
     )

@@ -12,12 +12,17 @@ LARGE_TABLE_ROWS = 1_000_000  # fixed value
 
 
 def overview_counts(catalog: DataFrame) -> DataFrame:
-    """Distinct targets, databases and tables, and the number of columns."""
-    return catalog.agg(
+    """Distinct targets, databases and tables, and the number of columns.
+
+    Rows are counted per table first: several distinct counts in one aggregate expand every input row, and
+    so they expand only one row per table.
+    """
+    per_table = catalog.groupBy("target", *TABLE_KEY).agg(F.count("*").alias("_columns"))
+    return per_table.agg(
         F.count_distinct("target").alias("targets"),
         F.count_distinct("database").alias("databases"),
         F.count_distinct(F.struct(*TABLE_KEY)).alias("tables"),
-        F.count("*").alias("columns"),
+        F.coalesce(F.sum("_columns"), F.lit(0)).alias("columns"),
     )
 
 

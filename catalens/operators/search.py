@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.grouped import first_per_group
 from ..plans.schemas import COLUMN_KEY, TABLE_KEY
+from .rollup import overview_counts
 
 # fixed values: search weights
 NAME_WEIGHTS = {"table_name": 3, "column_name": 2, "database": 1}
@@ -211,12 +212,7 @@ def catalog_status(
         )
     seconds = F.unix_timestamp(reference.cast("timestamp")) - F.unix_timestamp(last_updated.cast("timestamp"))
     age = F.floor(seconds / 86400)
-    counts = catalog.agg(
-        F.count_distinct("target").alias("targets"),
-        F.count_distinct("database").alias("databases"),
-        F.count_distinct(F.struct(*TABLE_KEY)).alias("tables"),
-        F.count("*").alias("columns"),
-    )
+    counts = overview_counts(catalog)
     state = F.when(age.isNull(), "UNKNOWN").when(age < fresh_days, "OK").otherwise("STALE")
     return counts.select(state.alias("status"), age.alias("age_days"), *counts.columns)
 
