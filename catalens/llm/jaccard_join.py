@@ -9,7 +9,12 @@ in one of them. The order puts shingles last that a bounded sample finds in many
 documents share makes no region unless they consist of it. (Document pivots alone cannot cut the corpus: nearly all
 points lie at distance 1 from any of them.)
 
-*Pivots.* Regions are joined recursively. Each round takes one, two, four ... points of every region as pivots and
+*Leaves.* Regions that share points are joined together. Where such a union has at most ``leaf_shingles`` shingles,
+its points and regions come to one task, which takes them in turn as pivots: a pivot is compared exactly with the
+later members of its regions that no link has joined to it yet (the rest of its ball needs no comparison), less
+those that the triangle inequality excludes by their distances to earlier pivots.
+
+*Pivots.* Larger unions are cut further: their regions are joined recursively by Spark. Each round takes one, two, four ... points of every region as pivots and
 computes each member's exact distance to them. A member within the radius r of a pivot is linked to it, so two
 members of a pivot's ball are in one component whatever their own distance. What may still matter goes to the
 next round: members outside all balls, and, by the triangle inequality, those boundary members of a ball at
@@ -37,7 +42,7 @@ from .components import components
 from .hashing import LOWER, Runs, mix, word_hashes
 from .repeats import groups
 
-SAMPLE_ROWS, SAMPLE_HITS, COMMON_LIMIT = 4096, 3, 1 << 18
+SAMPLE_ROWS, SAMPLE_HITS, COMMON_LIMIT = 16_384, 3, 1 << 18
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes that may be sent to every executor
 CHUNK_BYTES = 2 << 20
 
@@ -264,8 +269,92 @@ def joined_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int
     return out
 
 
+def leaf_links(shingles: list[np.ndarray], regions: list[np.ndarray], percent: int, kept_pivots: int = 16):
+    """Links (pairs of positions) that connect all linked points; regions hold the numbers each point lies in."""
+    radius, count = 1 - percent / 100, len(shingles)
+    n = np.array([len(x) for x in shingles])
+    flat = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    end = np.cumsum(n)
+    begin = end - n
+    order = np.lexsort((np.arange(count), n))
+    rank = np.empty(count, np.int64)
+    rank[order] = np.arange(count)
+    owner = np.repeat(np.arange(count), [len(x) for x in regions])
+    number = np.unique(np.concatenate(regions), return_inverse=True)[1]
+    by_region = np.lexsort((rank[owner], number))
+    members, number_of = owner[by_region], number[by_region]
+    region_end = np.searchsorted(number_of, np.arange(number_of[-1] + 1), "right")
+    place = np.empty(len(owner), np.int64)
+    place[by_region] = np.arange(len(owner))
+    at = np.cumsum([0] + [len(x) for x in regions])
+    group = np.arange(count)  # least position that links found so far lead to
+    distance = np.full((kept_pivots, count), np.nan)
+    slot, mark, links = 0, np.zeros(flat.max() + 1, bool), []
+    for i in order.tolist():
+        later = [members[p + 1 : region_end[number_of[p]]] for p in place[at[i] : at[i + 1]].tolist()]
+        later = np.unique(np.concatenate(later)) if later else np.zeros(0, np.int64)
+        later = later[(n[later] * percent <= n[i] * 100) & (group[later] != group[i])]
+        if slot and len(later):
+            gap = np.abs(distance[:slot, later] - distance[:slot, i][:, None])
+            later = later[~(gap > radius + 1e-9).any(0)]
+        if not len(later):
+            continue
+        sizes = n[later]
+        places = np.arange(int(sizes.sum())) + np.repeat(begin[later] - (np.cumsum(sizes) - sizes), sizes)
+        own = flat[begin[i] : end[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[flat[places]].astype(np.int64), np.cumsum(sizes) - sizes)
+        mark[own] = False
+        union = sizes + n[i] - common
+        if len(later) >= 64 and slot < kept_pivots:
+            distance[slot, later], distance[slot, i] = 1 - common / union, 0
+            slot += 1
+        for j in later[common * 100 >= percent * union].tolist():
+            links.append((i, j))
+            if group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group[group == high] = low
+    return links
+
+
+def leaf_join(regions: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``a, b``: links within unions (column ``union``) of regions, several unions to a task, none cut."""
+    schema = "a bigint, b bigint"
+    target = arrow_of(schema)
+    points = regions.groupBy("union", "point").agg(F.collect_list("region").alias("regions"))
+    points = points.join(sets, "point").withColumn("part", F.pmod(F.xxhash64("union"), F.lit(parts)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        point = table.column("point").to_numpy()
+        shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        lists = table.column("regions").combine_chunks()
+        flat, cuts = lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]
+        links = np.array(leaf_links(shingles, np.split(flat, cuts), percent), np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(point[links[:, i]]) for i in (0, 1)], schema=target)
+
+    return points.select("part", "point", "regions", "shingles").groupBy("part").applyInArrow(run, schema)
+
+
+def all_links(regions: DataFrame, sets: DataFrame, percent: int, leaf_shingles: int, task_shingles: int) -> DataFrame:
+    """Links of all regions: leaves where unions of regions are small enough, rounds of pivots where not."""
+    least = regions.groupBy("region").agg(F.min("point").alias("b"))
+    unions = components(regions.join(least, "region").select(F.col("point").alias("a"), "b").distinct())
+    placed = regions.join(unions.select(F.col("node").alias("point"), F.col("component").alias("union")), "point")
+    placed = materialize(placed, "placed")
+    weight = placed.select("union", "point", "n").distinct().groupBy("union").agg(F.sum("n").alias("weight"))
+    weight = materialize(weight, "weights")
+    total, most = weight.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
+    small = placed.join(weight.where(F.col("weight") <= leaf_shingles), "union")
+    links = leaf_join(small, sets, percent, max(1, -(-total // task_shingles)))
+    if most > leaf_shingles:
+        large = placed.join(weight.where(F.col("weight") > leaf_shingles), "union").select("region", "point", "n")
+        links = links.unionByName(joined_regions(materialize(large, "large"), sets, percent))
+    return links
+
+
 def jaccard_components(
-    df: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", part_keys: int = 400_000
+    df: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", part_keys: int = 400_000,
+    leaf_shingles: int = 12_000_000, task_shingles: int = 1_500_000,
 ) -> DataFrame:
     """``key, n_shingles, component_id`` per row: the smallest id that links of J >= percent / 100 lead to."""
     importable(df.sparkSession)
@@ -283,8 +372,7 @@ def jaccard_components(
     needed = regions.select(F.col("point").alias("row")).distinct().join(rows.select("row", "key", "a", "b"), "row")
     needed = materialize(needed.withColumnRenamed("row", "point"), "needed")
     sets = materialize(full_sets(docs, needed, words), "sets")
-    links = joined_regions(regions, sets, percent)
-    linked = components(links)
+    linked = components(all_links(regions, sets, percent, leaf_shingles, task_shingles))
     of_point = classes.join(linked.withColumnRenamed("node", "point"), "point", "left")
     of_point = of_point.withColumn("component", F.coalesce("component", "point"))
     least = of_point.groupBy("component").agg(F.min("least").alias("component_id"))
