@@ -226,7 +226,7 @@ def render(root: Node, depth: int = 0) -> str:
     while waiting:
         step, node, keep = waiting.pop()
         if step == "close":
-            out.block(node.tag in SPACED)
+            out.block(node.tag in SPACED and not (node.tag in LISTS and out.prefix))
             if node.tag == "li" or node.tag in ("blockquote", "dd"):
                 if node.tag == "li" and out.marker is not None:
                     out.end_line()

@@ -107,8 +107,8 @@ class Pieces:
         keys, ids = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ids = keys[order], ids[order]
-        self.scores = np.array([scores[i] for i in self.ids], np.float64)
-        self.unknown_score = (min((scores[i] for i in plain), default=0.0)) - 10.0
+        self.scores = np.array([scores[i] for i in self.ids], np.float32)  # summed as the library does
+        self.unknown_score = np.float32(min((scores[i] for i in plain), default=0.0) - 10)
         inner = re.compile(f"[^{SPACE}]{SPACE}")
         self.whole = any(inner.search(self.text[i]) for i in plain)  # some piece holds a word border
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -136,14 +136,14 @@ class Pieces:
 
     def _viterbi(self, shape: tuple[int, int], hashes) -> list[list[int]]:
         n, size = shape
-        best = np.full((n, size + 1), -np.inf)
+        best = np.full((n, size + 1), -np.inf, np.float32)
         best[:, 0] = 0
         back = np.zeros((n, size + 1), np.int64)
         rows = np.arange(n)
         for end in range(1, size + 1):
             starts = np.arange(max(0, end - self.longest), end)
             at = self.probe(hashes(rows[:, None], starts[None, :], np.full((1, 1), end)))
-            score = np.where(at >= 0, self.scores[at] if len(self.scores) else 0, -np.inf)
+            score = np.where(at >= 0, self.scores[at] if len(self.scores) else 0, -np.inf).astype(np.float32)
             score[:, -1] = np.where(at[:, -1] >= 0, score[:, -1], self.unknown_score)
             total = best[:, starts] + score
             choice = total.argmax(1)
