@@ -179,23 +179,26 @@ def shared_regions(points: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def full_sets(df: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """``point, shingles`` of the needed points (``key, a, b, point``), each once."""
-    ids = needed.select("key").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    schema = "a bigint, b bigint, shingles binary"
+    """The rows of ``needed`` (``key, a, b`` and more) with ``shingles``, six bytes of each.
+
+    A point comes twice if rows with equal ids have equal texts.
+    """
+    if needed.count() <= BROADCAST_IDS:  # a bounded side; beyond it, Spark shuffles the texts
+        needed = F.broadcast(needed)
+    schema = "key bigint, a bigint, b bigint, shingles binary"
     target = arrow_of(schema)
 
     def run(batches):
         for keys, texts in chunks(batches):
             value, ends = shingle_sets(texts, words)
             begin = np.concatenate([[0], ends[:-1]])
-            blobs = [value[s:e].tobytes() for s, e in zip(begin, ends)]
-            columns = [*set_names(value, ends), blobs]
+            blobs = [six_bytes(value[s:e] >> np.uint64(16)) for s, e in zip(begin, ends)]
+            columns = [keys, *set_names(value, ends), blobs]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
-    some = df.join(ids, df["key"].eqNullSafe(ids["key"]), "left_semi")
-    sets = some.mapInArrow(run, schema)
-    return sets.join(needed.select("a", "b", "point"), ["a", "b"]).select("point", "shingles").dropDuplicates(["point"])
+    some = df.join(needed, df["key"].eqNullSafe(needed["key"]), "left_semi")
+    sets = some.mapInArrow(run, schema).drop("key")
+    return sets.join(needed.drop("key"), ["a", "b"]).drop("a", "b")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -206,7 +209,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             common = [
-                len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                len(np.intersect1d(from_six_bytes(a), from_six_bytes(b), assume_unique=True))
                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64())], schema=target)
@@ -317,38 +320,52 @@ def leaf_links(shingles: list[np.ndarray], regions: list[np.ndarray], percent: i
     return links
 
 
-def leaf_join(regions: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """``a, b``: links within unions (column ``union``) of regions, several unions to a task, none cut."""
+def leaf_join(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links within whole unions of regions; a task (``part``) takes several unions and cuts none."""
     schema = "a bigint, b bigint"
     target = arrow_of(schema)
-    points = regions.groupBy("union", "point").agg(F.collect_list("region").alias("regions"))
-    points = points.join(sets, "point").withColumn("part", F.pmod(F.xxhash64("union"), F.lit(parts)).cast("int"))
-
-    def run(table: pa.Table) -> pa.Table:
-        point = table.column("point").to_numpy()
-        shingles = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        lists = table.column("regions").combine_chunks()
-        flat, cuts = lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1]
-        links = np.array(leaf_links(shingles, np.split(flat, cuts), percent), np.int64).reshape(-1, 2)
+
+    def run(placed: pa.Table, texts: pa.Table) -> pa.Table:
+        point, first = np.unique(texts.column("point").to_numpy(), return_index=True)
+        blobs = texts.column("shingles")
+        shingles = [from_six_bytes(blobs[i].as_py()) for i in first.tolist()]
+        owner, region = placed.column("point").to_numpy(), placed.column("region").to_numpy()
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], point)[1:]
+        links = np.array(leaf_links(shingles, np.split(region[order], cuts), percent), np.int64).reshape(-1, 2)
         return pa.Table.from_arrays([pa.array(point[links[:, i]]) for i in (0, 1)], schema=target)
 
-    return points.select("part", "point", "regions", "shingles").groupBy("part").applyInArrow(run, schema)
+    return entries.groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(run, schema)
 
 
-def all_links(regions: DataFrame, sets: DataFrame, percent: int, leaf_shingles: int, task_shingles: int) -> DataFrame:
+def all_links(
+    docs: DataFrame, rows: DataFrame, regions: DataFrame, words: int, percent: int, leaf_shingles: int, task_shingles: int
+) -> DataFrame:
     """Links of all regions: leaves where unions of regions are small enough, rounds of pivots where not."""
+    spark = regions.sparkSession
     least = regions.groupBy("region").agg(F.min("point").alias("b"))
-    unions = components(regions.join(least, "region").select(F.col("point").alias("a"), "b").distinct())
-    placed = regions.join(unions.select(F.col("node").alias("point"), F.col("component").alias("union")), "point")
-    placed = materialize(placed, "placed")
-    weight = placed.select("union", "point", "n").distinct().groupBy("union").agg(F.sum("n").alias("weight"))
-    weight = materialize(weight, "weights")
+    stars = materialize(regions.join(least, "region").select(F.col("point").alias("a"), "b").distinct(), "stars")
+    unions = components(stars)
+    reclaim(spark)
+    sizes = regions.select("point", "n").distinct().join(unions.withColumnsRenamed({"node": "point", "component": "union"}), "point")
+    sizes = materialize(sizes, "points")
+    weight = materialize(sizes.groupBy("union").agg(F.sum("n").alias("weight")), "weights")
     total, most = weight.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.max("weight"), F.lit(0))).first()
-    small = placed.join(weight.where(F.col("weight") <= leaf_shingles), "union")
-    links = leaf_join(small, sets, percent, max(1, -(-total // task_shingles)))
+    parts = max(1, -(-total // task_shingles))
+    part = F.when(F.col("weight") <= leaf_shingles, F.pmod(F.xxhash64("union"), F.lit(parts)).cast("int"))
+    placed = sizes.join(weight, "union").select("point", part.alias("part"))
+    needed = placed.join(rows.select(F.col("row").alias("point"), "key", "a", "b"), "point")
+    needed = materialize(needed, "needed")
+    reclaim(spark)
+    small, own = needed.where(F.col("part").isNotNull()), placed.where(F.col("part").isNotNull())
+    entries = regions.join(own, "point").select("part", "point", "region")
+    links = materialize(leaf_join(entries, full_sets(docs, small, words), percent), "leaves")
+    reclaim(spark)
     if most > leaf_shingles:
-        large = placed.join(weight.where(F.col("weight") > leaf_shingles), "union").select("region", "point", "n")
-        links = links.unionByName(joined_regions(materialize(large, "large"), sets, percent))
+        far = needed.where(F.col("part").isNull())
+        sets = materialize(full_sets(docs, far.drop("part"), words), "sets")
+        far = materialize(regions.join(far.select("point"), "point").select("region", "point", "n"), "large")
+        links = links.unionByName(joined_regions(far, sets, percent))
     return links
 
 
@@ -369,10 +386,7 @@ def jaccard_components(
     total = rows.agg(F.coalesce(F.sum(F.length("first")), F.lit(0))).first()[0] // 6
     regions = materialize(shared_regions(points, percent, max(1, -(-total // part_keys))), "regions")
     reclaim(df.sparkSession)
-    needed = regions.select(F.col("point").alias("row")).distinct().join(rows.select("row", "key", "a", "b"), "row")
-    needed = materialize(needed.withColumnRenamed("row", "point"), "needed")
-    sets = materialize(full_sets(docs, needed, words), "sets")
-    linked = components(all_links(regions, sets, percent, leaf_shingles, task_shingles))
+    linked = components(all_links(docs, rows, regions, words, percent, leaf_shingles, task_shingles))
     of_point = classes.join(linked.withColumnRenamed("node", "point"), "point", "left")
     of_point = of_point.withColumn("component", F.coalesce("component", "point"))
     least = of_point.groupBy("component").agg(F.min("least").alias("component_id"))
