@@ -5,8 +5,8 @@ its size, so the suffixes are sorted one bucket at a time: a cover sample stands
 dealt to buckets by their leading runs, and each bucket is sorted by (run, context, document). Long ties are not
 compared byte by byte: the precomputed hash ranks of runs and windows decide them. The cover is chosen by
 content (the least hash in every window) instead of by place modulo a period: it keeps a difference cover's
-property that two equal strings have a sampled place at the same offset, with 6 % of all places in place of 22 %
-(six residues of 31 would be needed for 50 bytes and runs of 20). See ``repeats``.
+property that two equal strings have a sampled place at the same offset, with 7 % of all places in place of 19 %
+(six residues of 31 would be needed at least). See ``repeats``.
 
 A byte is removed if it lies in a string of ``length`` bytes that also starts in a document with a smaller id.
 Matches never cross documents and are judged on the input. Null text is empty; a null id counts as smaller than
@@ -29,7 +29,7 @@ from .common import importable
 from .hashing import BYTE
 from .repeats import EARLIER, find, runs_of
 
-RUN = 16
+RUN = 24
 COLUMNS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
 
