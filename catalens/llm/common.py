@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -66,8 +67,10 @@ def reclaim(spark: SparkSession) -> None:
 
     Its cleaner acts on the driver's garbage collection, which a short driver program may never reach.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # plans that refer to each other need a second turn
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 class WordCache(dict):
