@@ -128,7 +128,11 @@ def bin_by_cuts(value: Column, cuts: Sequence[float]) -> Column:
 
 
 def calibration_bins(df: DataFrame, risk: str, event: str, *, bins: int = 10) -> DataFrame:
-    """Rows, mean predicted and observed rate per bin between the risk percentiles; empty bins are left out."""
+    """Rows, mean predicted and observed rate per bin between the risk percentiles; empty bins are left out.
+
+    Rows whose risk is null or not a number are in no bin.
+    """
+    df = df.where(F.col(risk).isNotNull() & ~F.isnan(F.col(risk).cast("double")))
     cuts = percentile_values(df, risk, [i / bins for i in range(1, bins)])
     return df.groupBy(bin_by_cuts(F.col(risk), cuts).alias("bin")).agg(
         F.count("*").alias("n"), F.avg(risk).alias("mean_predicted"), F.avg(event).alias("observed_rate")
@@ -213,7 +217,11 @@ def risk_tiers(df: DataFrame, risk: str, event: str, key: str) -> DataFrame:
 
 
 def threshold_tiers(df: DataFrame, risk: str, event: str, *, high: float = 0.3, low: float = 0.15) -> DataFrame:
-    """Tiers by risk thresholds: above ``high``, between, below ``low``."""
+    """Tiers by risk thresholds: above ``high``, between, below ``low``.
+
+    Rows whose risk is null or not a number are in no tier.
+    """
+    df = df.where(F.col(risk).isNotNull() & ~F.isnan(F.col(risk).cast("double")))
     tier = F.when(F.col(risk) > high, "high").when(F.col(risk) >= low, "medium").otherwise("low")
     return df.groupBy(tier.alias("tier")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("events"), F.avg(event).alias("event_rate")

@@ -22,18 +22,20 @@ IDENT = r'(?:\[[^\]]+\]|"[^"]+"|(?:\b[A-Za-z_]|#)[A-Za-z0-9_#$]*+)'
 NAME = rf"{IDENT}(?:\.{IDENT})*+"
 LITERAL = r"(?:'[0-9A-F]*')+"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
-ARGUMENT = r"[^()]*(?:\([^()]*\)[^()]*)*"
+ARGUMENT = r"[^()]*"
+for _level in range(4):  # parentheses inside an argument, four deep
+    ARGUMENT = rf"[^()]*(?:\({ARGUMENT}\)[^()]*)*"
 VALUE = rf"{LITERAL}|@[A-Za-z0-9_]+|\?|{NUMBER}|\(\s*SELECT\b|{NAME}(?:\([^()]*\))?"
 
 COMMENT = r"(?s)('[^']*')|--[^\n]*|/\*.*?\*/"
 FROM_SPLIT = r"(?i)\bFROM\s+"
 JOIN_MARK = r"(?i)\b(?:(INNER|CROSS|LEFT|RIGHT|FULL)\s+)?(?:OUTER\s+)?JOIN\s+"
 ON_PART = r"(?i)\bON\s+(.*)"
-ON_END = r"(?i)\b(?:WHERE|GROUP|ORDER|HAVING|UNION)\b|;"
+ON_END = r"(?i)\b(?:WHERE|GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b|;"
 ON_PAIR = rf"({NAME})\s*=\s*({NAME})"
 AGGREGATE = rf"(?i)\b(SUM|COUNT|AVG|MIN|MAX)\s*\(\s*(?:DISTINCT\s+)?({ARGUMENT})\)(?:\s+AS\s+({IDENT}))?"
 WHERE_SPLIT = r"(?i)\bWHERE\b"
-WHERE_END = r"(?i)\b(?:GROUP|ORDER|HAVING|UNION)\b|;"
+WHERE_END = r"(?i)\b(?:GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b|;"
 CONDITION = (
     rf"(?i)(?:\b(NOT)\s+)?({NAME})\s*(?:"
     rf"(>=|<=|!=|<>|=|>|<)\s*({VALUE})"

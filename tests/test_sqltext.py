@@ -86,3 +86,15 @@ def test_references_and_errors(spark):
     errors = {r.id: r.error for r in st.parse_errors(df, ["id"]).collect()}
     assert errors == {2: "Empty SQL", 3: "Empty SQL", 4: "Unbalanced quotes"}
     assert st.pattern_totals(st.prepare(df)).first().joins == 1
+
+
+def test_tables_named_like_clauses(spark):
+    text = "SELECT 1 FROM dbo.[Order] JOIN Customer c ON Order.CustomerID = c.CustomerID WHERE Order.Status = 'CNCL' AND c.Region = 3 GROUP BY x"
+    pairs = found(spark, "joins", text)[0][3]
+    assert [tuple(p) for p in pairs] == [("Order.CustomerID", "c.CustomerID")]
+    assert len(found(spark, "filters", text)) == 2
+
+
+def test_nested_arguments(spark):
+    text = "SELECT SUM(ISNULL(CAST(x AS DECIMAL(10,2)),0)) AS total FROM t"
+    assert found(spark, "aggregations", text) == [("SUM", "ISNULL(CAST(x AS DECIMAL(10,2)),0)", "total", None)]

@@ -286,3 +286,12 @@ def test_psi_is_zero_for_the_same_data(spark):
     assert ev.psi_drift(df, df, "v").agg(F.sum("psi")).first()[0] == pytest.approx(0)
     shifted = df.withColumn("v", F.col("v") + 500)
     assert ev.psi_drift(df, shifted, "v").agg(F.sum("psi")).first()[0] > 1
+
+
+def test_rows_without_a_risk_are_in_no_bin(spark):
+    from catalens.operators.evaluation import calibration_bins, threshold_tiers
+
+    rows = [(i / 10, i % 2) for i in range(10)] + [(None, 1), (float("nan"), 1)]
+    df = spark.createDataFrame(rows, "risk double, event int")
+    assert sum(r.n for r in calibration_bins(df, "risk", "event", bins=2).collect()) == 10
+    assert sum(r.n for r in threshold_tiers(df, "risk", "event").collect()) == 10
