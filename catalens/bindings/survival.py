@@ -187,6 +187,17 @@ def _(t):
     return flagged.select("l_orderkey", "l_extendedprice", "l_extendedprice_outlier")
 
 
+@R.add(
+    "encode_categories",
+    """SELECT c_custkey, c_mktsegment, n.name_, DENSE_RANK() OVER (ORDER BY n.name_) AS name__code FROM customer
+      JOIN (SELECT n_nationkey, n_name AS name_ FROM nation) n ON n.n_nationkey = c_nationkey""",
+)
+def _(t):
+    nations = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name_"))
+    named = t("customer").join(nations, "c_nationkey").select("c_custkey", "c_mktsegment", "name_")
+    return fe.encode_categories(named, "name_")
+
+
 @R.add(
     "encode_features",
     """SELECT c_custkey, ROUND(ln(1 + GREATEST(c_acctbal, 0)), 6) AS log_c_acctbal,

@@ -34,6 +34,15 @@ LITERAL = "'[^']*'"
 VALUE = st.VALUE.replace(st.LITERAL, LITERAL)
 # DuckDB reads at most nine groups, and the texts hold no NOT
 COND = st.CONDITION.replace(st.VALUE, VALUE).replace("(NOT)", "NOT")
+# the texts hold no CASE inside CASE
+CASE = rf"(?is)(\bCASE\b.*?\bEND\b)(?:\s+(?:AS\s+)?({st.IDENT}))?"
+
+
+def alias_(text: str) -> str:
+    """SQL for an alias, null where the word begins the next clause."""
+    return f"CASE WHEN upper({text}) NOT IN ('FROM', 'WHERE', 'AND', 'OR', 'AS', 'THEN', 'ELSE', 'END', 'DESC', 'GROUP', 'ORDER') THEN NULLIF({text}, '') END"
+
+
 TEXT = {
     "texts": r"SELECT database, object_name, trim(regexp_replace(definition, '\s+', ' ', 'g')) AS s FROM {sql_objects}",
     "froms": f"""SELECT database, object_name, i AS fi, seg FROM (
@@ -54,7 +63,7 @@ TEXT = {
         COALESCE(string_agg({plain(f"regexp_extract(m, {re_(st.ON_PAIR)}, 1)")} || ' = ' || {plain(f"regexp_extract(m, {re_(st.ON_PAIR)}, 2)")}, ' AND ' ORDER BY i), '') AS join_columns
       FROM {{joins}} j LEFT JOIN {{on_pairs}} p ON j.database = p.database AND j.object_name = p.object_name AND j.position = p.position GROUP BY ALL""",
     "aggs": f"""SELECT database, object_name, CAST(i - 1 AS INT) AS position, upper(regexp_extract(m, {re_(st.AGGREGATE)}, 1)) AS function,
-        trim(regexp_extract(m, {re_(st.AGGREGATE)}, 2)) AS "column", NULLIF(regexp_extract(m, {re_(st.AGGREGATE)}, 3), '') AS alias,
+        trim(regexp_extract(m, {re_(st.AGGREGATE)}, 2)) AS "column", {alias_('regexp_extract(m, ' + re_(st.AGGREGATE) + ', 3)')} AS alias,
         NULLIF(regexp_extract(trim(regexp_extract(m, {re_(st.AGGREGATE)}, 2)), '^([A-Za-z_]+)\\.', 1), '') AS context
       FROM (SELECT database, object_name, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
         SELECT database, object_name, regexp_extract_all(s, {re_(st.AGGREGATE)}) AS ms FROM {{texts}}) p) q""",
@@ -69,12 +78,12 @@ TEXT = {
         CASE WHEN g2 <> '' THEN substr(replace(g3, '''', ''), 1, 50) WHEN g4 <> '' THEN substr(replace(g4, '''', ''), 1, 50)
           WHEN g5 <> '' THEN replace(g5, '''', '') WHEN g6 <> '' THEN g6 || ' AND ' || g7 ELSE 'NULL' END AS value_pattern
       FROM {conds}""",
-    "ratios": f"""SELECT database, object_name, i, true AS is_ratio, regexp_extract(m, {re_(st.RATIO)}, 1) AS formula, NULLIF(regexp_extract(m, {re_(st.RATIO)}, 2), '') AS name
+    "ratios": f"""SELECT database, object_name, i, true AS is_ratio, regexp_extract(m, {re_(st.RATIO)}, 1) AS formula, {alias_('regexp_extract(m, ' + re_(st.RATIO) + ', 2)')} AS name
       FROM (SELECT database, object_name, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
         SELECT database, object_name, regexp_extract_all(s, {re_(st.RATIO)}) AS ms FROM {{texts}}) p) q""",
-    "cases": f"""SELECT database, object_name, i, false AS is_ratio, regexp_extract(m, {re_(st.CASE)}, 1) AS formula, NULLIF(regexp_extract(m, {re_(st.CASE)}, 2), '') AS name
+    "cases": f"""SELECT database, object_name, i, false AS is_ratio, regexp_extract(m, {re_(CASE)}, 1) AS formula, {alias_('regexp_extract(m, ' + re_(CASE) + ', 2)')} AS name
       FROM (SELECT database, object_name, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
-        SELECT database, object_name, regexp_extract_all(s, {re_(st.CASE)}) AS ms FROM {{texts}}) p) q
+        SELECT database, object_name, regexp_extract_all(s, {re_(CASE)}) AS ms FROM {{texts}}) p) q
       WHERE regexp_matches(m, {re_(st.HAS_AGGREGATE)})""",
     "metrics": """SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY database, object_name ORDER BY is_ratio DESC, i) - 1 AS INT) AS position,
         array_to_string(regexp_extract_all(formula, '[a-z]\\.[A-Za-z]+'), ', ') AS columns_used

@@ -27,6 +27,13 @@ def _spaced(name: Column) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" "))
 
 
+def _titled(text: Column) -> Column:
+    """Every letter after a non-letter in upper case, all others in lower case."""
+    parts = F.split(F.lower(text), r"(?<=[^\p{L}])(?=\p{L})")
+    raised = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
+    return F.array_join(raised, "")
+
+
 def interpret_metric(name: str = "name", formula: str = "formula", columns: str = "columns_used",
                      is_ratio: str = "is_ratio") -> Column:
     name_ = F.lower(F.coalesce(F.col(name), F.lit("")))
@@ -56,7 +63,7 @@ def interpret_metric(name: str = "name", formula: str = "formula", columns: str
             (ratio, "Ratio calculation - likely a KPI"),
             (status, "Status-based metric (tracks order/item states)"),
             (_member(cols, "date", "time", "created", "modified"), "Time-based calculation (duration, aging, etc.)"),
-            ((name_ != "") & (name_ != "(unnamed)"), F.concat(F.lit("Business metric: "), F.initcap(_spaced(name_)))),
+            ((name_ != "") & (name_ != "(unnamed)"), F.concat(F.lit("Business metric: "), _titled(_spaced(name_)))),
         ],
         "Calculated business metric",
     )

@@ -20,7 +20,10 @@ DOCUMENT = (
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per author file: ``file`` and its whole text."""
+    """One row per author file: ``file`` and its whole text; none for a path that does not exist."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(jpath):
+        return spark.createDataFrame([], "file string, text string")
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 

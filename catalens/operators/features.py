@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..plans.ordered import percentile_values, running
 
 
+HUGE = 1e26
+FRACTION_BITS = 50
+
+
 def lookback_features(
     events: DataFrame,
     origins: DataFrame,
@@ -23,7 +27,9 @@ def lookback_features(
     """Event count (and sum of ``value``) in (origin − n days, origin] for every origin row and window.
 
     The totals up to both window edges are read off one running total per entity, so each event is handled
-    once however many origins and windows cover it, and no event-origin pairs are made.
+    once however many origins and windows cover it, and no event-origin pairs are made. The totals are exact (whole
+    numbers and fractions of 2**-FRACTION_BITS), so a large value before a window takes no digits from it; only
+    among values of ``HUGE`` and more are doubles subtracted.
     """
     edges = [F.struct(F.lit(0).alias("_back"), F.col(origin).alias("_at"))] + [
         F.struct(F.lit(n).alias("_back"), (F.col(origin) - F.expr(f"interval {n} days")).alias("_at")) for n in days
@@ -31,22 +37,29 @@ def lookback_features(
     marks = origins.select(entity, origin).distinct().select(entity, origin, F.inline(F.array(*edges)))
     amount = F.col(value).cast("double") if value else F.lit(0.0)
     finite = F.abs(amount) < F.lit(float("inf"))  # false for NaN too, which orders above infinity
+    usual = F.when(F.abs(amount) < HUGE, amount).otherwise(0.0)
+    whole = F.floor(usual).cast("decimal(38,0)")
+    part = F.floor((usual - F.floor(usual)) * 2.0**FRACTION_BITS).cast("decimal(38,0)")
+    none = F.lit(0).cast("decimal(38,0)")
     kind = marks.schema[origin].dataType
+    sums = {
+        "_n": F.count("*"),
+        "_whole": F.coalesce(F.sum(whole).cast("decimal(38,0)"), none),
+        "_part": F.coalesce(F.sum(part).cast("decimal(38,0)"), none),
+        "_huge": F.coalesce(F.sum(F.when(finite & (F.abs(amount) >= HUGE), amount)), F.lit(0.0)),
+        "_huges": F.count_if(finite & (F.abs(amount) >= HUGE)),
+        "_bad": F.count_if(~finite),
+    }
     rows = events.where(F.col(entity).isNotNull() & F.col(time).isNotNull()).groupBy(
         F.col(entity), F.col(time).cast(kind).alias("_at")
-    ).agg(
-        F.count("*").alias("_rows"),
-        F.coalesce(F.sum(F.when(finite, amount)), F.lit(0.0)).alias("_amount"),
-        F.count_if(~finite).alias("_odd"),
-    )
+    ).agg(*[total.alias(f"_of{name}") for name, total in sums.items()])
+    nothing = {f"_of{name}": F.lit(0).cast(rows.schema[f"_of{name}"].dataType) for name in sums}
     timeline = rows.select(
-        entity, F.lit(None).cast(kind).alias(origin), F.lit(-1).alias("_back"), "_at", "_rows", "_amount", "_odd"
-    ).unionByName(
-        marks.withColumns({"_rows": F.lit(0).cast("long"), "_amount": F.lit(0.0), "_odd": F.lit(0).cast("long")})
-    )
+        entity, F.lit(None).cast(kind).alias(origin), F.lit(-1).alias("_back"), "_at", *nothing
+    ).unionByName(marks.withColumns(nothing))
     # an event at the very time of an edge counts as before it (_back = -1 sorts first)
     upto = running(
-        timeline, ["_at", "_back", origin], partition=[entity], sums={"_n": "_rows", "_total": "_amount", "_bad": "_odd"}
+        timeline, ["_at", "_back", origin], partition=[entity], sums={name: f"_of{name}" for name in sums}
     ).where(F.col("_back") >= 0)
 
     def edge(name: str, back: int) -> Column:
@@ -58,7 +71,10 @@ def lookback_features(
         if value:
             # a value that is not finite spoils the windows that hold it, not all later ones
             spoilt = edge("_bad", 0) > edge("_bad", n)
-            total = edge("_total", 0) - edge("_total", n)
+            exact = (edge("_whole", 0) - edge("_whole", n)).cast("double")
+            exact += (edge("_part", 0) - edge("_part", n)).cast("double") / 2.0**FRACTION_BITS
+            huge = F.when(edge("_huges", 0) > edge("_huges", n), edge("_huge", 0) - edge("_huge", n)).otherwise(0.0)
+            total = exact + huge
             features.append(F.when(spoilt, F.lit(float("nan"))).otherwise(total).alias(f"{value}_{n}d"))
     return upto.groupBy(entity, origin).agg(*features)
 
@@ -141,12 +157,14 @@ def ordinal(column: str, order: Sequence[str]) -> Column:
     return F.nullif(position, F.lit(0)).cast("int").alias(f"{column}_rank")
 
 
-def categories_of(df: DataFrame, column: str, *, limit: int = 1000) -> list[str]:
-    """Sorted categories of a column; too many of them is an error, not a cut."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(found)
+def encode_categories(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``<column>_code``: the 1-based rank of the value among the sorted distinct values, null for null.
+
+    The categories stay a table, however many there are.
+    """
+    found = df.select(column).where(F.col(column).isNotNull()).distinct()
+    codes = running(found.withColumn("_one", F.lit(1).cast("long")), [column], sums={f"{column}_code": "_one"})
+    return df.join(codes.drop("_one"), column, "left").select(*df.columns, f"{column}_code")
 
 
 def temporal_split(

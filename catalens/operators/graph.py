@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.grouped import nested_parts
+from ..plans.grouped import matched, nested_parts
 from ..plans.materialize import materialize
 from ..plans.schemas import TABLE_KEY
 from .classify import domain_of, relationship_of, role_of
@@ -93,15 +93,14 @@ NODE_FIELDS = [
 ]
 
 
-def entities(nodes: DataFrame, rules: dict, *, part_columns: int = 5000) -> DataFrame:
+def entities(nodes: DataFrame, rules: dict, *, parts: int = 1) -> DataFrame:
     """Table nodes with their columns nested, sorted by column name.
 
-    A table of up to ``part_columns`` columns is one row (``part`` 0); a larger one has several parts.
+    Every table gives ``parts`` rows at most, each with a share of its columns, and one row (``part`` 0) by
+    default. The form for tables of any width is ``entity_facts`` next to the column nodes, which nests nothing.
     """
-    facts = materialize(entity_facts(nodes, rules), "facts")  # one row per table, read twice
-    sizes = facts.select(*TABLE_KEY, F.col("column_count").alias("rows"))
-    nested = nested_parts(nodes, TABLE_KEY, F.struct(*NODE_FIELDS), F.col("column_name"), sizes, part_columns)
-    return facts.join(nested.withColumnRenamed("items", "has_column"), TABLE_KEY)
+    nested = nested_parts(nodes, TABLE_KEY, F.struct(*NODE_FIELDS), F.col("column_name"), parts)
+    return matched(entity_facts(nodes, rules), nested.withColumnRenamed("items", "has_column"), TABLE_KEY)
 
 
 def relationships(catalog: DataFrame, rules: dict) -> DataFrame:

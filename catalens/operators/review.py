@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.interpret import interpret_aggregation, interpret_filter, interpret_join, interpret_metric
-from ..plans.grouped import first_per_group
+from ..plans.grouped import first_per_group, matched
 
 # fixed values: words of a formula that are not columns
 FORMULA_KEYWORDS = [
@@ -46,8 +46,9 @@ def review_metrics(found: DataFrame, extra: DataFrame | None = None) -> DataFram
 
     out = rows(found, F.col("importance_score"), F.col("execution_count"), F.col("last_executed"))
     if extra is not None:
-        known = out.select("formula").distinct()
-        unseen = extra.join(known, "formula", "left_anti")
+        known = out.select(F.col("formula").alias("_cut")).distinct()
+        cut = F.substring(F.coalesce("formula", F.lit("")), 1, 200)
+        unseen = extra.withColumn("_cut", cut).join(known, "_cut", "left_anti").drop("_cut")
         # one row per new formula: the first object in name order
         first = unseen.groupBy("formula").agg(
             F.min_by(
@@ -98,7 +99,7 @@ def review_filters(found: DataFrame, *, shown: int = 3) -> DataFrame:
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("_nth", "object_name"))).alias("_heads"))
     )
-    return counts.join(heads, keys).select(
+    return matched(counts, heads, keys).select(
         "frequency", "importance", "column", "operator",
         F.substring(F.coalesce("value_pattern", F.lit("")), 1, 100).alias("typical_values"),
         F.array_join(F.transform("_heads", lambda h: h["object_name"]), ", ").alias("used_in"),

@@ -4,10 +4,10 @@ Works on a defined subset of SQL with regular expressions: every pattern is a pr
 table of texts is mined in one scan without a shuffle. Comments are removed, blanks collapsed, and the
 content of string literals is hex-encoded first, so that words inside literals are never taken for SQL.
 
-Subset: one-level nested parentheses inside function arguments; a join's left side is the table after the
-nearest preceding FROM (``UNKNOWN`` for a derived table); aliases are those given with AS; referenced
-columns are the qualified ones (``t.column``). But for possessive repeats, a matter of speed only, the
-patterns use what Java regex and RE2 share.
+Subset: parentheses nest four deep inside function arguments, CASE inside CASE too, and metrics are the outer three;
+a join's left side is the table after the nearest preceding FROM (``UNKNOWN`` for a derived table); an alias
+may come without AS; referenced columns are the qualified ones (``t.column``). But for possessive repeats, a
+matter of speed only, and CASE, the patterns use what Java regex and RE2 share.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ JOIN_MARK = r"(?i)\b(?:(INNER|CROSS|LEFT|RIGHT|FULL)\s+)?(?:OUTER\s+)?JOIN\s+"
 ON_PART = r"(?i)\bON\s+(.*)"
 ON_END = r"(?i)\b(?:WHERE|GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b|;"
 ON_PAIR = rf"({NAME})\s*=\s*({NAME})"
-AGGREGATE = rf"(?i)\b(SUM|COUNT|AVG|MIN|MAX)\s*\(\s*(?:DISTINCT\s+)?({ARGUMENT})\)(?:\s+AS\s+({IDENT}))?"
+ALIAS = rf"(?:\s+(?:AS\s+)?({IDENT}))?"  # may be a word of NO_ALIAS
+AGGREGATE = rf"(?i)\b(SUM|COUNT|AVG|MIN|MAX)\s*\(\s*(?:DISTINCT\s+)?({ARGUMENT})\){ALIAS}"
 WHERE_SPLIT = r"(?i)\bWHERE\b"
 WHERE_END = r"(?i)\b(?:GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b|;"
 CONDITION = (
@@ -45,12 +46,23 @@ CONDITION = (
     rf"|\sIS\s+(?:(NOT)\s+)?NULL\b)"
 )
 OPERAND = rf"(?:{IDENT}\s*)?\({ARGUMENT}\)|{NAME}|[0-9]+(?:\.[0-9]+)?"
-RATIO = rf"(?i)((?:{OPERAND})\s*/\s*(?:{OPERAND}))(?:\s+AS\s+({IDENT}))?"
-CASE = rf"(?is)(\bCASE\b.*?\bEND\b)(?:\s+AS\s+({IDENT}))?"
+RATIO = rf"(?i)((?:{OPERAND})\s*/\s*(?:{OPERAND})){ALIAS}"
+_NO_CASE = r"(?:(?!\b(?:CASE|END)\b).)*+"
+WHOLE_CASE = rf"\bCASE\b{_NO_CASE}\bEND\b"
+for _level in range(4):  # CASE inside CASE, four deep
+    WHOLE_CASE = rf"\bCASE\b{_NO_CASE}(?:{WHOLE_CASE}{_NO_CASE})*+\bEND\b"
+CASE = rf"(?is)({WHOLE_CASE}){ALIAS}"
 HAS_AGGREGATE = r"(?i)\b(?:SUM|COUNT|AVG)\s*\("
 WORD_OR_CALL = rf"{NAME}\s*\(?"
 TABLE_REF = rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+({NAME})"
 QUALIFIED = rf"{IDENT}\.{IDENT}(?:\.{IDENT})*"
+# fixed values: words after an expression that are no alias
+NO_ALIAS = [
+    "AND", "AS", "ASC", "BEGIN", "BETWEEN", "COLLATE", "CROSS", "DECLARE", "DELETE", "DESC", "ELSE", "END", "EXCEPT", "EXEC",
+    "FETCH", "FILTER", "FOR", "FROM", "FULL", "GROUP", "HAVING", "IF", "IN", "INNER", "INSERT", "INTERSECT", "INTO", "IS",
+    "JOIN", "LEFT", "LIKE", "LIMIT", "NOT", "OFFSET", "ON", "OPTION", "OR", "ORDER", "OVER", "RETURN", "RIGHT", "SELECT",
+    "SET", "THEN", "UNION", "UPDATE", "WHEN", "WHERE", "WITH", "WITHIN",
+]
 # fixed values: words of a formula that are not columns
 FORMULA_WORDS = [
     "CASE", "WHEN", "THEN", "ELSE", "END", "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "BETWEEN", "AS",
@@ -87,6 +99,11 @@ def _or_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def _alias(name: Column) -> Column:
+    """The alias in the text after an expression, null for none; a quoted word is always one."""
+    return F.when(~F.upper(name).isin(NO_ALIAS), _or_null(_unquoted(name)))
+
+
 def _literal_text(value: Column) -> Column:
     """Text of a masked literal; a doubled quote inside it comes back as one quote."""
     parts = F.split(value, "'")
@@ -161,7 +178,7 @@ def aggregations(sql: str = "sql") -> Column:
         return F.struct(
             F.upper(g[0]).alias("function"),
             F.when(column == "", "*").when(plain, _unquoted(column)).otherwise(column).alias("column"),
-            _or_null(_unquoted(g[2])).alias("alias"),
+            _alias(g[2]).alias("alias"),
             F.when(plain, _or_null(_unquoted(prefix))).alias("context"),
         )
 
@@ -231,7 +248,7 @@ def ratio_metrics(sql: str = "sql") -> Column:
     def one(g: Column) -> Column:
         formula = g[0]
         return F.struct(
-            _or_null(_unquoted(g[1])).alias("name"),
+            _alias(g[1]).alias("name"),
             F.substring(_unmasked(formula), 1, 500).alias("formula"),
             formula_columns(F.regexp_replace(formula, LITERAL, "''")).alias("columns_used"),
             F.lit(True).alias("is_ratio"),
@@ -241,19 +258,27 @@ def ratio_metrics(sql: str = "sql") -> Column:
     return F.transform(_matches(text, RATIO, 2), one)
 
 
+def _cases(text: Column, inner: int = 2) -> Column:
+    """Matches of CASE, each followed by those inside it, ``inner`` levels deep."""
+    found = _matches(text, CASE, 2)
+    if not inner:
+        return found
+    return F.flatten(F.transform(found, lambda g: F.concat(F.array(g), _cases(F.substr(g[0], F.lit(5)), inner - 1))))
+
+
 def case_metrics(sql: str = "sql") -> Column:
     """The same fields for every CASE expression that contains SUM, COUNT or AVG."""
 
     def one(g: Column) -> Column:
         formula = g[0]
         return F.struct(
-            _or_null(_unquoted(g[1])).alias("name"),
+            _alias(g[1]).alias("name"),
             F.substring(_unmasked(formula), 1, 500).alias("formula"),
             formula_columns(F.regexp_replace(formula, LITERAL, "''")).alias("columns_used"),
             F.lit(False).alias("is_ratio"),
         )
 
-    found = F.filter(_matches(F.col(sql), CASE, 2), lambda g: g[0].rlike(HAS_AGGREGATE))
+    found = F.filter(_cases(F.col(sql)), lambda g: g[0].rlike(HAS_AGGREGATE))
     return F.transform(found, one)
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.grouped import matched
 from ..plans.ordered import exact_percentiles, running, staged
 
 Z95 = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
@@ -142,7 +143,7 @@ def duration_stats(df: DataFrame, duration: str, event: str) -> DataFrame:
         F.min(duration).alias("min_duration"), F.max(duration).alias("max_duration"),
     )
     median = exact_percentiles(df, duration, [0.5], by=[event]).withColumnRenamed("p0", "median_duration")
-    return plain.join(median, event)
+    return matched(plain, median, [event], "left")
 
 
 def duration_ecdf(df: DataFrame, duration: str, event: str) -> DataFrame:
@@ -150,7 +151,7 @@ def duration_ecdf(df: DataFrame, duration: str, event: str) -> DataFrame:
     per_time, small = staged(df.groupBy(event, duration).agg(F.count("*").alias("n")))
     totals = per_time.groupBy(event).agg(F.sum("n").alias("total"))
     upto = running(per_time, [duration], partition=[event], sums={"upto": "n"}, small=small)
-    return upto.join(totals, event).select(event, duration, "n", (F.col("upto") / F.col("total")).alias("ecdf"))
+    return matched(upto, totals, [event]).select(event, duration, "n", (F.col("upto") / F.col("total")).alias("ecdf"))
 
 
 def duration_histogram(df: DataFrame, duration: str, event: str, *, width: float) -> DataFrame:

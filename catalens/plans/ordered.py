@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import matched
 from .materialize import materialize
 
 SMALL_ROWS = 200_000  # a table of at most this many rows may be ordered in one task
@@ -166,7 +167,7 @@ def exact_percentiles(
     ranked = ranked.withColumn("_from", F.col("_upto") - F.col("_n"))
     if by:
         totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-        ranked = ranked.join(totals, by)
+        ranked = matched(ranked, totals, by)
         size = F.col("_total")
     else:
         size = F.lit(ranked.agg(F.coalesce(F.max("_upto"), F.lit(0))).first()[0])

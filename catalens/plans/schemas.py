@@ -2,30 +2,38 @@
 
 from pyspark.sql import types as T
 
-
-def _fields(spec: str) -> T.StructType:
-    return T.StructType([T.StructField(*_field(part)) for part in spec.split(",")])
-
-
-def _field(part: str):
-    name, kind = part.split(":")
-    kinds = {
-        "s": T.StringType(), "b": T.BooleanType(), "l": T.LongType(),
-        "t": T.TimestampNTZType(), "d": T.DoubleType(),
-    }
-    return name.strip(), kinds[kind.strip()], True
-
-
-CATALOG = _fields(
-    "target:s,server:s,database:s,schema:s,table_name:s,column_name:s,data_type:s,is_nullable:b,"
-    "is_primary_key:b,is_foreign_key:b,fk_references:s,row_count_estimate:l,last_modified:t,scanned_at:t,"
-    "null_count:l,distinct_count:l,profiled_rows:l,null_rate:d"
+CATALOG = (
+    T.StructType()
+    .add("target", "string")
+    .add("server", "string")
+    .add("database", "string")
+    .add("schema", "string")
+    .add("table_name", "string")
+    .add("column_name", "string")
+    .add("data_type", "string")
+    .add("is_nullable", "boolean")
+    .add("is_primary_key", "boolean")
+    .add("is_foreign_key", "boolean")
+    .add("fk_references", "string")
+    .add("row_count_estimate", "long")
+    .add("last_modified", "timestamp_ntz")
+    .add("scanned_at", "timestamp_ntz")
+    .add("null_count", "long")
+    .add("distinct_count", "long")
+    .add("profiled_rows", "long")
+    .add("null_rate", "double")
 )
 
 COLUMN_KEY = ["database", "schema", "table_name", "column_name"]
 TABLE_KEY = ["database", "schema", "table_name"]
 
-DEPENDENCIES = _fields(
-    "database:s,referencing_schema:s,referencing_object:s,referenced_schema:s,referenced_table:s,"
-    "referenced_column:s,referencing_type:s"
+DEPENDENCIES = (
+    T.StructType()
+    .add("database", "string")
+    .add("referencing_schema", "string")
+    .add("referencing_object", "string")
+    .add("referenced_schema", "string")
+    .add("referenced_table", "string")
+    .add("referenced_column", "string")
+    .add("referencing_type", "string")
 )

@@ -27,6 +27,7 @@ def test_merge_files_dedupes_and_skips_corrupt(spark, tmp_path):
     }
     assert an.for_target(merged, "X.dbo.Y").count() == 1
     assert an.for_target(merged, "unknown").count() == 0
+    assert an.merge(an.read_documents(spark, str(tmp_path / "absent"))).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -118,9 +118,11 @@ def test_entities_nest_and_split(spark, happy):
     nodes = graph.column_nodes(wide, default_rules())
     whole = graph.entities(nodes, default_rules()).collect()
     assert len(whole) == 1 and [c.column_name for c in whole[0].has_column] == [f"c{i:02d}" for i in range(1, 51)]
-    parts = graph.entities(nodes, default_rules(), part_columns=10).collect()
+    parts = graph.entities(nodes, default_rules(), parts=5).collect()
     assert len(parts) == 5 and sum(len(p.has_column) for p in parts) == 50
     assert {p.column_count for p in parts} == {50}
+    bare = graph.column_nodes(wide.withColumn("schema", F.lit(None).cast("string")), default_rules())
+    assert graph.entities(bare, default_rules()).count() == 1
 
 
 def test_edges_resolve_to_column_ids(happy):

@@ -85,11 +85,17 @@ def test_first_per_group_prunes_before_the_shuffle(spark):
     assert {r["_nth"] for r in top.collect()} == {1, 2}
 
 
-def test_nested_parts_split_large_groups_only(spark):
-    df = spark.range(900).select(F.when(F.col("id") < 600, "big").otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("k"), "id")
-    sizes = df.groupBy("k").agg(F.count("*").alias("rows"))
-    parts = grouped.nested_parts(df, ["k"], F.col("id"), F.col("id"), sizes, 100).collect()
-    assert sorted(i for p in parts for i in p["items"]) == list(range(900))
-    assert len([p for p in parts if p.k == "big"]) == 6
-    assert all(p.part == 0 for p in parts if p.k != "big")
-    assert all(p["items"] == sorted(p["items"]) for p in parts)
+def test_first_per_group_of_many_rows(spark):
+    df = spark.range(5000).withColumn("k", (F.col("id") % 10 == 9).cast("int"))
+    top = grouped.first_per_group(df, ["k"], [F.col("id").desc()], 2000)
+    assert len({r["_nth"] for r in top.where("k = 0").collect()}) == 2000 and top.where("k = 1").count() == 500
+    assert top.where("k = 0 and _nth = 2000").first().id == 2777
+
+
+def test_nested_parts_split_every_group_alike(spark):
+    df = spark.range(900).select(F.when(F.col("id") < 600, "big").otherwise(F.nullif(F.concat(F.lit("g"), F.col("id") % 5), F.lit("g0"))).alias("k"), "id")
+    for parts in (1, 6):
+        found = grouped.nested_parts(df, ["k"], F.col("id"), F.col("id"), parts).collect()
+        assert sorted(i for p in found for i in p["items"]) == list(range(900))
+        assert {p.k: len([q for q in found if q.k == p.k]) for p in found} == dict.fromkeys(["big", "g1", "g2", "g3", "g4", None], parts)
+        assert all(p["items"] == sorted(p["items"]) for p in found)

@@ -98,3 +98,23 @@ def test_tables_named_like_clauses(spark):
 def test_nested_arguments(spark):
     text = "SELECT SUM(ISNULL(CAST(x AS DECIMAL(10,2)),0)) AS total FROM t"
     assert found(spark, "aggregations", text) == [("SUM", "ISNULL(CAST(x AS DECIMAL(10,2)),0)", "total", None)]
+
+
+def test_aliases_without_as(spark):
+    text = "SELECT SUM(x) total, a.b / c.d share, COUNT(*) FROM t GROUP BY y HAVING MAX(z) > 1 ORDER BY MIN(q) DESC"
+    assert [(r[0], r[2]) for r in found(spark, "aggregations", text)] == [
+        ("SUM", "total"), ("COUNT", None), ("MAX", None), ("MIN", None),
+    ]
+    assert found(spark, "ratio_metrics", text)[0][0] == "share"
+
+
+def test_case_inside_case(spark):
+    text = "SELECT CASE WHEN CASE WHEN a = 1 THEN 2 ELSE 3 END = 2 THEN SUM(b) ELSE CASE WHEN c = 1 THEN AVG(d) END END nested FROM t"
+    rows = found(spark, "case_metrics", text)
+    whole = text[len("SELECT ") : -len(" nested FROM t")]
+    assert [(r[0], r[1]) for r in rows] == [("nested", whole), (None, "CASE WHEN c = 1 THEN AVG(d) END")]
+
+
+def test_long_case_does_not_overflow(spark):
+    text = "SELECT CASE " + "WHEN a = 1 THEN SUM(b) " * 20_000 + "END AS long_one FROM t"
+    assert found(spark, "case_metrics", text)[0][0] == "long_one"

@@ -261,9 +261,8 @@ def test_feature_helpers(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "b"), (100.0, None), (2.0, "z")], "x double, c string")
     low, high = np.percentile([1.0, 2.0, 100.0], [5, 95])
     assert [r.x_w for r in fe.winsorize(df, "x", lower=0.05, upper=0.95).collect()] == [pytest.approx(low), None, pytest.approx(high), 2.0]
-    assert fe.categories_of(df, "c") == ["a", "b", "z"]
-    with pytest.raises(ValueError):
-        fe.categories_of(df, "c", limit=2)
+    codes = fe.encode_categories(df.unionByName(df), "c").collect()
+    assert sorted((r.c or "", r.c_code or 0) for r in codes) == sorted([("a", 1), ("b", 2), ("", 0), ("z", 3)] * 2)
     row = df.select(*fe.one_hot("c", ["a", "b"]), fe.ordinal("c", ["z", "a"]), fe.binned("x", [1, 50])).collect()
     assert [tuple(r) for r in row] == [(1, 0, 2, 1), (0, 1, None, None), (0, 0, None, 2), (0, 0, 1, 1)]
 
@@ -295,3 +294,19 @@ def test_rows_without_a_risk_are_in_no_bin(spark):
     df = spark.createDataFrame(rows, "risk double, event int")
     assert sum(r.n for r in calibration_bins(df, "risk", "event", bins=2).collect()) == 10
     assert sum(r.n for r in threshold_tiers(df, "risk", "event").collect()) == 10
+
+
+def test_lookback_sums_keep_their_digits(spark, many_blocks):
+    from datetime import datetime
+
+    rows = [(1, datetime(2024, 1, 1), 1e17), (1, datetime(2024, 2, 1), 1.5), (1, datetime(2024, 2, 2), -0.25), (2, datetime(2024, 1, 1), 1e30)]
+    events = spark.createDataFrame(rows, "who int, at timestamp, v double")
+    origins = spark.createDataFrame([(1, datetime(2024, 2, 3)), (2, datetime(2024, 2, 3)), (2, datetime(2024, 1, 1))], "who int, o timestamp")
+    out = fe.lookback_features(events, origins, entity="who", time="at", origin="o", days=[7], value="v")
+    assert {(r.who, r.o.month): (r.events_7d, r.v_7d) for r in out.collect()} == {(1, 2): (2, 1.25), (2, 2): (0, 0.0), (2, 1): (1, 1e30)}
+
+
+def test_durations_of_rows_without_event_status(spark):
+    df = spark.createDataFrame([(1, 1), (3, None), (5, None)], "t int, e int")
+    assert {r.e: (r.n, r.median_duration) for r in sv.duration_stats(df, "t", "e").collect()} == {1: (1, 1.0), None: (2, 4.0)}
+    assert {(r.e, r.t): r.ecdf for r in sv.duration_ecdf(df, "t", "e").collect()} == {(1, 1): 1.0, (None, 3): 0.5, (None, 5): 1.0}
