@@ -133,10 +133,32 @@ def sketches(df: DataFrame, words: int, percent: int, common: np.ndarray) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def shared_regions(points: DataFrame, percent: int, parts: int) -> DataFrame:
-    """``region, point, n`` for the first shingles that several points of fitting sizes have."""
+def pair_counts(region: np.ndarray, point: np.ndarray, n: np.ndarray, percent: int, most: int):
+    """``x, nx, y, ny, count``: pairs of fitting sizes within regions (sorted) of up to ``most`` members, x < y."""
+    found = [np.zeros((2, 0), np.int64)]
+    for step in range(1, most):
+        at = np.flatnonzero(region[step:] == region[:-step])
+        to = at + step
+        fits = (np.minimum(n[at], n[to]) * 100 >= np.maximum(n[at], n[to]) * percent) & (point[at] != point[to])
+        at, to = at[fits], to[fits]
+        low = np.where(point[at] < point[to], at, to)
+        found.append(np.stack([low, at + to - low]))
+    a, b = np.concatenate(found, 1)
+    order = np.lexsort((point[b], point[a]))
+    a, b = a[order], b[order]
+    start = np.flatnonzero(groups(point[a], point[b]))
+    return point[a[start]], n[a[start]], point[b[start]], n[b[start]], np.diff(start, append=len(a))
+
+
+def shared_regions(points: DataFrame, percent: int, parts: int, paired: int) -> DataFrame:
+    """The first shingles that several points of fitting sizes have.
+
+    ``region, point, n`` for regions of more than ``paired`` members, ``point, n, other, other_n, shared`` for pairs in
+    smaller ones.
+    """
     request = "part bigint, keys binary, more binary"
-    target, out_schema = arrow_of(request), "region bigint, point bigint, n bigint"
+    target = arrow_of(request)
+    out_schema = "region bigint, point bigint, n bigint, other bigint, other_n bigint, shared bigint"
     out = arrow_of(out_schema)
 
     def put(batches):
@@ -170,14 +192,33 @@ def shared_regions(points: DataFrame, percent: int, parts: int) -> DataFrame:
         new = groups(keys)
         new[1:] |= percent * n[1:] > 100 * n[:-1]  # no smaller one can link with this or a larger one
         region = np.cumsum(new) - 1
-        several = np.bincount(region)[region] > 1
+        members = np.bincount(region)[region]
+        large, small = members > paired, (members > 1) & (members <= paired)
         name = mix(keys + region.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
         # chains of one key get names of their own; their numbers start anew in each part, the keys do not
-        return pa.Table.from_arrays([pa.array(c[several]) for c in (name, point, n)], schema=out)
+        x, nx, y, ny, shared = pair_counts(region[small], point[small], n[small], percent, paired)
+        none = [pa.nulls(int(large.sum()), pa.int64())] * 3
+        whole = pa.Table.from_arrays([*(pa.array(c[large]) for c in (name, point, n)), *none], schema=out)
+        pairs = [pa.nulls(len(x), pa.int64()), *(pa.array(c, pa.int64()) for c in (x, nx, y, ny, shared))]
+        return pa.concat_tables([whole, pa.Table.from_arrays(pairs, schema=out)])
 
     return points.mapInArrow(put, request).groupBy("part").applyInArrow(meet, out_schema)
 
 
+def possible_regions(met: DataFrame, percent: int) -> DataFrame:
+    """``region, point, n``: the large regions of ``shared_regions`` and, as regions of two, pairs that may link."""
+    large = met.where(F.col("region").isNotNull()).select("region", "point", "n")
+    pairs = met.where(F.col("region").isNull()).groupBy("point", "n", "other", "other_n").agg(F.sum("shared").alias("shared"))
+    more = large.groupBy("point").agg(F.count("*").alias("more"))
+    pairs = pairs.join(more, "point", "left").join(more.toDF("other", "other_more"), "other", "left")
+    most = F.col("shared") + F.least(F.coalesce("more", F.lit(0)), F.coalesce("other_more", F.lit(0)))
+    both = F.expr(f"({percent} * (n + other_n) + {99 + percent}) div {100 + percent}")  # rounded up
+    behind = F.expr(f"({percent} * greatest(n, other_n) + 99) div 100 - 1")
+    ends = F.explode(F.array(F.struct("point", "n"), F.struct(F.col("other").alias("point"), F.col("other_n").alias("n"))))
+    pairs = pairs.where(most >= both - behind).select(F.xxhash64("point", "other").alias("region"), ends.alias("end"))
+    return large.unionByName(pairs.select("region", "end.point", "end.n"))
+
+
 def full_sets(df: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """The rows of ``needed`` (``key, a, b`` and more) with ``shingles``, six bytes of each.
 
@@ -371,7 +412,7 @@ def all_links(
 
 def jaccard_components(
     df: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", part_keys: int = 400_000,
-    leaf_shingles: int = 12_000_000, task_shingles: int = 1_500_000,
+    leaf_shingles: int = 12_000_000, task_shingles: int = 1_500_000, paired: int = 16,
 ) -> DataFrame:
     """``key, n_shingles, component_id`` per row: the smallest id that links of J >= percent / 100 lead to."""
     importable(df.sparkSession)
@@ -384,7 +425,8 @@ def jaccard_components(
     classes = materialize(classes, "classes")
     points = named.join(classes.select(F.col("point").alias("row")), "row").select(F.col("row").alias("point"), "n", "first")
     total = rows.agg(F.coalesce(F.sum(F.length("first")), F.lit(0))).first()[0] // 6
-    regions = materialize(shared_regions(points, percent, max(1, -(-total // part_keys))), "regions")
+    met = materialize(shared_regions(points, percent, max(1, -(-total // part_keys)), paired), "met")
+    regions = materialize(possible_regions(met, percent), "regions")
     reclaim(df.sparkSession)
     linked = components(all_links(docs, rows, regions, words, percent, leaf_shingles, task_shingles))
     of_point = classes.join(linked.withColumnRenamed("node", "point"), "point", "left")

@@ -104,8 +104,8 @@ def word_sets(text, words):
     return frozenset([tuple(w)]) if len(w) < words else frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1))
 
 
-@pytest.mark.parametrize("leaf_shingles", [1_000_000, 60])
-def test_jaccard_join(spark, leaf_shingles):
+@pytest.mark.parametrize("leaf_shingles, paired", [(1_000_000, 16), (60, 16), (1_000_000, 1), (60, 3), (1_000_000, 200)])
+def test_jaccard_join(spark, leaf_shingles, paired):
     r = random.Random(5)
     base = [[r.choice("abcdefghij") for _ in range(r.randint(0, 60))] for _ in range(9)]
     docs = []
@@ -121,7 +121,7 @@ def test_jaccard_join(spark, leaf_shingles):
     label = _labels(links)
     ids = np.array([i for i, _ in docs])
     wanted = [(i, len(s), int(ids[label == k].min()) if s else i) for (i, _), s, k in zip(docs, sets, label)]
-    found = jaccard_join.jaccard_components(table(spark, docs), leaf_shingles=leaf_shingles)
+    found = jaccard_join.jaccard_components(table(spark, docs), leaf_shingles=leaf_shingles, paired=paired)
     same(found.collect(), wanted)
 
 
