@@ -17,8 +17,9 @@ those that the triangle inequality excludes by their distances to earlier pivots
 *Pivots.* Larger unions are cut further: their regions are joined recursively by Spark. Each round takes one, two, four ... points of every region as pivots and
 computes each member's exact distance to them. A member within the radius r of a pivot is linked to it, so two
 members of a pivot's ball are in one component whatever their own distance. What may still matter goes to the
-next round: members outside all balls, and, by the triangle inequality, those boundary members of a ball at
-distance d from its pivot for which an outside member lies within d + r of that pivot. Regions of up to
+next round: members outside all balls, and, by the triangle inequality, those members of balls that have, for each
+of their pivots and at distance d from it, a member within d + r of that pivot that no link found so far leads to,
+be it outside all balls or in another one. A region whose members are in one component is done. Regions of up to
 ``leaf`` members compare all. Rounds go on until no region is left; no pair within a ball is ever formed.
 
 Words are what lies between space, tab, line feed, vertical tab, form feed and carriage return, A-Z in lower
@@ -262,7 +263,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def joined_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int = 4) -> DataFrame:
     """``a, b``: links between points, enough to connect all that are linked (see above). One job set a round."""
-    links, known, pivots = [], None, 1
+    links, known, label, pivots = [], None, None, 1
     radius = 1 - percent / 100
     while True:
         order = Window.partitionBy("region").orderBy(F.xxhash64("point"), "point")
@@ -290,17 +291,27 @@ def joined_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int
         seen = seen.withColumns({"linked": linked, "d": F.coalesce(1 - share, 1 - F.col("lo") / F.col("hi"))})
         seen = materialize(seen.select("region", "point", "n", "pivot", "members", "linked", "d"), "distances")
         links.append(seen.where("linked").select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct())
+        more = links[-1] if label is None else links[-1].unionByName(label.toDF("a", "b"))
+        label = materialize(components(more), "labels")
         going = seen.where(F.col("members") > leaf)
         spots = going.select("region", "pivot").distinct().withColumnRenamed("pivot", "point").withColumn("is_pivot", F.lit(True))
         state = going.groupBy("region", "point", "n").agg(F.max("linked").alias("inside"))
         state = state.join(spots, ["region", "point"], "left").where(F.col("is_pivot").isNull()).drop("is_pivot")
+        state = state.join(label.toDF("point", "label"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+        state = materialize(state, "state")
+        labels = state.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        state = state.join(labels.where(F.col("least") < F.col("most")).select("region"), "region")
         outside = state.where(~F.col("inside")).select("region", "point", "n")
-        nearest = going.join(outside.drop("n"), ["region", "point"]).groupBy("region", "pivot").agg(F.min("d").alias("least"))
+        own = label.toDF("pivot", "own")
+        apart = going.join(state.select("region", "point", "label"), ["region", "point"]).join(own, "pivot", "left")
+        apart = apart.where(F.col("label") != F.coalesce("own", "pivot"))
+        nearest = apart.groupBy("region", "pivot").agg(F.min("d").alias("least"))
         edge = (
-            going.where("linked").join(state.where("inside").select("region", "point"), ["region", "point"])
-            .join(nearest, ["region", "pivot"])
-            .where(F.col("d") + radius >= F.col("least") - 1e-9)
-            .select("region", "point", "n").distinct()
+            going.where("linked").join(state.select("region", "point"), ["region", "point"])
+            .join(nearest, ["region", "pivot"], "left")
+            .groupBy("region", "point", "n")
+            .agg(F.min(F.coalesce(F.col("d") + radius >= F.col("least") - 1e-9, F.lit(False))).alias("near"))
+            .where("near").select("region", "point", "n")
         )
         regions = materialize(outside.unionByName(edge), "regions")
         reclaim(regions.sparkSession)
