@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import operator
 import random
 
 import numpy as np
+import pytest
 
-from catalens.llm import jaccard_join
+from catalens.llm import jaccard_join, topk
 from catalens.llm.blocks import six_bytes
 from catalens.llm.components import components
 from catalens.llm.embedding_dedup import _labels
+from catalens.llm.topk import top_k
 
 
 def linked(sets, percent):
@@ -32,3 +36,45 @@ def test_links_between_two_balls_of_a_round(spark):
     for point, component in components(links).collect():
         found.setdefault(component, []).append(point)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+
+
+def best_rows(rows, every, k=5, scale=256):
+    """As the registered SQL: every row of a query meets every row with another id."""
+    use = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v and None not in v]
+    out = []
+    for i in sorted({i for i, _ in use if i % every == 0}):
+        asks = [v for j, v in use if j == i]
+        met = [(-sum(map(operator.mul, v, w)), j) for v in asks for j, w in use if j != i and len(w) == len(v)]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted(met)[:k])]
+    return out
+
+
+def test_top_k_keeps_large_components_and_repeated_rows(spark):
+    r = random.Random(3)
+    rows = [(i, [float(r.randint(-40, 40)) / 8 for _ in range(4)]) for i in range(200)]
+    rows += [(200 + i, [float(r.randint(-5, 5)) * 70_000 + r.randint(0, 3) for _ in range(4)]) for i in range(60)]
+    rows += [(300, [3e6, 2.5, -1.0, 0.0]), (301, [-(2.0**24), 1.0, 0.0, 0.0]), (302, [2.0**24, 2.0**23, 1.0, 1.0])]
+    rows += [(303, [1e6 + i, 1.0, 1.0, 1.0]) for i in range(3)] + [rows[205]] * 3 + [rows[50]] * 2 + [rows[7]] * 7
+    rows += [(100, [1.0, 0.5, 0.25, 0.0]), (350, [1.0]), (351, [90_000.0]), (None, rows[0][1]), (352, None), (400, rows[205][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, top_k(frame, 50, sample_rows=50, block_rows=16).collect()))
+    assert found == best_rows(rows, 50)
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        top_k(frame, 50).collect()
+
+
+def test_bounds_hold_where_floats_round():
+    r = np.random.default_rng(4)
+    asks = np.floor(r.standard_normal((20, 33)) * 2.0 ** r.integers(1, 60, (20, 33)))
+    exact = np.floor(r.standard_normal((30, 33)) * 2.0 ** r.integers(1, 60, (30, 33)))
+    least, most = topk.bounds_of(asks, exact, exact)
+    for i, a in enumerate(asks):
+        for j, b in enumerate(exact):
+            assert least[i, j] <= sum(int(x) * int(y) for x, y in zip(a, b)) <= most[i, j]
+    huge = np.array([[1e300, -1e300, 1.0]])
+    least, most = topk.bounds_of(huge, huge[:, [1, 0, 2]], huge[:, [1, 0, 2]])
+    assert least[0, 0] == -np.inf and most[0, 0] > -np.inf
