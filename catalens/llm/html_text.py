@@ -3,10 +3,13 @@
 Tokens (tags, text, comments) come from one pattern. The tree builder opens and closes what HTML implies: a new
 block ends an open paragraph, an item ends the item before it, rows and cells end each other, end tags close what
 is open inside. Rendering walks the tree without recursion: hidden elements (script, style, head matter,
-``hidden``, ``display:none``, ``visibility:hidden``, ``aria-hidden`` is visible to the eye and stays) give nothing;
+``hidden``, ``display:none``; ``aria-hidden`` is visible to the eye and stays) give nothing; ``visibility`` is
+inherited node by node, so that a visible element in a hidden one shows; what SVG's ``use`` repeats is not followed;
 blocks start on lines of their own, with an empty line around paragraphs, headings, lists and tables; list items
-get ``- `` or their number and are indented; table cells are padded to the width of their column; ``pre`` keeps its
-white space. All other white space collapses to single spaces.
+get ``- `` or their number and are indented; table cells are padded to the width of their column, however deep
+tables nest; ``pre`` keeps its white space. All other white space collapses to single spaces. Of SVG the text
+elements (and HTML in them) show, each set apart by spaces; of MathML the tokens without the white space between
+them, parts of fractions, cells and rows set apart; of select the options, one a line.
 
 All visible text is emitted; boilerplate is not judged. Null html gives an empty text. Broken markup never fails:
 stray end tags are dropped, open elements end with the page, an unfinished tag is text. Rows are independent.
@@ -25,7 +28,11 @@ from .common import text_rows
 
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template title noscript iframe object svg math datalist select audio video canvas".split())
+UNSEEN = frozenset("head script style template title noscript iframe object datalist audio video canvas".split())
+#: never drawn in SVG and MathML
+FOREIGN_UNSEEN = frozenset(
+    "desc metadata defs symbol clippath mask pattern marker annotation annotation-xml mphantom".split()
+)
 RAW = frozenset("script style textarea title iframe noscript template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 BLOCK = SPACED | frozenset(
@@ -34,6 +41,15 @@ BLOCK = SPACED | frozenset(
 )
 ENDS_P = BLOCK - frozenset("html body caption tbody tfoot thead tr".split())
 LISTS = frozenset("ul ol menu".split())
+LINES = frozenset("option optgroup".split())  # start on lines of their own when rendered, end no paragraph
+MATH_TOKENS = frozenset("mi mn mo ms mtext".split())
+#: HTML in SVG and MathML: tags that end it, and elements in which they do not
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = MATH_TOKENS | {"foreignobject", "desc", "title", "annotation-xml"}
+APART = frozenset("td th mtd mtr mfrac".split())
 #: what a start tag ends, and the element at which the search for it stops
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -41,13 +57,14 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-    "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
+    "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -86,6 +103,12 @@ def tree(page: str) -> Node:
             i -= 1
 
     while at < end:
+        foreign = is_open["svg"] or is_open["math"]
+        if foreign and page.startswith("<![CDATA[", at):
+            stop = page.find("]]>", at)
+            path[-1].children.append(page[at + 9 : stop if stop >= 0 else end])
+            at = stop + 3 if stop >= 0 else end
+            continue
         token = TOKEN.match(page, at)
         at = token.end()
         name = token[2]
@@ -107,12 +130,21 @@ def tree(page: str) -> Node:
                     if path[i].tag in barrier:
                         break
             continue
+        if foreign and name in BREAKS_OUT:
+            for i in range(len(path) - 1, 0, -1):
+                if path[i].tag in HOLDS_HTML:
+                    break
+                if path[i].tag in ("svg", "math"):
+                    cut(i)
+            foreign = is_open["svg"] or is_open["math"]
         if name in ENDS_P:
             close({"p"}, {"td", "th", "table", "button"})
         if name in IMPLIED:
             close(*IMPLIED[name])
         node = Node(name, attributes_of(token[3]))
         path[-1].children.append(node)
+        if foreign and token[3].rstrip().endswith("/"):
+            continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if name == "textarea":
@@ -124,13 +156,49 @@ def tree(page: str) -> Node:
     return root
 
 
-def hidden(node: Node) -> bool:
+def gone(node: Node, place: str) -> bool:
+    """Whether a node and all below it give nothing."""
     a = node.attributes
+    if place and (node.tag in FOREIGN_UNSEEN or a.get("display", "").strip().lower() == "none"):
+        return True
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
         return True
     return (node.tag == "dialog" and "open" not in a) or ("style" in a and bool(HIDING.search(a["style"])))
 
 
+@dataclass(frozen=True)
+class State:
+    """What nodes inherit: kept white space, visibility, and the place.
+
+    It is ``svg`` (where no text shows), ``svg text``, ``math``, ``math token`` or empty in HTML.
+    """
+
+    keep: bool = False
+    shown: bool = True
+    place: str = ""
+
+    def below(self, node: Node) -> State:
+        tag, place, shown = node.tag, self.place, self.shown
+        if tag in ("svg", "math"):
+            place = tag
+        elif place == "svg" and tag == "text":
+            place = "svg text"
+        elif place and tag == "foreignobject":
+            place = ""
+        elif place == "math" and tag in MATH_TOKENS:
+            place = "math token"
+        value = node.attributes.get("visibility", "").strip().lower() if place else ""
+        if "style" in node.attributes:
+            found = VISIBILITY.findall(node.attributes["style"])
+            value = found[-1].lower() if found else value
+        if value in ("hidden", "collapse"):
+            shown = False
+        elif value in ("visible", "initial"):
+            shown = True
+        keep = self.keep or tag in ("pre", "textarea")
+        return self if (keep, shown, place) == (self.keep, self.shown, self.place) else State(keep, shown, place)
+
+
 class Lines:
     """Rendered lines; white space between words and between blocks is decided when the next text comes."""
 
@@ -187,103 +255,133 @@ class Lines:
             self.gap = 1
 
 
-def table_lines(node: Node) -> list[str]:
-    """Rows of a table with every column padded to its widest cell."""
-    rows, captions, waiting = [], [], list(reversed(node.children))
+def table_lines(node: Node, state: State):
+    """Rows of a table with every column padded to its widest cell; asks for the texts of cells."""
+    rows, captions, waiting = [], [], [(x, state) for x in reversed(node.children)]
     while waiting:
-        x = waiting.pop()
+        x, state = waiting.pop()
         if isinstance(x, str):
             if x.strip():
-                captions.append(Node("div", {}, [x]))
-        elif hidden(x):
+                captions.append((x, state))
+            continue
+        if gone(x, state.place):
             continue
-        elif x.tag == "tr":
-            cells = [c for c in x.children if not (isinstance(c, str) and not c.strip())]
-            cells = [c if isinstance(c, Node) else Node("td", {}, [c]) for c in cells]
-            rows.append([(render(Node("div", {}, c.children)).split("\n"), c) for c in cells if not hidden(c)])
+        below = state.below(x)
+        if x.tag == "tr":
+            row = []
+            for c in x.children:
+                if isinstance(c, str):
+                    if c.strip():
+                        row.append(((yield [c], below)).split("\n"))
+                elif not gone(c, below.place):
+                    row.append(((yield c.children, below.below(c))).split("\n"))
+            rows.append(row)
         elif x.tag in ("td", "th"):
-            rows.append([(render(Node("div", {}, x.children)).split("\n"), x)])
+            rows.append([((yield x.children, below)).split("\n")])
         elif x.tag in ("tbody", "thead", "tfoot"):
-            waiting += reversed(x.children)
+            waiting += [(c, below) for c in reversed(x.children)]
         else:
-            captions.append(x)
-    out = [line for c in captions for line in render(Node("div", {}, [c])).split("\n") if line]
+            captions.append((x, state))
+    out = []
+    for x, state in captions:
+        out += [line for line in ((yield [x], state)).split("\n") if line]
     widths: list[int] = []
     for row in rows:
-        for i, (lines, _) in enumerate(row):
+        for i, lines in enumerate(row):
             widths += [0] * (i + 1 - len(widths))
             widths[i] = max(widths[i], *map(len, lines))
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            cells = [lines[k] if k < len(lines) else "" for lines, _ in row]
+        for k in range(max((len(lines) for lines in row), default=0)):
+            cells = [lines[k] if k < len(lines) else "" for lines in row]
             out.append("  ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip())
     return out
 
 
-def render(root: Node, depth: int = 0) -> str:
+def rendering(nodes: list, state: State):
+    """The text of nodes; a generator that yields ``(nodes, state)`` of what it needs the text of first."""
     out = Lines()
-    waiting: list[tuple] = [("open", root, False)]
+    waiting: list[tuple] = [("open", x, state) for x in reversed(nodes)]
     while waiting:
-        step, node, keep = waiting.pop()
+        step, node, state = waiting.pop()
         if step == "close":
-            out.block(node.tag in SPACED and not (node.tag in LISTS and out.prefix))
+            if node.tag in BLOCK or node.tag in LINES:
+                out.block(node.tag in SPACED and not (node.tag in LISTS and out.prefix))
+            else:
+                out.space = True
             if node.tag == "li" or node.tag in ("blockquote", "dd"):
                 if node.tag == "li" and out.marker is not None:
                     out.end_line()
                 out.prefix.pop()
             continue
         if isinstance(node, str):
-            out.text(node, keep)
+            if state.shown and state.place != "svg" and not (state.place == "math" and node.isspace()):
+                out.text(node, state.keep)
             continue
         tag = node.tag
-        if hidden(node):
+        if gone(node, state.place):
             continue
-        if tag == "br":
-            out.end_line(forced=not out.words)
+        apart = tag in APART or (tag == "text" and state.place == "svg")
+        in_fraction = tag == "mfrac"
+        state = state.below(node)
+        if tag in ("br", "img", "input"):
+            if not state.shown or state.place == "svg":
+                continue
+            if tag == "br":
+                out.end_line(forced=not out.words)
+            else:
+                out.text(node.attributes.get("alt" if tag == "img" else "value", ""), False)
         elif tag == "hr":
             out.block(True)
-        elif tag == "img":
-            out.text(node.attributes.get("alt", ""), False)
-        elif tag == "input":
-            out.text(node.attributes.get("value", ""), False)
-        elif tag == "table" and tables_inside(node) < 8:
+        elif tag == "table":
             out.block(True)
-            for line in table_lines(node):
+            for line in (yield from table_lines(node, state)):
                 if line:
                     out.word(line)
                     out.end_line()
             out.block(True)
         else:
-            is_block = tag in BLOCK
-            if is_block:
+            if tag in BLOCK or tag in LINES:
                 nested = tag in LISTS and out.prefix
                 out.block(tag in SPACED and not nested)
                 if tag == "li":
-                    out.prefix.append(" " * len(node.attributes.get("#mark", "- ")))
-                    out.marker = node.attributes.get("#mark", "- ")
+                    mark = node.attributes.get("#mark", "- ")
+                    out.prefix.append(" " * len(mark))
+                    if state.shown:
+                        out.marker = mark
                 elif tag in ("blockquote", "dd"):
                     out.prefix.append("  ")
-                waiting.append(("close", node, keep))
+                waiting.append(("close", node, state))
+            elif apart:
+                out.space = True
+                waiting.append(("close", node, state))
             if tag in LISTS:
                 number_items(node)
-            keep = keep or tag in ("pre", "textarea")
-            waiting += [("open", child, keep) for child in reversed(node.children)]
+            label = node.attributes.get("label", "") if tag in LINES else ""
+            children = [label] if label and tag == "option" else node.children
+            if label and tag == "optgroup":
+                children = [Node("option", {}, [label]), *children]
+            if in_fraction:
+                children = [y for x in children for y in (x, Node("mtd"))]
+            waiting += [("open", child, state) for child in reversed(children)]
             if tag in ("td", "th"):
                 out.space = True
     out.end_line()
     return "\n".join(out.done).strip("\n")
 
 
-def tables_inside(node: Node) -> int:
-    """How deep tables nest in this one; beyond a few levels cells are rendered as running text."""
-    deepest, waiting = 0, [(node, 0)]
-    while waiting:
-        x, depth = waiting.pop()
-        if isinstance(x, Node):
-            depth += x.tag == "table"
-            deepest = max(deepest, depth)
-            waiting += [(c, depth) for c in x.children]
-    return deepest
+def render(root: Node) -> str:
+    """The text of a tree; what waits for the texts of cells stands on a stack of its own, so any depth will do."""
+    stack, text = [rendering([root], State())], None
+    while stack:
+        try:
+            wanted = stack[-1].send(text)
+        except StopIteration as done:
+            stack.pop()
+            text = done.value
+        else:
+            stack.append(rendering(*wanted))
+            text = None
+    return text
 
 
 def number_items(node: Node) -> None:

@@ -13,6 +13,7 @@ from catalens.llm import jaccard_join, topk
 from catalens.llm.blocks import six_bytes
 from catalens.llm.components import components
 from catalens.llm.embedding_dedup import _labels
+from catalens.llm.html_text import visible_text
 from catalens.llm.topk import top_k
 
 
@@ -78,3 +79,24 @@ def test_bounds_hold_where_floats_round():
     huge = np.array([[1e300, -1e300, 1.0]])
     least, most = topk.bounds_of(huge, huge[:, [1, 0, 2]], huge[:, [1, 0, 2]])
     assert least[0, 0] == -np.inf and most[0, 0] > -np.inf
+
+
+def test_html_shows_all_visible_text():
+    svg = "<p>a</p><svg><title>t</title><style/><text x=1>Q<tspan>1</tspan></text><text><![CDATA[b > a]]></text>lost<desc>d</desc></svg><p>z"
+    assert visible_text(svg) == "a\n\nQ1 b > a\n\nz"
+    math = "<p>so <math><mi>x</mi> <mo>=</mo>\n<mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> holds"
+    assert visible_text(math) == "so x= 1 2 holds"
+    assert visible_text("<svg><text>in<div>out</div>, <desc>seen</desc>") == "in\nout\n, seen"
+    form = "<p>Pick<select><option>One<option selected>Two<optgroup label=More><option label=Three>3</select>now"
+    assert visible_text(form) == "Pick\nOne\nTwo\nMore\nThree\nnow"
+    hidden = "<div style='visibility:hidden'>no<ul><li>no<b style='visibility: visible'>yes</b></ul><img alt=no></div>end"
+    assert visible_text(hidden).split() == ["yes", "end"]
+    row = "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>x</table>"
+    assert visible_text(row).split() == ["x"]
+
+
+def test_html_aligns_cells_of_tables_at_any_depth():
+    inner = "<tr><td>long name<td>1<tr><td>b<td>22"
+    for depth in (1, 7, 8, 40, 1500):
+        page = "<table><tr><td>" * (depth - 1) + "<table>" + inner + "</table>" * depth + "end"
+        assert visible_text(page) == "long name  1\nb          22\n\nend"
