@@ -27,10 +27,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of each group of near-duplicates (5 words, J >= 0.8)."""
-    groups = jaccard_components(docs, words=5, percent=80)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Keep one row of each group of near-duplicates (5 words, J >= 0.8): the one with the smallest id, nulls last.
+
+    Rows are told apart by numbers of their own, so repeated and null ids do not keep more. The numbers are fixed by
+    writing the documents once.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_components(rows, words=5, percent=80, key="_row").select("_row", "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least")
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

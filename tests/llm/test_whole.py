@@ -100,3 +100,19 @@ def test_html_aligns_cells_of_tables_at_any_depth():
     for depth in (1, 7, 8, 40, 1500):
         page = "<table><tr><td>" * (depth - 1) + "<table>" + inner + "</table>" * depth + "end"
         assert visible_text(page) == "long name  1\nb          22\n\nend"
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    text = [" ".join(r.choice("abcdefghijkl") for _ in range(60)) for _ in range(6)]
+    near = text[0] + " z"
+    docs = [(1, text[0]), (1, text[0]), (1, text[1]), (3, near), (2, text[2]), (2, text[3]), (4, text[3]), (9, "")]
+    docs += [(None, text[4]), (None, text[4] + " z"), (None, text[5]), (5, text[5]), (None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = corpus_pipeline.distinct_documents(spark, frame, "").collect()
+    assert len(found) == 8
+    ids = {i: sorted((x or "") for j, x in map(tuple, found) if j == i) for i in (1, 2, 3, 4, 5, 9, None)}
+    assert ids[1] == sorted(text[:2]) and ids[2] == sorted(text[2:4]) and ids[3] == ids[4] == []
+    assert ids[5] == [text[5]] and ids[9] == [""] and ids[None][0] == "" and ids[None][1] in (text[4], text[4] + " z")
