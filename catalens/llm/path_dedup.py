@@ -1,8 +1,9 @@
-"""Removal of long repeated word spans by a compacted De Bruijn graph.
+"""Removal of long repeated word spans by hashes of windows, after the picture of a compacted De Bruijn graph.
 
-Nodes are runs of ``RUN`` words, chosen by content so that equal windows of ``length`` words contain the same node
+The graph itself is not built: there are no joins of k-mer edges, no path compaction by joins, and the words of
+windows with equal hashes are not compared again. In the picture, nodes are runs of ``RUN`` words, chosen by content so that equal windows of ``length`` words contain the same node
 at the same offset. An edge is a node with its stretch of windows (a run of k-mers that leads through it). Edges
-of all documents meet in Spark joins by their node: a node whose edges are all alike does not branch, so the whole
+of all documents meet in Spark by their node's hash: a node whose edges are all alike does not branch, so the whole
 stretch is compacted into one path and is settled at once if it occurs again. At branching nodes, one copy of
 each distinct edge is opened into its single windows, which are compared across the corpus; the source coordinates
 of the settled windows then mark the words. See ``repeats``.

@@ -1,9 +1,9 @@
-"""Exact removal of byte strings that an earlier document already has, by blockwise sorting of suffixes.
+"""Removal of byte strings that an earlier document already has, by hashes of windows in place of sorted suffixes.
 
-Only the first ``length`` bytes of a suffix matter here. A full suffix array of the corpus would be several times
-its size, so the suffixes are sorted one bucket at a time: a cover sample stands for all places, its suffixes are
-dealt to buckets by their leading runs, and each bucket is sorted by (run, context, document). Long ties are not
-compared byte by byte: the precomputed hash ranks of runs and windows decide them. The cover is chosen by
+Only the first ``length`` bytes of a suffix matter here, and a full suffix array of the corpus would be several
+times its size. So no suffixes are sorted and no ranks are made: a cover sample stands for all places, and its
+places are dealt to buckets by the hash of their run, where hashes of stretches and windows, sorted with their
+documents, decide what is equal; bytes are not compared again. The cover is chosen by
 content (the least hash in every window) instead of by place modulo a period: it keeps a difference cover's
 property that two equal strings have a sampled place at the same offset, with 7 % of all places in place of 19 %
 (six residues of 31 would be needed at least). See ``repeats``.
