@@ -100,6 +100,8 @@ def test_html_aligns_cells_of_tables_at_any_depth():
     for depth in (1, 7, 8, 40, 1500):
         page = "<table><tr><td>" * (depth - 1) + "<table>" + inner + "</table>" * depth + "end"
         assert visible_text(page) == "long name  1\nb          22\n\nend"
+        page = "<table><tr><td>long name<td>1<tr><td>b<td>" + "<table><tr><td>" * depth + "22" + "</table>" * (depth + 1) + "end"
+        assert visible_text(page) == "long name  1\nb          22\n\nend"
 
 
 def test_pipeline_keeps_one_row_of_each_group(spark):
