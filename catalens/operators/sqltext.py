@@ -4,14 +4,22 @@ Works on a defined subset of SQL with regular expressions: every pattern is a pr
 table of texts is mined in one scan without a shuffle. Comments are removed, blanks collapsed, and the
 content of string literals is hex-encoded first, so that words inside literals are never taken for SQL.
 
-Subset: parentheses nest four deep inside function arguments, CASE inside CASE too, and metrics are the outer three;
-a join's left side is the table after the nearest preceding FROM (``UNKNOWN`` for a derived table); an alias
-may come without AS; referenced columns are the qualified ones (``t.column``). But for possessive repeats, a
-matter of speed only, and CASE, the patterns use what Java regex and RE2 share.
+Expressions may nest to any depth. One scan over the brackets and the CASE, BEGIN and END of a text gives each its
+depth (``tagged``); a bracket closes at the next one of its own depth, which a back reference finds. Patterns are
+looked for at every place, also inside others: an aggregate in another's argument, a CASE inside a CASE, a division
+inside a bracket. A division takes what is multiplied or divided to its left and one operand to its right.
+
+Subset: a join's left side is the table after the nearest preceding FROM (``UNKNOWN`` for a derived table), tables
+after a comma are inner joins without columns; an alias may come without AS and may follow OVER (...), and belongs to
+a division or CASE that begins its select item, or to an aggregate right before it; referenced columns are the qualified ones (``t.column``).
+A null text has no pattern. A bracket that never closes is no argument.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +30,6 @@ IDENT = r'(?:\[[^\]]+\]|"[^"]+"|(?:\b[A-Za-z_]|#)[A-Za-z0-9_#$]*+)'
 NAME = rf"{IDENT}(?:\.{IDENT})*+"
 LITERAL = r"(?:'[0-9A-F]*')+"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
-ARGUMENT = r"[^()]*"
-for _level in range(4):  # parentheses inside an argument, four deep
-    ARGUMENT = rf"[^()]*(?:\({ARGUMENT}\)[^()]*)*"
 VALUE = rf"{LITERAL}|@[A-Za-z0-9_]+|\?|{NUMBER}|\(\s*SELECT\b|{NAME}(?:\([^()]*\))?"
 
 COMMENT = r"(?s)('[^']*')|--[^\n]*|/\*.*?\*/"
@@ -34,7 +39,6 @@ ON_PART = r"(?i)\bON\s+(.*)"
 ON_END = r"(?i)\b(?:WHERE|GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b|;"
 ON_PAIR = rf"({NAME})\s*=\s*({NAME})"
 ALIAS = rf"(?:\s+(?:AS\s+)?({IDENT}))?"  # may be a word of NO_ALIAS
-AGGREGATE = rf"(?i)\b(SUM|COUNT|AVG|MIN|MAX)\s*\(\s*(?:DISTINCT\s+)?({ARGUMENT})\){ALIAS}"
 WHERE_SPLIT = r"(?i)\bWHERE\b"
 WHERE_END = r"(?i)\b(?:GROUP\s+BY|ORDER\s+BY|HAVING|UNION)\b|;"
 CONDITION = (
@@ -45,17 +49,52 @@ CONDITION = (
     rf"|\s(?:(NOT)\s+)?BETWEEN\s+({VALUE})\s+AND\s+({VALUE})"
     rf"|\sIS\s+(?:(NOT)\s+)?NULL\b)"
 )
-OPERAND = rf"(?:{IDENT}\s*)?\({ARGUMENT}\)|{NAME}|[0-9]+(?:\.[0-9]+)?"
-RATIO = rf"(?i)((?:{OPERAND})\s*/\s*(?:{OPERAND})){ALIAS}"
-_NO_CASE = r"(?:(?!\b(?:CASE|END)\b).)*+"
-WHOLE_CASE = rf"\bCASE\b{_NO_CASE}\bEND\b"
-for _level in range(4):  # CASE inside CASE, four deep
-    WHOLE_CASE = rf"\bCASE\b{_NO_CASE}(?:{WHOLE_CASE}{_NO_CASE})*+\bEND\b"
-CASE = rf"(?is)({WHOLE_CASE}){ALIAS}"
 HAS_AGGREGATE = r"(?i)\b(?:SUM|COUNT|AVG)\s*\("
 WORD_OR_CALL = rf"{NAME}\s*\(?"
 TABLE_REF = rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+({NAME})"
 QUALIFIED = rf"{IDENT}\.{IDENT}(?:\.{IDENT})*"
+# brackets and CASE ... END carry their depth between these two characters; a third marks where select items begin
+OPEN, SHUT, ITEM = "\x02", "\x03", "\x04"
+BRACKET = r"(?i)[()]|\b(?:CASE|END)\b|\bBEGIN\b(?!\s+TRAN)"
+TAG = rf"{OPEN}-?[0-9]+{SHUT}|{ITEM}"
+ITEM_START = r"(?i)(\bSELECT\s(?:(?:DISTINCT|ALL)\s|TOP\s*(?:[0-9]+|\(\x02-?[0-9]+\x03[^()]*\)\x02-?[0-9]+\x03)\s)*|,\s?)"
+LISTED = rf"{NAME}(?:\s+(?:AS\s+)?(?!(?:INNER|CROSS|LEFT|RIGHT|FULL|OUTER|JOIN)\b){IDENT})?"
+FROM_LIST = rf"(?i)^{LISTED}(?:\s*,\s*{LISTED})+"
+
+
+def nested(group: int, opens: str = r"\(", shuts: str = r"\)") -> str:
+    """From a bracket to its partner, never further; uses ``group`` for the depth and the next group for what is inside."""
+    return rf"{opens}{OPEN}(-?[0-9]+){SHUT}(?>(.*?){shuts}{OPEN}\{group}{SHUT})"
+
+
+def behind(group: int) -> str:
+    """What may stand between an aggregate and its alias."""
+    return rf"(?:\s*(?:OVER|FILTER|WITHIN GROUP)\s*{nested(group)}|\s+OVER\s+{IDENT})*+"
+
+
+# fixed values: words that no operand begins with
+NO_OPERAND = (
+    "SELECT|DISTINCT|ALL|TOP|WHEN|THEN|ELSE|END|AND|OR|NOT|WHERE|ON|BY|HAVING|IN|BETWEEN|LIKE|SET|RETURN|FROM|CASE|AS|IF|"
+    "WHILE|PRINT|VALUES|UNION|EXCEPT|INTERSECT|LIMIT|OFFSET|INTO|IS|EXISTS|BEGIN|JOIN|OVER"
+)
+AGGREGATE_AT = r"(?:SUM|COUNT|AVG|MIN|MAX)\s*\("
+
+
+def operand(group: int) -> str:
+    """One operand; uses four groups, or six with what stands behind a call."""
+    call = rf"(?!(?:{NO_OPERAND})\b)(?:{NAME}\s*)?{nested(group)}{behind(group + 2)}"
+    case = nested(group + 4, r"\bCASE", r"\bEND")
+    return rf"(?:{call}|{case}|(?!(?:{NO_OPERAND})\b){NAME}|@[A-Za-z0-9_]+|[0-9]+(?:\.[0-9]*)?|{LITERAL})"
+
+
+AGGREGATE = rf"(?is)({ITEM}?)\b(SUM|COUNT|AVG|MIN|MAX)\s*{nested(3)}{behind(5)}{ALIAS}"
+FACTOR = rf"(?is)\s*([*/%]?)\s*-?{operand(2)}"
+DIVISION = rf"(?is)({ITEM}?)({operand(3)}(?:\s*[*/%]\s*-?{operand(9)})+){ALIAS}"
+CASE = rf"(?is)({ITEM}?)\b({nested(3, 'CASE', 'END')}){ALIAS}"
+#: Where a match may begin: not inside a name or number, nor behind a mark or an operator that binds as tightly.
+FREE = rf"(?<![A-Za-z0-9_.$#@\]{ITEM}])"
+CALLED = rf"(?:(?!\()|(?<=\b(?:{NO_OPERAND.removesuffix('|OVER')})\s)|(?<![A-Za-z0-9_\]\"]\s))"  # no bracket of a call
+FREE_FACTOR = rf"{FREE}(?<![*/%\"'])(?<![*/%]\s){CALLED}"
 # fixed values: words after an expression that are no alias
 NO_ALIAS = [
     "AND", "AS", "ASC", "BEGIN", "BETWEEN", "COLLATE", "CROSS", "DECLARE", "DELETE", "DESC", "ELSE", "END", "EXCEPT", "EXEC",
@@ -91,6 +130,80 @@ def prepare(objects: DataFrame, definition: str = "definition") -> DataFrame:
     return objects.withColumn("sql", masked(definition))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column) -> Column:
+    """Running sums of a short array."""
+    empty = F.array().cast("array<int>")
+    return F.aggregate(
+        values, empty, lambda a, x: F.concat(a, F.array(x + F.when(F.size(a) > 0, F.get(a, F.size(a) - 1)).otherwise(0)))
+    )
+
+
+def _depths(steps: Column) -> Column:
+    """Running sums of an array, in blocks of its square root: sums within each block, and over the blocks before it."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(steps))).cast("int"), F.lit(1))
+    starts = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), width)).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda at: _running(F.slice(steps, at, width)))
+
+    def joined(b: Column) -> Column:
+        ends = _running(F.concat(F.array(F.lit(0)), F.transform(b, lambda x: F.element_at(x, -1))))
+        pairs = F.filter(F.arrays_zip(b.alias("b"), ends.alias("e")), lambda z: z["b"].isNotNull())
+        return F.flatten(F.transform(pairs, lambda z: F.transform(z["b"], lambda x: x + z["e"])))
+
+    return _let(blocks, joined)
+
+
+def tagged(sql: str = "sql") -> Column:
+    """The masked text with the depth behind each bracket, CASE, BEGIN and END; partners have the same one."""
+    text = F.regexp_replace(F.col(sql), "[\x01-\x04]", " ")
+    pieces = F.split(F.regexp_replace(text, BRACKET, "\x01$0\x01"), "\x01")
+
+    def tags(marks: Column, opens: list[str], shuts: list[str]) -> Column:
+        steps = F.transform(marks, lambda m: F.when(m.isin(opens), 1).when(m.isin(shuts), -1).otherwise(0))
+        return _let(steps, lambda s: F.zip_with(_depths(s), s, lambda d, step: d + F.when(step < 0, 1).otherwise(0)))
+
+    def of_pieces(p: Column) -> Column:
+        marks = F.transform(F.filter(p, lambda _, i: i % 2 == 1), F.upper)
+
+        def of_marks(m: Column) -> Column:
+            both = F.zip_with(
+                tags(m, ["("], [")"]), tags(m, ["CASE", "BEGIN"], ["END"]), lambda d, level: F.struct(d.alias("d"), level.alias("level"))
+            )
+            tag = F.zip_with(m, both, lambda x, z: F.concat(
+                F.lit(OPEN), F.when(x.isin("(", ")"), z["d"]).otherwise(z["level"]).cast("string"), F.lit(SHUT)))
+            plain = F.filter(p, lambda _, i: i % 2 == 0)
+            marked = F.zip_with(F.filter(p, lambda _, i: i % 2 == 1), tag, lambda x, y: F.concat(x, y))
+            return F.array_join(F.zip_with(plain, marked, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+
+        return _let(marks, of_marks)
+
+    return F.regexp_replace(_let(pieces, of_pieces), ITEM_START, f"$1{ITEM}")
+
+
+def _plain(text: Column) -> Column:
+    """Text without tags."""
+    return F.regexp_replace(text, TAG, "")
+
+
+def _everywhere(text: Column, pattern: str, groups: int, free: str = FREE) -> Column:
+    """As ``_matches``, for matches at every place, also inside one another."""
+    flags, body = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
+    # the match is looked for ahead of a place, as group 1; its own groups come one later there
+    shifted = _shift(body)
+    found = _all(text, f"{flags}{free}(?=({shifted}))", 1)
+    joined = "\x01".join(f"${i}" for i in range(1, groups + 1))
+    return F.transform(found, lambda m: F.split(F.regexp_replace(m, f"{flags}^{body}$", joined), "\x01"))
+
+
+def _shift(pattern: str) -> str:
+    """A pattern whose back references count one more group."""
+    return re.sub(r"\\([0-9]+)", lambda m: f"\\{int(m.group(1)) + 1}", pattern)
+
+
 def _unquoted(name: Column) -> Column:
     return F.regexp_replace(name, r'[\[\]"]', "")
 
@@ -146,10 +259,12 @@ def joins(sql: str = "sql") -> Column:
     def of_from(segment: Column) -> Column:
         start = _or_null(F.regexp_extract(segment, rf"^({NAME})", 1))
         left = F.coalesce(_unquoted(start), F.lit("UNKNOWN"))
-        marked = F.regexp_replace(segment, JOIN_MARK, "\x01$1\x02")
+        listed = F.regexp_extract(segment, FROM_LIST, 0)
+        rest = F.substr(segment, F.length(listed) + 1)
+        marked = F.concat(F.regexp_replace(listed, ",", "\x01\x02"), F.regexp_replace(rest, JOIN_MARK, "\x01$1\x02"))
 
         def of_join(piece: Column) -> Column:
-            kind, rest = F.substring_index(piece, "\x02", 1), F.substring_index(piece, "\x02", -1)
+            kind, rest = F.substring_index(piece, "\x02", 1), F.ltrim(F.substring_index(piece, "\x02", -1))
             on = F.get(F.split(F.regexp_extract(rest, ON_PART, 1), ON_END, 2), 0)
             pairs = F.transform(
                 _matches(on, ON_PAIR, 2),
@@ -172,17 +287,17 @@ def aggregations(sql: str = "sql") -> Column:
     """``function, column, alias, context`` of every SUM, COUNT, AVG, MIN and MAX."""
 
     def one(g: Column) -> Column:
-        column = F.trim(g[1])
+        column = F.regexp_replace(F.trim(_plain(g[3])), r"(?i)^DISTINCT\s+", "")
         plain = column.rlike(rf"^{NAME}$")
         prefix = F.regexp_extract(column, rf"^({IDENT})\.", 1)
         return F.struct(
-            F.upper(g[0]).alias("function"),
+            F.upper(g[1]).alias("function"),
             F.when(column == "", "*").when(plain, _unquoted(column)).otherwise(column).alias("column"),
-            _alias(g[2]).alias("alias"),
+            _alias(g[6]).alias("alias"),
             F.when(plain, _or_null(_unquoted(prefix))).alias("context"),
         )
 
-    return F.transform(_matches(F.col(sql), AGGREGATE, 3), one)
+    return F.transform(_everywhere(tagged(sql), AGGREGATE, 7), one)
 
 
 def filters(sql: str = "sql") -> Column:
@@ -242,44 +357,36 @@ def _unmasked(text: Column) -> Column:
     )
 
 
+def _metric(name: Column, formula: Column, ratio: bool) -> Column:
+    formula = F.trim(_plain(formula))
+    return F.struct(
+        name.alias("name"),
+        F.substring(_unmasked(formula), 1, 500).alias("formula"),
+        formula_columns(F.regexp_replace(formula, LITERAL, "''")).alias("columns_used"),
+        F.lit(ratio).alias("is_ratio"),
+    )
+
+
 def ratio_metrics(sql: str = "sql") -> Column:
     """``name, formula, columns_used, is_ratio`` of every division."""
 
-    def one(g: Column) -> Column:
-        formula = g[0]
-        return F.struct(
-            _alias(g[1]).alias("name"),
-            F.substring(_unmasked(formula), 1, 500).alias("formula"),
-            formula_columns(F.regexp_replace(formula, LITERAL, "''")).alias("columns_used"),
-            F.lit(True).alias("is_ratio"),
+    def of_chain(g: Column) -> Column:
+        factors = _all(g[1], FACTOR)
+        last = F.size(factors) - 1
+        places = F.filter(F.sequence(F.lit(0), last), lambda i: F.trim(F.get(factors, i)).startswith("/"))
+        whole = F.when(g[0] != "", _alias(g[14]))
+        return F.transform(
+            places, lambda i: _metric(F.when(i == last, whole), F.array_join(F.slice(factors, F.lit(1), i + 1), ""), True)
         )
 
-    text = F.when(F.contains(F.col(sql), F.lit("/")), F.col(sql)).otherwise("")
-    return F.transform(_matches(text, RATIO, 2), one)
-
-
-def _cases(text: Column, inner: int = 2) -> Column:
-    """Matches of CASE, each followed by those inside it, ``inner`` levels deep."""
-    found = _matches(text, CASE, 2)
-    if not inner:
-        return found
-    return F.flatten(F.transform(found, lambda g: F.concat(F.array(g), _cases(F.substr(g[0], F.lit(5)), inner - 1))))
+    text = F.when(F.contains(F.col(sql), F.lit("/")), tagged(sql)).otherwise("")
+    return F.flatten(F.transform(_everywhere(text, DIVISION, 15, FREE_FACTOR), of_chain))
 
 
 def case_metrics(sql: str = "sql") -> Column:
     """The same fields for every CASE expression that contains SUM, COUNT or AVG."""
-
-    def one(g: Column) -> Column:
-        formula = g[0]
-        return F.struct(
-            _alias(g[1]).alias("name"),
-            F.substring(_unmasked(formula), 1, 500).alias("formula"),
-            formula_columns(F.regexp_replace(formula, LITERAL, "''")).alias("columns_used"),
-            F.lit(False).alias("is_ratio"),
-        )
-
-    found = F.filter(_cases(F.col(sql)), lambda g: g[0].rlike(HAS_AGGREGATE))
-    return F.transform(found, one)
+    found = F.filter(_everywhere(tagged(sql), CASE, 5), lambda g: g[1].rlike(HAS_AGGREGATE))
+    return F.transform(found, lambda g: _metric(F.when(g[0] != "", _alias(g[4])), g[1], False))
 
 
 def metrics(sql: str = "sql") -> Column:
