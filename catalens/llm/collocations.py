@@ -6,11 +6,11 @@ partitions, a word at a time. The pointers that equal the pivot down to depth d
 d words, so the size of an equal partition is that phrase's count. A partition that is smaller than the least count is
 abandoned, with everything below it.
 
-Before routing, suffixes are cut where no frequent phrase can go on: hashed counts of words and of pairs of
-neighbouring words say which cannot reach the least count (a cell holds at least its own words' count, so only
-infrequent ones are cut off). Tasks count equal suffixes before they send them. A pair whose cell shows that it is
-very frequent is routed by all its words, so one part never gets all of it; counts of such pairs, and of triples that
-start with them, are sums over parts.
+Before routing, suffixes are cut where no frequent phrase can go on: hashed counts of words and pairs of neighbours,
+then of triples and quadruples made of frequent pairs, say which cannot reach the least count (a cell holds at least
+its own phrases' count, so only infrequent ones are cut off). Tasks count equal suffixes before they send them. A pair
+whose cell shows that it is very frequent is routed by all words of the suffix, so one part never gets all of it;
+counts of such pairs, and of triples that start with them, are sums over parts.
 
 Words are ``[^\\x20\\x09]+`` within pieces, which end at any of ``.,;:!?`` and line breaks (0A to 0D); A-Z are
 lower-cased, other letters stay. Null text is empty, null languages are ``und``. Repeated rows count as often as they
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from .hashing import BYTE, LOWER, Runs, mix
 DEPTH = 4
 CHUNK_BYTES = 4 << 20
 HEAVY, HOT_CELLS = 1 << 17, 1 << 16  # pointers at a pair beyond which it is routed by all words; how many such at most
-PART_POINTERS = 1 << 18
+PART_BYTES, STORED_SUFFIXES = 8 << 20, 200_000  # of text for each part; entries that a task holds
 LARGEST_TEXT_SLICE = 4 << 20
 
 BLANK = np.zeros(256, bool)
@@ -46,7 +47,7 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True  # fixed values: what ends a piece
 PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]")
 
-SUFFIXES = "lang string, suffix string, depth int, route bigint, n bigint"
+SUFFIXES = "part bigint, lang string, suffixes binary, depths binary, counts binary"
 PHRASES = "lang string, phrase string, words int, n bigint"
 
 
@@ -60,6 +61,14 @@ def in_slices(data: bytes) -> Iterator[bytes]:
         at = end
 
 
+def cells_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def set_in(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+
+
 class Places:
     """The words of some texts of one language: where each starts and ends, its hash, and whether the next follows it."""
 
@@ -88,6 +97,27 @@ class Places:
         following = np.concatenate([self.words[1:], self.words[:1]])
         return single, mix(single * np.uint64(0x9E3779B97F4A7C15) + following)
 
+    def reach(self, bits: int, often: np.ndarray) -> np.ndarray:
+        """How many words the suffix at each place has if it is cut at infrequent words and pairs, 0 to ``DEPTH``."""
+        single, pair = self.hashes()
+        word_ok = set_in(often, cells_of(single, bits))
+        link = self.goes_on & word_ok & np.concatenate([word_ok[1:], [False]]) & set_in(often, cells_of(pair, bits))
+        size, going = word_ok.astype(np.int64), word_ok.copy()
+        for step in range(1, DEPTH):
+            going &= np.concatenate([link[step - 1 :], np.zeros(step - 1, bool)])[: len(going)]
+            size += going
+        return size
+
+    def codes(self, size: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the first 1, 2, 3 and 4 words at each place, no more of them than ``size``."""
+        single = self.hashes()[0]
+        out = [single]
+        for step in range(1, DEPTH):
+            following = np.concatenate([single[step:], single[:step]])
+            longer = mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + following + np.uint64(step))
+            out.append(np.where(size > step, longer, out[-1]))
+        return out
+
     def text(self, first: int, count: int) -> bytes:
         """A phrase, its words parted by one blank each."""
         return b" ".join(self.raw[self.starts[i] : self.ends[i]] for i in range(first, first + count))
@@ -126,35 +156,48 @@ def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Places]]
 # --- first pass: hashed counts ----------------------------------------------------------------------
 
 
-def cell_bits(texts: DataFrame) -> int:
-    """So many cells that a cell's share of all words and pairs stays below the least count, up to 2**30 cells.
+def cell_bits(size: int) -> int:
+    """So many cells for texts of ``size`` bytes that a cell's share of all words and pairs stays below the least
+    count, up to 2**30 cells.
 
     A bit per cell is broadcast, 128 MB at most; beyond that (some 16 GB of text) cells fill up, fewer suffixes are cut
     before the shuffle, and results stay the same.
     """
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return min(30, max(16, (size // 16).bit_length()))
 
 
-def cells_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def cell_counts(texts: DataFrame, bits: int, parts: int) -> DataFrame:
-    """Per chunk of a task and part of the cells: sorted cells that words or pairs fall in, and how many.
+def cell_counts(texts: DataFrame, bits: int, parts: int, least: int, heavy: int, often: np.ndarray | None) -> DataFrame:
+    """``part, often, hot, lang, words``: bits of the cells with ``least`` and more, and the cells with over ``heavy``.
 
-    Rows of part -1 hold the number of words of a language instead.
+    Without ``often``, words and pairs are counted; with it (the result of that), triples and quadruples of what is
+    frequent, and the cells of words in frequent pairs are set: the counts of other words are not needed. Tasks send sorted cells and counts per chunk of text and part of the cells. Rows of part -1 hold the
+    number of words of a language instead.
     """
     schema = "part bigint, cells binary, counts binary, lang string, words bigint"
-    target = arrow_of(schema)
+    result = "part bigint, often binary, hot binary, lang string, words bigint"
+    target, reply = arrow_of(schema), arrow_of(result)
     edges = np.array([(i << bits) // parts for i in range(parts + 1)])
+    shared = texts.sparkSession.sparkContext.broadcast(often)  # at most 128 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, int] = {}
+        known = shared.value
         for lang, places in places_of(batches):
-            single, pair = places.hashes()
-            words[lang] = words.get(lang, 0) + len(single)
-            cells, n = np.unique(cells_of(np.concatenate([single, pair[places.goes_on]]), bits), return_counts=True)
+            if known is None:
+                single, pair = places.hashes()
+                words[lang] = words.get(lang, 0) + len(single)
+                hashes = np.concatenate([single, pair[places.goes_on]])
+            else:
+                size = places.reach(bits, known)
+                codes = places.codes(size)
+                hashes = np.concatenate([codes[2][size > 2], codes[3][size > 3]])
+            cells, n = np.unique(cells_of(hashes, bits), return_counts=True)
+            if known is not None:  # words of frequent pairs get the least count
+                linked = size > 1
+                linked[1:] |= linked[:-1]
+                cells = np.concatenate([cells, cells_of(np.unique(codes[0][linked]), bits)])
+                cells, place = np.unique(cells, return_inverse=True)
+                n = np.bincount(place, np.concatenate([n, np.full(len(place) - len(n), least)]), len(cells)).astype(np.int64)
             at = np.searchsorted(cells, edges)
             some = [i for i in range(parts) if at[i] < at[i + 1]]
             yield pa.RecordBatch.from_arrays(
@@ -175,28 +218,34 @@ def cell_counts(texts: DataFrame, bits: int, parts: int) -> DataFrame:
             schema=target,
         )
 
-    return texts.mapInArrow(run, schema)
-
-
-def frequent_cells(counts: DataFrame, bits: int, parts: int, least: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bit per cell that may hold something frequent, and the cells with more than ``heavy``, a bounded number."""
-    edges = [(i << bits) // parts for i in range(parts + 1)]
-
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = key[0].as_py()
+        if part < 0:
+            for batch in batches:
+                n = batch.num_rows
+                lang, words = (batch.column(batch.schema.names.index(c)) for c in ("lang", "words"))
+                empty = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), empty, empty, lang, words], schema=reply)
+            return
         sums = np.zeros(edges[part + 1] - edges[part], np.int64)
         for batch in batches:
             names = batch.schema.names
             for cells, n in zip(batch.column(names.index("cells")), batch.column(names.index("counts"))):
                 sums[unpacked(cells.as_py(), np.uint32)] += unpacked(n.as_py(), np.uint32)
-        often, hot = packed(np.packbits(sums >= least)), packed(np.flatnonzero(sums > heavy) + edges[part])
+        bitmap, hot = packed(np.packbits(sums >= least)), packed(np.flatnonzero(sums > heavy) + edges[part])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part]), pa.array([often], pa.binary()), pa.array([hot], pa.binary())], names=["part", "often", "hot"]
+            [pa.array([part]), pa.array([bitmap]), pa.array([hot]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())],
+            schema=reply,
         )
 
-    found = counts.where("part >= 0").groupBy("part").applyInArrow(total, "part bigint, often binary, hot binary")
+    return materialize(texts.mapInArrow(run, schema).groupBy("part").applyInArrow(total, result), "cells")
+
+
+def frequent_cells(counts: DataFrame, bits: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """All bits, packed, and the very frequent cells; one row per part of the cells reaches the driver."""
+    edges = [(i << bits) // parts for i in range(parts + 1)]
     out, hots = np.zeros(1 << bits, bool), [np.zeros(0, np.int64)]
-    for part, often, hot in found.collect():  # one row per part, bits of all cells together
+    for part, often, hot in counts.where("part >= 0").select("part", "often", "hot").collect():
         size = edges[part + 1] - edges[part]
         out[edges[part] : edges[part + 1]] = np.unpackbits(unpacked(often, np.uint8))[:size].astype(bool)
         hots.append(unpacked(hot, np.int64))
@@ -206,59 +255,69 @@ def frequent_cells(counts: DataFrame, bits: int, parts: int, least: int, heavy:
 # --- second pass: suffixes, routed by leading words -------------------------------------------------
 
 
-def routed_suffixes(texts: DataFrame, bits: int, frequent: np.ndarray, heavy: np.ndarray) -> DataFrame:
-    """``lang, suffix, depth, route, n``: suffixes cut where nothing frequent goes on, counted per chunk of a task.
+def routed_suffixes(
+    texts: DataFrame, bits: int, parts: int, often: np.ndarray, longer: np.ndarray, heavy: np.ndarray
+) -> DataFrame:
+    """``part, lang, suffixes, depths, counts``: suffixes cut where nothing frequent goes on, counted within a task,
+    one row for all that go the same way at a time (joined by line breaks, which no word holds).
 
     ``depth`` says from how many words on a phrase's count is whole in one part. Single words (depth 1, suffix of one
     word) go by that word; longer suffixes by their first two words, those of very frequent pairs by all (depth 4).
     """
     target = arrow_of(SUFFIXES)
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, heavy))  # at most 128 MB and HOT_CELLS numbers
-
-    def set_in(bitmap: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        return (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+    shared = texts.sparkSession.sparkContext.broadcast((often, longer, heavy))  # 256 MB at most, and HOT_CELLS numbers
+
+    def rows_of(store: dict[tuple, list]) -> Iterator[pa.RecordBatch]:
+        if not store:
+            return
+        langs, values = [k[0] for k in store], list(store.values())
+        names, lang = np.unique(np.array(langs, object), return_inverse=True)
+        part = np.mod(np.array([v[2] for v in values], np.int64), parts)
+        order = np.lexsort((part, lang))
+        cuts = np.flatnonzero(np.diff(lang[order] * parts + part[order])) + 1
+        rows = []
+        for some in np.split(order, cuts):
+            own = [values[i] for i in some.tolist()]
+            rows.append((
+                int(part[some[0]]), names[lang[some[0]]], zstandard.ZstdCompressor(level=3).compress(b"\n".join(v[0] for v in own)),
+                packed(np.array([v[1] for v in own], np.uint8)), packed(np.array([v[3] for v in own], np.int64)),
+            ))
+        for low in range(0, len(rows), 1000):
+            columns = zip(*rows[low : low + 1000])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, hot = shared.value
+        pairs, more, hot = shared.value
+        store: dict[tuple, list] = {}
         for lang, places in places_of(batches):
-            single, pair = places.hashes()
-            if not len(single):
+            size = places.reach(bits, pairs)
+            if not len(size):
                 continue
-            word_ok, cells = set_in(often, cells_of(single, bits)), cells_of(pair, bits)
-            link = places.goes_on & word_ok & np.concatenate([word_ok[1:], [False]]) & set_in(often, cells)
-            size = word_ok.astype(np.int64)  # words of the suffix at each place
-            reach = word_ok.copy()
-            for step in range(1, DEPTH):
-                reach &= np.concatenate([link[step - 1 :], np.zeros(step - 1, bool)])[: len(reach)]
-                size += reach
-            code = single.copy()
-            routes = []  # hash of the first 1, 2, ... words
-            for step in range(DEPTH):
-                if step:
-                    following = np.concatenate([single[step:], single[:step]])
-                    code = np.where(size > step, mix(code * np.uint64(0x9E3779B97F4A7C15) + following + np.uint64(step)), code)
-                routes.append(code.copy())
+            codes = places.codes(size)
+            size[(size > 2) & ~set_in(more, cells_of(codes[2], bits))] = 2
+            size[(size > 3) & ~set_in(more, cells_of(codes[3], bits))] = 3
+            whole = np.choose(np.maximum(size - 1, 0), codes)
+            pair = cells_of(places.hashes()[1], bits)
+            single_ok = set_in(more, cells_of(codes[0], bits))
             for deep in (False, True):
-                at = np.flatnonzero(size > 1 if deep else size > 0)
-                keys = routes[-1][at] if deep else routes[0][at]
-                some, first, n = np.unique(keys, return_index=True, return_counts=True)
+                at = np.flatnonzero(size > 1 if deep else single_ok)
+                keys, first, n = np.unique((whole if deep else codes[0])[at], return_index=True, return_counts=True)
                 at = at[first]
-                count = size[at] if deep else np.ones(len(at), np.int64)
-                depth, route = np.ones(len(at), np.int32), some
-                if deep:
-                    is_hot = np.isin(cells[at], hot)
-                    depth = np.where(is_hot, DEPTH, 2).astype(np.int32)
-                    route = np.where(is_hot, some, routes[1][at])
-                for low in range(0, len(at), 20_000):
-                    own = slice(low, low + 20_000)
-                    made = [places.text(i, c) for i, c in zip(at[own].tolist(), count[own].tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(made), pa.string()), pa.array(made, pa.binary()).cast(pa.string()),
-                            pa.array(depth[own]), pa.array(route[own].view(np.int64)), pa.array(n[own].astype(np.int64)),
-                        ],
-                        schema=target,
-                    )
+                is_hot = np.isin(pair[at], hot)
+                words = size[at] if deep else np.ones(len(at), np.int64)
+                depth = np.where(is_hot, DEPTH, 2) if deep else words
+                route = np.where(is_hot, keys, codes[1][at]) if deep else keys
+                columns = (x.tolist() for x in (keys, at, words, depth, route.view(np.int64), n))
+                for code, place, count, whole_from, to, times in zip(*columns):
+                    key = (lang, code, deep)
+                    if key in store:
+                        store[key][3] += times
+                    else:
+                        store[key] = [places.text(place, count), whole_from, to, times]
+            if len(store) > STORED_SUFFIXES:
+                yield from rows_of(store)
+                store = {}
+        yield from rows_of(store)
 
     return texts.mapInArrow(run, SUFFIXES)
 
@@ -300,10 +359,15 @@ def worth(pointers: np.ndarray, weights: np.ndarray, routed: np.ndarray, depth:
 
 def phrases_of_part(table: pa.Table, least: int, target: pa.Schema) -> pa.Table:
     """Sort the suffixes of one part and give ``lang, phrase, words, n`` of its equal partitions."""
-    langs, names = table.column("lang").to_pylist(), table.column("suffix").to_pylist()
-    split = [x.split(" ") for x in names]
+    langs, split, weights, routed = [], [], [], []
+    for lang, suffixes, depths, counts in zip(*(table.column(c).to_pylist() for c in ("lang", "suffixes", "depths", "counts"))):
+        own = zstandard.ZstdDecompressor().decompress(suffixes).decode().split("\n")
+        split += [x.split(" ") for x in own]
+        langs += [lang] * len(own)
+        routed.append(unpacked(depths, np.uint8))
+        weights.append(unpacked(counts, np.int64))
+    weights, routed = np.concatenate(weights), np.concatenate(routed)
     known = {w: i for i, w in enumerate(sorted({w for x in split for w in x}))}
-    weights, routed = (table.column(c).to_numpy() for c in ("n", "depth"))
     words = np.full((len(split), DEPTH), -1, np.int64)
     for i, x in enumerate(split):
         words[i, : len(x)] = [known[w] for w in x]
@@ -323,27 +387,25 @@ def phrases_of_part(table: pa.Table, least: int, target: pa.Schema) -> pa.Table:
 
 
 def frequent_phrases(texts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """``lang, phrase, words, n`` of all phrases of 1 to 4 words that occur ``least`` times, and ``lang, total`` words."""
+    """``lang, phrase, words, n`` of all phrases of 2 to 4 words that occur ``least`` times and of their words, and
+    ``lang, total`` words."""
     spark = texts.sparkSession
-    bits = cell_bits(texts)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits, partitions = cell_bits(size), int(spark.conf.get("spark.sql.shuffle.partitions"))
     cell_parts = max(partitions, (1 << bits) >> 21)
-    counts = materialize(cell_counts(texts, bits, cell_parts), "cells")
+    heavy = max(HEAVY, size // HOT_CELLS)  # so at most HOT_CELLS cells, there being less words and pairs than bytes
+    counts = cell_counts(texts, bits, cell_parts, least, heavy, None)
     totals = counts.where("part = -1").groupBy("lang").agg(F.sum("words").alias("total"))
-    words = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    frequent, heavy = frequent_cells(counts, bits, cell_parts, least, max(HEAVY, 2 * words // HOT_CELLS))
-    suffixes = materialize(routed_suffixes(texts, bits, frequent, heavy), "suffixes")
-    parts = max(partitions, -(-suffixes.count() // PART_POINTERS))
-
+    often, hot = frequent_cells(counts, bits, cell_parts)
+    longer, _ = frequent_cells(cell_counts(texts, bits, cell_parts, least, heavy, often), bits, cell_parts)
+    parts = max(partitions, size // PART_BYTES)
+    suffixes = routed_suffixes(texts, bits, parts, often, longer, hot)
     target = arrow_of(PHRASES)
 
     def part(table: pa.Table) -> pa.Table:
         return phrases_of_part(table, least, target)
 
-    found = (
-        suffixes.withColumn("part", F.pmod("route", F.lit(parts)))
-        .groupBy("part").applyInArrow(part, PHRASES)
-    )
+    found = suffixes.groupBy("part").applyInArrow(part, PHRASES)
     summed = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return materialize(summed, "phrases"), totals
 
