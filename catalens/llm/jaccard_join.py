@@ -324,11 +324,31 @@ def joined_regions(regions: DataFrame, sets: DataFrame, percent: int, leaf: int
     return out
 
 
+def numbered(sets: list[np.ndarray], step: int = 1 << 20) -> np.ndarray:
+    """The sets one after the other, every different value replaced by its rank; the list is emptied on the way.
+
+    Values are merged some sets at a time, so that beside the sets there is little more than their different values
+    and four bytes for each entry.
+    """
+    known, waiting, size = np.zeros(0, np.uint64), [], 0
+    for i, some in enumerate(sets):
+        waiting.append(some)
+        size += len(some)
+        if size >= step or i + 1 == len(sets):
+            known, waiting, size = np.unique(np.concatenate([known, *waiting])), [], 0
+    out = np.empty(sum(map(len, sets)), np.int32)
+    at = 0
+    for i, some in enumerate(sets):
+        out[at : at + len(some)] = np.searchsorted(known, some)
+        at, sets[i] = at + len(some), known[:0]
+    return out
+
+
 def leaf_links(shingles: list[np.ndarray], regions: list[np.ndarray], percent: int, kept_pivots: int = 16):
     """Links (pairs of positions) that connect all linked points; regions hold the numbers each point lies in."""
     radius, count = 1 - percent / 100, len(shingles)
     n = np.array([len(x) for x in shingles])
-    flat = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    flat = numbered(shingles)
     end = np.cumsum(n)
     begin = end - n
     order = np.lexsort((np.arange(count), n))
