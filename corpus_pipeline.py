@@ -18,12 +18,31 @@ from catalens.llm.suffix_dedup import suffix_dedup
 from catalens.plans.materialize import materialize
 
 
+#: Rows in one Arrow batch. A row here is a whole document, and a batch lies in an executor's memory outside its heap
+#: several times over (rows on their way to Python, and results on their way back, for every task of the executor).
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS``; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(setting))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that was learnt; rejected are texts without a letter and ambiguous ones."""
-    model = language.fit(docs.where(~held_out()))
-    found = docs.withColumn("_found", language.prediction(spark, model))
-    clear = (F.col("_found.lang_pred") != language.UNDETERMINED) & ~F.col("_found.ambiguous")
-    return found.where(clear).select(*docs.columns)
+    small_batches(spark)
+    return language.in_known_language(docs, language.fit(docs.where(~held_out())))
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +51,14 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows are told apart by numbers of their own, so repeated and null ids do not keep more. The numbers are fixed by
     writing the documents once.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = jaccard_components(rows, words=5, percent=80, key="_row").select("_row", "component_id")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least")
-    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least).select("least._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    small_batches(spark)
+    number = unused("row", docs)
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    groups = jaccard_components(rows, words=5, percent=80, key=number).select(F.col(number).alias("row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
+    ids = rows.select(F.col(number).alias("row"), "doc_id")
+    kept = groups.join(ids, "row").groupBy("component_id").agg(least).select(F.col("least.row").alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +66,17 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Bytes of a character that was cut in two go with it. A document of which nothing is left goes.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = suffix_dedup(docs, length=50, carry=others).where((F.col("n_removed") == 0) | (F.col("kept") != ""))
-    new = found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("bigint"))
-    return new.select(*docs.columns)
+    small_batches(spark)
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    found = suffix_dedup(docs.withColumnsRenamed(others), length=50, carry=list(others.values()))
+    left = found.where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return left.select(*((new[c] if c in new else F.col(others[c])).alias(c) for c in docs.columns))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their place in sequences of at most 4096 tokens."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path(WORD_BPE), CAPACITY)
 
 
