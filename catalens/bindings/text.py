@@ -174,6 +174,44 @@ def _(t):
     )
 
 
+# texts with unqualified names, the tables they name, and the expected rows written out by hand
+PLAIN_TEXTS = [
+    "SELECT Name, Price * 2 AS doubled FROM dbo.Product WHERE Price > 3",
+    "SELECT Status, SUM(Total) AS total_sum FROM dbo.Orders o, dbo.Customer c WHERE o.CustomerID = c.CustomerID AND Region = 4 GROUP BY Status",
+    "UPDATE [dbo].[Product] SET [Price] = 1 WHERE Missing IS NULL AND name = 'Region'",
+    "INSERT INTO dbo.Archive (Name, Price) SELECT Name, COALESCE(Price, 0) FROM db1.dbo.Product",
+]
+PLAIN_TABLES = {
+    "Product": ["Name", "Price"], "Orders": ["Status", "Total", "CustomerID"], "Customer": ["Status", "Region", "CustomerID"],
+    "Archive": ["Name"],
+}
+
+
+@R.add(
+    "sql_columns_resolved",
+    """SELECT CONCAT('db', CAST(o_custkey % 20 AS STRING)) AS database, CONCAT('usp_', CAST(o_orderkey AS STRING)) AS object_name, name, state,
+      CASE WHEN state = 'resolved' THEN COALESCE(home, CONCAT('db', CAST(o_custkey % 20 AS STRING))) END AS table_database, "table"
+    FROM {orders} JOIN (VALUES
+      (0, 'Name', 'resolved', NULL, 'dbo.Product'), (0, 'Price', 'resolved', NULL, 'dbo.Product'),
+      (1, 'Status', 'ambiguous', NULL, NULL), (1, 'Total', 'resolved', NULL, 'dbo.Orders'), (1, 'Region', 'resolved', NULL, 'dbo.Customer'),
+      (2, 'Price', 'resolved', NULL, 'dbo.Product'), (2, 'Missing', 'unknown', NULL, NULL), (2, 'name', 'resolved', NULL, 'dbo.Product'),
+      (3, 'Name', 'ambiguous', NULL, NULL), (3, 'Price', 'resolved', 'db1', 'dbo.Product')
+    ) e(kind, name, state, home, "table") ON o_orderkey % 4 = kind""",
+)
+def _(t):
+    texts = t("orders").select(
+        F.concat(F.lit("db"), (F.col("o_custkey") % 20).cast("string")).alias("database"),
+        F.concat(F.lit("usp_"), F.col("o_orderkey").cast("string")).alias("object_name"),
+        F.get(F.array(*[F.lit(x) for x in PLAIN_TEXTS]), (F.col("o_orderkey") % 4).cast("int")).alias("definition"),
+    )
+    columns = F.array(*[
+        F.struct(F.lit("dbo").alias("schema"), F.lit(table).alias("table_name"), F.lit(c).alias("column_name"))
+        for table, names in PLAIN_TABLES.items() for c in names
+    ])
+    known = texts.select(F.explode(F.array("database", F.lit("db1"))).alias("database")).distinct()
+    return st.resolved_columns(st.prepare(texts), known.select("database", F.inline(columns)), KEEP)
+
+
 @R.add(
     "sql_complexity",
     f"""SELECT t.database, t.object_name, CAST(len({REFS}) AS INT) AS tables, CAST(COALESCE(j, 0) AS INT) AS joins,

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import global_rank, percentile_values, running, staged
+from ..plans.ordered import global_rank, known, percentile_values, running, staged
 from .survival import person_time
 
 
@@ -132,7 +132,7 @@ def calibration_bins(df: DataFrame, risk: str, event: str, *, bins: int = 10) ->
 
     Rows whose risk is null or not a number are in no bin.
     """
-    df = df.where(F.col(risk).isNotNull() & ~F.isnan(F.col(risk).cast("double")))
+    df = known(df, risk)
     cuts = percentile_values(df, risk, [i / bins for i in range(1, bins)])
     return df.groupBy(bin_by_cuts(F.col(risk), cuts).alias("bin")).agg(
         F.count("*").alias("n"), F.avg(risk).alias("mean_predicted"), F.avg(event).alias("observed_rate")
@@ -186,8 +186,11 @@ def with_deciles(df: DataFrame, risk: str, key: str, *, groups: int = 10, total:
 
 
 def lift_table(df: DataFrame, risk: str, event: str, key: str, *, groups: int = 10) -> DataFrame:
-    """Per risk group: rows, events, event rate, cumulative share of events and lift."""
-    per_group = with_deciles(df.select(key, risk, event), risk, key, groups=groups).groupBy("decile").agg(
+    """Per risk group: rows, events, event rate, cumulative share of events and lift.
+
+    Rows whose risk is null or not a number are in no group.
+    """
+    per_group = with_deciles(known(df.select(key, risk, event), risk), risk, key, groups=groups).groupBy("decile").agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("events")
     )
     upto = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)  # one row per group
@@ -208,9 +211,12 @@ def lift_table(df: DataFrame, risk: str, event: str, key: str, *, groups: int =
 
 
 def risk_tiers(df: DataFrame, risk: str, event: str, key: str) -> DataFrame:
-    """High (decile 1), medium (2–7) and low (8–10) risk: rows, events and event rate."""
+    """High (decile 1), medium (2–7) and low (8–10) risk: rows, events and event rate.
+
+    Rows whose risk is null or not a number are in no tier.
+    """
     tier = F.when(F.col("decile") == 1, "high").when(F.col("decile") <= 7, "medium").otherwise("low")
-    return with_deciles(df.select(key, risk, event), risk, key).groupBy(tier.alias("tier")).agg(
+    return with_deciles(known(df.select(key, risk, event), risk), risk, key).groupBy(tier.alias("tier")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("events"),
         F.avg(event).alias("event_rate"),
     )
@@ -221,7 +227,7 @@ def threshold_tiers(df: DataFrame, risk: str, event: str, *, high: float = 0.3,
 
     Rows whose risk is null or not a number are in no tier.
     """
-    df = df.where(F.col(risk).isNotNull() & ~F.isnan(F.col(risk).cast("double")))
+    df = known(df, risk)
     tier = F.when(F.col(risk) > high, "high").when(F.col(risk) >= low, "medium").otherwise("low")
     return df.groupBy(tier.alias("tier")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("events"), F.avg(event).alias("event_rate")
@@ -229,9 +235,12 @@ def threshold_tiers(df: DataFrame, risk: str, event: str, *, high: float = 0.3,
 
 
 def capacity_coverage(df: DataFrame, risk: str, event: str, key: str, capacities: Sequence[int]) -> DataFrame:
-    """Share of events and of rows reached by treating the ``capacity`` riskiest rows."""
+    """Share of events and of rows reached by treating the ``capacity`` riskiest rows.
+
+    Rows whose risk is null or not a number are not counted.
+    """
     steps = sorted(capacities)
-    ranked = global_rank(df.select(key, risk, event), [F.col(risk).desc(), F.col(key)])
+    ranked = global_rank(known(df.select(key, risk, event), risk), [F.col(risk).desc(), F.col(key)])
     step = sum((F.when(F.col("rank") > c, 1).otherwise(0) for c in steps), F.lit(0))
     per_step = ranked.groupBy(step.alias("step")).agg(
         F.count("*").alias("n"), F.sum(F.col(event).cast("long")).alias("events")
@@ -260,8 +269,10 @@ def capacity_coverage(df: DataFrame, risk: str, event: str, key: str, capacities
 def decision_curve(df: DataFrame, risk: str, event: str, thresholds: Sequence[float]) -> DataFrame:
     """Net benefit of treating rows at or above each threshold, and of treating everyone.
 
-    Rows are counted once per threshold interval; the thresholds then add up a handful of rows.
+    Rows are counted once per threshold interval; the thresholds then add up a handful of rows. Rows whose risk is
+    null or not a number are not counted.
     """
+    df = known(df, risk)
     cuts = sorted(thresholds)
     step = sum((F.when(F.col(risk) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     per_step = df.groupBy(step.alias("step")).agg(

@@ -102,11 +102,16 @@ NO_ALIAS = [
     "JOIN", "LEFT", "LIKE", "LIMIT", "NOT", "OFFSET", "ON", "OPTION", "OR", "ORDER", "OVER", "RETURN", "RIGHT", "SELECT",
     "SET", "THEN", "UNION", "UPDATE", "WHEN", "WHERE", "WITH", "WITHIN",
 ]
+LISTED_SOURCE = rf"{NAME}(?:\s+(?:AS\s+)?(?!(?:{'|'.join(NO_ALIAS)})\b){IDENT})?"
+SOURCES = rf"(?i)\b(?:FROM|JOIN|INTO|UPDATE)\s+({LISTED_SOURCE}(?:\s*,\s*{LISTED_SOURCE})*)"
+# names that stand alone: no part of a longer name, no parameter; calls end with a bracket
+SINGLE = rf"(?<![A-Za-z0-9_.@#$\]\"]){NAME}\s*\(?"
 # fixed values: words of a formula that are not columns
 FORMULA_WORDS = [
     "CASE", "WHEN", "THEN", "ELSE", "END", "AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "BETWEEN", "AS",
     "DISTINCT", "FLOAT", "INT", "DECIMAL",
 ]
+SQL_WORDS = sorted({*NO_ALIAS, *FORMULA_WORDS, *NO_OPERAND.split("|"), "GO", "OUTER", "PARTITION", "PERCENT", "ROWS", "TIES", "TRAN", "PROCEDURE", "PROC", "VIEW", "CREATE", "ALTER", "FUNCTION", "TABLE", "NOCOUNT", "OFF"})
 
 
 # --- text preparation -------------------------------------------------------------------------------
@@ -404,6 +409,65 @@ def columns_referenced(sql: str = "sql") -> Column:
     return F.sort_array(F.array_except(names, tables_referenced(sql)))
 
 
+def source_tables(sql: str = "sql") -> Column:
+    """Distinct names of the tables after FROM, JOIN, INTO and UPDATE, those behind a comma too."""
+    lists = _all(F.col(sql), SOURCES, 1)
+    each = F.flatten(F.transform(lists, lambda s: _all(s, f"(?i){LISTED_SOURCE}")))
+    return F.array_distinct(F.transform(each, lambda s: _unquoted(F.regexp_extract(s, rf"^({NAME})", 1))))
+
+
+def single_names(sql: str = "sql") -> Column:
+    """Distinct names without a qualifier that may be columns, as written.
+
+    Tables and their aliases, words after AS or right behind a bracket, calls, parameters, literals and SQL's own words
+    are none; a quoted word may be.
+    """
+    rest = F.regexp_replace(F.col(sql), SOURCES, " ; ")
+    rest = F.regexp_replace(F.regexp_replace(rest, LITERAL, "''"), rf"(?i)\bAS\s+{IDENT}", " ")
+    rest = F.regexp_replace(rest, rf"(?i)\)\s+(?!(?:{'|'.join(NO_ALIAS)})\b){IDENT}", ")")
+    words = F.transform(_all(rest, SINGLE), lambda w: F.trim(w))
+    names = F.filter(words, lambda w: w.rlike(f"^{IDENT}$") & ~w.startswith("#") & ~F.upper(w).isin(SQL_WORDS))
+    return F.array_distinct(F.transform(names, _unquoted))
+
+
+def resolved_columns(prepared: DataFrame, columns: DataFrame, keep: list[str], database: str = "database") -> DataFrame:
+    """The unqualified names of each text and the table whose column each one is.
+
+    ``columns`` holds ``database, schema, table_name, column_name``. A name is looked for in the text's own tables, in the
+    database they name or else the text's, without regard to case. ``state`` is ``resolved`` for one table,
+    ``ambiguous`` for several (then no table is given) and ``unknown`` for none: an alias, or a column the catalog lacks.
+    Texts with equal ``keep`` count as one. One row per text and name.
+
+    (table, name) pairs of a text meet the catalog by equality, and the catalog has each column once, so the join gives
+    no more rows than it reads and a table that many texts use can be split.
+    """
+    names = prepared.select(
+        *keep, F.col(database).alias("_text_database"), source_tables().alias("_tables"), F.explode(single_names()).alias("name")
+    )
+    parts = F.split("_table", r"\.")
+
+    def part(i: int) -> Column:  # from the right
+        return F.lower(F.nullif(F.try_element_at(parts, F.lit(-i)), F.lit("")))
+
+    wanted = names.select("*", F.explode_outer("_tables").alias("_table")).select(
+        *keep, "name", F.coalesce(part(3), F.lower("_text_database")).alias("_d"), part(2).alias("_s"), part(1).alias("_t"),
+        F.lower("name").alias("_c"),
+    )
+    known = columns.groupBy(
+        F.lower("database").alias("_d"), F.lower("schema").alias("_ks"), F.lower("table_name").alias("_t"), F.lower("column_name").alias("_c")
+    ).agg(F.min(F.struct("database", "schema", "table_name")).alias("_home"))
+    met = wanted.join(known, ["_d", "_t", "_c"], "left")
+    home = F.when(F.col("_s").isNull() | F.col("_s").eqNullSafe(F.col("_ks")), F.col("_home"))
+    ends = met.groupBy(*keep, "name").agg(F.min(home).alias("_low"), F.max(home).alias("_high"))
+    one = F.col("_low").eqNullSafe(F.col("_high"))
+    return ends.select(
+        *keep, "name",
+        F.when(F.col("_low").isNull(), "unknown").when(one, "resolved").otherwise("ambiguous").alias("state"),
+        F.when(one, F.col("_low.database")).alias("table_database"),
+        F.when(one & F.col("_low").isNotNull(), F.concat_ws(".", "_low.schema", "_low.table_name")).alias("table"),
+    )
+
+
 KINDS = {"joins": joins, "aggregations": aggregations, "filters": filters, "metrics": metrics}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.grouped import matched
-from ..plans.ordered import exact_percentiles, running, staged
+from ..plans.ordered import exact_percentiles, known, running, staged
 
 Z95 = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 
@@ -163,8 +163,10 @@ def duration_histogram(df: DataFrame, duration: str, event: str, *, width: float
 def followup_bands(df: DataFrame, duration: str, event: str, edges: Sequence[int]) -> DataFrame:
     """Per follow-up band: rows entering it, events, censored rows and the censored share of those entering.
 
-    Bands are (edge, next edge], the first from 0 and the last open; as many rows as there are bands.
+    Bands are (edge, next edge], the first from 0 and the last open; as many rows as there are bands. Rows whose
+    duration is null or not a number enter no band.
     """
+    df = known(df, duration)
     starts = [0, *edges]
     band = sum((F.when(F.col(duration) > e, 1).otherwise(0) for e in edges), F.lit(0))
     counted = df.groupBy(band.alias("band")).agg(

@@ -26,6 +26,11 @@ def _columns(items: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
 
 
+def known(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is neither null nor NaN; these have no place in an order of values."""
+    return df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+
+
 def staged(df: DataFrame) -> tuple[DataFrame, bool]:
     """Write an aggregate once and tell whether it is small enough to be ordered in one task."""
     table = materialize(df, "aggregate")

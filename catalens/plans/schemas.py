@@ -24,6 +24,8 @@ CATALOG = (
     .add("null_rate", "double")
 )
 
+SCAN_LOG = T.StructType().add("target", "string").add("scanned_at", "timestamp_ntz").add("rows", "long")
+
 COLUMN_KEY = ["database", "schema", "table_name", "column_name"]
 TABLE_KEY = ["database", "schema", "table_name"]
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.schemas import CATALOG
+from ..plans.schemas import CATALOG, SCAN_LOG
 
 
 class CatalogNotFound(FileNotFoundError):
@@ -43,6 +46,28 @@ def write_catalog(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = (
     )
 
 
+def folder_value(value: str | None) -> str:
+    """A partition value as Spark writes it in a folder name."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def replace_targets(scanned: DataFrame, path: str, targets: list[str]) -> None:
+    """Rewrite the folders of the rescanned ``targets`` in a catalog that is partitioned by target.
+
+    Other targets are neither read nor shuffled, so one that holds most of the catalog costs nothing. A target without
+    new rows becomes empty; rows of targets that are not named are left out. The new rows are written before an old
+    folder is emptied.
+    """
+    new = conform(scanned.where(F.col("target").isin(targets)))
+    write_catalog(new, path)
+    written = {r.target for r in new.select("target").distinct().collect()}  # at most the targets named
+    nothing = new.limit(0).drop("target").coalesce(1)
+    for target in sorted(set(targets) - written):
+        nothing.write.mode("overwrite").parquet(f"{path}/target={folder_value(target)}")
+
+
 def load_data(spark: SparkSession, path: str) -> DataFrame:
     """Parquet or CSV, chosen by suffix."""
     lowered = path.lower().rstrip("/")
@@ -116,7 +141,13 @@ def snapshot_name(existing: list[str], day: str, time: str) -> str:
     return day if day not in existing else f"{day}_{time}"
 
 
-def write_snapshot(catalog: DataFrame, root: str, snapshot_id: str) -> None:
+def write_snapshot(catalog: DataFrame, root: str, snapshot_id: str, scans: DataFrame | None = None) -> None:
+    """Write a copy of the catalog, and next to it what is known about its scans (one row per target).
+
+    Scans are written first: a snapshot that can be seen has them.
+    """
+    if scans is not None:
+        conform(scans, SCAN_LOG).write.mode("overwrite").parquet(f"{root}/_scans/snapshot_id={snapshot_id}")
     catalog.write.mode("errorifexists").parquet(f"{root}/snapshot_id={snapshot_id}")
 
 
@@ -126,6 +157,22 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", root).parquet(root)
 
 
+def read_snapshot_scans(spark: SparkSession, root: str) -> DataFrame:
+    """Scan information of all snapshots that have any, with their ``snapshot_id``."""
+    schema = T.StructType([*SCAN_LOG.fields, T.StructField("snapshot_id", T.StringType())])
+    folder = f"{root}/_scans"
+    try:
+        return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def snapshot_ids(snapshots: DataFrame) -> list[str]:
+    """Ids by the names of the table's folders; no file is opened."""
+    folders = (re.search(r"/snapshot_id=([^/]+)/", name) for name in snapshots.inputFiles())
+    return sorted({unquote(unquote(m[1])) for m in folders if m})
+
+
 def snapshot_list(snapshots: DataFrame) -> DataFrame:
     """Tables and columns per snapshot."""
     return snapshots.groupBy("snapshot_id").agg(
@@ -135,6 +182,6 @@ def snapshot_list(snapshots: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """Rows of the newest snapshot; its id is found first so that only its files are read."""
-    newest = snapshots.select(F.max("snapshot_id")).first()[0]
-    return snapshots.where(F.col("snapshot_id") == F.lit(newest))
+    """Rows of the newest snapshot, found by folder names, so that only its files are read."""
+    ids = snapshot_ids(snapshots)
+    return snapshots.where(F.col("snapshot_id") == F.lit(ids[-1] if ids else None).cast("string"))
