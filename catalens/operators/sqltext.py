@@ -11,7 +11,8 @@ inside a bracket. A division takes what is multiplied or divided to its left and
 
 Subset: a join's left side is the table after the nearest preceding FROM (``UNKNOWN`` for a derived table), tables
 after a comma are inner joins without columns; an alias may come without AS and may follow OVER (...), and belongs to
-a division or CASE that begins its select item, or to an aggregate right before it; referenced columns are the qualified ones (``t.column``).
+a division or CASE that begins its select item, or to an aggregate right before it. ``columns_referenced`` gives qualified
+names (``t.column``); unqualified ones need a catalog (``resolved_columns``).
 A null text has no pattern. A bracket that never closes is no argument.
 """
 
