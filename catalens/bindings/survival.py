@@ -232,11 +232,55 @@ def _(t):
 # --- models -----------------------------------------------------------------------------------------
 
 
-@R.add("cox_ph")
+NEWTON_STEPS = 12
+
+
+def cox_fit_views() -> dict[str, str]:
+    """Newton steps of a penalised two-feature Cox model with Efron ties, one view a step, on standardised features."""
+    views = {
+        "cox_shape": """SELECT AVG(risk) AS ma, AVG(hh) AS mb, stddev(risk) AS sa, stddev(hh) AS sb, 0.1 * COUNT(*) AS pull
+          FROM (SELECT risk, CAST(c_mktsegment = 'HOUSEHOLD' AS INT) AS hh FROM {survival_base}) u""",
+        "cox_design": """SELECT duration, event, (risk - ma) / sa AS a, (CAST(c_mktsegment = 'HOUSEHOLD' AS INT) - mb) / sb AS b, pull
+          FROM {survival_base} CROSS JOIN {cox_shape}""",
+        "cox_step_0": "SELECT 0.0::DOUBLE AS ba, 0.0::DOUBLE AS bb, NULL::DOUBLE AS haa, NULL::DOUBLE AS hab, NULL::DOUBLE AS hbb",
+    }
+    powers = {"0": "1", "a": "a", "b": "b", "aa": "a * a", "ab": "a * b", "bb": "b * b"}
+    sums = ", ".join(f"SUM(w * {x}) AS s{k}, SUM(w * event * {x}) AS d{k}" for k, x in powers.items())
+    upto = ", ".join(f"SUM(s{k}) OVER (ORDER BY duration DESC) AS r{k}" for k in powers)
+    left = ", ".join(f"r{k} - i / d * d{k} AS l{k}" for k in powers)
+
+    def curve(k: str) -> str:
+        return f"SUM(l{k} / l0 - l{k[0]} * l{k[1]} / l0 / l0)"
+
+    for n in range(1, NEWTON_STEPS + 1):
+        views[f"cox_step_{n}"] = f"""SELECT ba + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS ba,
+            bb + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS bb, haa, hab, hbb
+          FROM (SELECT ANY_VALUE(ba) AS ba, ANY_VALUE(bb) AS bb,
+              SUM(CASE WHEN i = 0 THEN ea ELSE 0 END - la / l0) - ANY_VALUE(pull * ba) AS ga,
+              SUM(CASE WHEN i = 0 THEN eb ELSE 0 END - lb / l0) - ANY_VALUE(pull * bb) AS gb,
+              {curve('aa')} + ANY_VALUE(pull) AS haa, {curve('ab')} AS hab, {curve('bb')} + ANY_VALUE(pull) AS hbb
+            FROM (SELECT *, {left} FROM (SELECT *, unnest(range(0, CAST(d AS BIGINT))) AS i FROM (SELECT *, {upto} FROM (
+              SELECT duration, SUM(event) AS d, SUM(event * a) AS ea, SUM(event * b) AS eb, ANY_VALUE(ba) AS ba,
+                ANY_VALUE(bb) AS bb, ANY_VALUE(pull) AS pull, {sums}
+              FROM (SELECT *, exp(ba * a + bb * b) AS w FROM {{cox_design}} CROSS JOIN {{cox_step_{n - 1}}}) q
+              GROUP BY duration) p) o WHERE d > 0) m) l) k"""
+    return views
+
+
+COX_FIT = " UNION ALL ".join(
+    f"""SELECT '{name}' AS feature, ROUND(c, 5) AS coef, ROUND(exp(c), 5) AS hazard_ratio, ROUND(e, 5) AS se,
+      ROUND(exp(c - 1.959963984540054 * e), 5) AS hr_lower, ROUND(exp(c + 1.959963984540054 * e), 5) AS hr_upper
+    FROM (SELECT b{k} / s{k} AS c, sqrt(h{other}{other} / (haa * hbb - hab * hab)) / s{k} AS e
+      FROM {{cox_step_{NEWTON_STEPS}}} CROSS JOIN {{cox_shape}}) f{k}"""
+    for name, k, other in (("risk", "a", "b"), ("household", "b", "a"))
+)
+
+
+@R.add("cox_ph", COX_FIT, cox_fit_views())
 def _(t):
     rows = t(S).withColumn("household", (F.col("c_mktsegment") == "HOUSEHOLD").cast("int"))
     model = mo.cox_ph(rows, "duration", "event", ["risk", "household"])
-    return model.summary(rows.sparkSession)
+    return rounded(model.summary(rows.sparkSession), 5)
 
 
 def cox_sql(tie_terms: str, share: str) -> str:
@@ -272,10 +316,39 @@ def _(t):
     return cox_score(t, "breslow")
 
 
-@R.add("discrete_time_hazard")
+def hazard_fit_views() -> dict[str, str]:
+    """Reweighted least squares of a logistic hazard (intercept, interval, risk), one view a step, solved by cofactors."""
+    views = {
+        "hazard_rows": """SELECT i, risk, COUNT(*) AS n, SUM(CASE WHEN i = last THEN event ELSE 0 END) AS y
+          FROM (SELECT *, unnest(range(0, last + 1)) AS i FROM (
+            SELECT risk, event, CAST(floor(duration / 180) AS BIGINT) AS last FROM {survival_base} WHERE duration >= 0) u) v
+          GROUP BY i, risk""",
+        "hazard_step_0": "SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2",
+    }
+    for step in range(1, NEWTON_STEPS + 1):
+        views[f"hazard_step_{step}"] = f"""SELECT b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det AS b0,
+            b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det AS b1, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det AS b2
+          FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (
+            SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
+              h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22
+            FROM (SELECT ANY_VALUE(b0) AS b0, ANY_VALUE(b1) AS b1, ANY_VALUE(b2) AS b2,
+                SUM(y - n * p) AS g0, SUM((y - n * p) * i) AS g1, SUM((y - n * p) * risk) AS g2,
+                SUM(n * p * (1 - p)) AS h00, SUM(n * p * (1 - p) * i) AS h01, SUM(n * p * (1 - p) * risk) AS h02,
+                SUM(n * p * (1 - p) * i * i) AS h11, SUM(n * p * (1 - p) * i * risk) AS h12, SUM(n * p * (1 - p) * risk * risk) AS h22
+              FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * i + b2 * risk))) AS p FROM {{hazard_rows}} CROSS JOIN {{hazard_step_{step - 1}}}) w) x) z) s"""
+    return views
+
+
+HAZARD_FIT = " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, ROUND({b}, 5) AS coef, ROUND(exp({b}), 5) AS odds_ratio FROM {{hazard_step_{NEWTON_STEPS}}}"
+    for name, b in (("intercept", "b0"), ("interval", "b1"), ("risk", "b2"))
+)
+
+
+@R.add("discrete_time_hazard", HAZARD_FIT, hazard_fit_views())
 def _(t):
     rows = t(S).select("c_custkey", "duration", "event", "risk")
-    return mo.discrete_time_hazard(rows, "duration", "event", ["risk"], width=180)[0]
+    return rounded(mo.discrete_time_hazard(rows, "duration", "event", ["risk"], width=180)[0], 5)
 
 
 def km_sql(by: str = "") -> str:

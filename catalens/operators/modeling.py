@@ -1,18 +1,17 @@
 """Proportional-hazards and discrete-time hazard models fitted with Spark aggregates.
 
-A Cox iteration is one aggregation of the rows by time and one running total over the times; only the
-gradient and the p × p curvature, one row, come to the driver for the Newton step.
+A Cox iteration is one aggregation of the rows by time and one running total over the times, a hazard iteration
+one aggregation of the person-period rows; only the gradient and the p × p curvature, one row, come to the driver
+for the Newton step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +139,31 @@ def _partial_likelihood(design: _Design, beta: np.ndarray, ties: str) -> DataFra
     )
 
 
+def _newton(
+    step: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], p: int, n: int, max_iterations: int,
+    tolerance: float,
+) -> tuple[np.ndarray, float, np.ndarray, int]:
+    """Newton's method from zero; a move that lowers the value is halved. Coefficients, value, curvature, iterations.
+
+    A feature that never varies leaves the curvature singular; the shortest move keeps its coefficient at 0.
+    """
+    beta = np.zeros(p)
+    value, gradient, curvature = step(beta)
+    iterations = 0
+    for iterations in range(1, max_iterations + 1):
+        move, size = np.linalg.lstsq(curvature, gradient, rcond=None)[0], 1.0
+        tried = step(beta + move)
+        while tried[0] < value - 1e-12 * abs(value) and size > 1e-4:
+            size /= 2
+            tried = step(beta + size * move)
+        gained = tried[0] - value
+        beta = beta + size * move
+        value, gradient, curvature = tried
+        if abs(gained) <= tolerance * max(1.0, abs(value)) and float(np.abs(gradient).max()) < 1e-5 * n:
+            break
+    return beta, value, curvature, iterations
+
+
 def cox_score(
     df: DataFrame, duration: str, event: str, features: Sequence[str], beta: Sequence[float], *, ties: str = "efron"
 ) -> DataFrame:
@@ -178,20 +202,7 @@ def cox_ph(
         gradient = np.array([row[f"g{i}"] for i in range(p)], dtype=float)
         return row["ll"] - 0.5 * pull * float(beta @ beta), gradient - pull * beta, curvature + pull * np.eye(p)
 
-    beta = np.zeros(p)
-    value, gradient, curvature = step(beta)
-    iterations = 0
-    for iterations in range(1, max_iterations + 1):
-        move, size = np.linalg.solve(curvature, gradient), 1.0
-        tried = step(beta + move)
-        while tried[0] < value - 1e-12 * abs(value) and size > 1e-4:
-            size /= 2
-            tried = step(beta + size * move)
-        gained = tried[0] - value
-        beta = beta + size * move
-        value, gradient, curvature = tried
-        if abs(gained) <= tolerance * max(1.0, abs(value)) and float(np.abs(gradient).max()) < 1e-5 * design.n:
-            break
+    beta, value, curvature, iterations = _newton(step, p, design.n, max_iterations, tolerance)
     errors = np.sqrt(np.diag(np.linalg.inv(curvature)))
     scales = np.array(design.scales)
     return CoxModel(
@@ -234,29 +245,75 @@ def risk_at_horizons(
     )
 
 
+def _logistic_step(rows: DataFrame, xs: list[str], beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and curvature of a logistic model of ``y``; the first coefficient is the intercept."""
+    terms = [F.lit(1.0), *map(F.col, xs)]
+    pairs = list(combinations_with_replacement(range(len(terms)), 2))
+    scored = rows.withColumn("_eta", F.lit(float(beta[0])) + _linear(xs, beta[1:]))
+    scored = scored.withColumn("_p", 1 / (1 + F.exp(-F.col("_eta"))))
+    eta, left, spread = F.col("_eta"), F.col("y") - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
+    row = scored.agg(
+        F.sum(F.col("y") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta)))).alias("ll"),
+        *[F.sum(left * x).alias(f"g{i}") for i, x in enumerate(terms)],
+        *[F.sum(spread * terms[i] * terms[j]).alias(f"h{i}_{j}") for i, j in pairs],
+    ).first()
+    p = range(len(terms))
+    curvature = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in p] for i in p], dtype=float)
+    return row["ll"], np.array([row[f"g{i}"] for i in p], dtype=float), curvature
+
+
 def discrete_time_hazard(
-    df: DataFrame, duration: str, event: str, features: Sequence[str], *, width: int, regularization: float = 0.0
+    df: DataFrame,
+    duration: str,
+    event: str,
+    features: Sequence[str],
+    *,
+    width: int,
+    regularization: float = 0.0,
+    max_iterations: int = 30,
+    tolerance: float = 1e-11,
 ) -> tuple[DataFrame, DataFrame]:
-    """Logistic hazard per interval on person-period rows.
+    """Logistic hazard per interval on person-period rows, fitted by Newton's method on standardised features.
 
-    Returns the coefficients (``intercept``, ``interval`` and the features) and the person-period rows
-    with the fitted ``hazard``.
+    Maximises ``log-likelihood − n · regularization · ‖β‖² / 2`` over n person-period rows, the intercept unpenalised
+    and β on the standardised scale. Rows with a feature that is null or not a number take no part in the fit; a
+    feature that never varies gets 0. Returns the coefficients (``intercept``, ``interval`` and the features) and all
+    person-period rows with the fitted ``hazard``.
     """
     names = ["interval", *features]
+    xs = [f"x{i}" for i in range(len(names))]
     rows = materialize(
         person_period(df, duration=duration, event=event, width=width).select(
             *df.columns, "interval", "interval_event"
         ),
         "person-period",
     )
-    vectors = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(rows)
-    model = LogisticRegression(
-        featuresCol="_x", labelCol="interval_event", regParam=regularization, maxIter=100, tol=1e-8
-    ).fit(vectors)
+    numbers = rows.select(
+        F.col("interval_event").cast("double").alias("y"), *[F.col(c).cast("double").alias(x) for c, x in zip(names, xs)]
+    )
+    known = numbers.dropna()
+    stats = known.agg(
+        F.count("*").alias("n"), F.sum("y").alias("events"), *[F.avg(x).alias(f"m_{x}") for x in xs],
+        *[F.stddev(x).alias(f"s_{x}") for x in xs],
+    ).first()
+    if not stats["events"] or stats["events"] == stats["n"]:
+        raise ValueError("no events to fit" if not stats["events"] else "an event in every interval")
+    means = np.array([stats[f"m_{x}"] for x in xs])
+    scales = np.array([stats[f"s_{x}"] or 1.0 for x in xs])
+    design = known.select("y", *[((F.col(x) - float(m)) / float(s)).alias(x) for x, m, s in zip(xs, means, scales)])
+    pull = stats["n"] * regularization * np.array([0.0, *[1.0] * len(xs)])
+
+    def step(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value, gradient, curvature = _logistic_step(design, xs, beta)
+        return value - 0.5 * float(pull @ beta**2), gradient - pull * beta, curvature + np.diag(pull)
+
+    beta, _, _, _ = _newton(step, len(xs) + 1, stats["n"], max_iterations, tolerance)
+    slopes = beta[1:] / scales
+    intercept = float(beta[0] - slopes @ means)
     spec = "feature string, coef double, odds_ratio double"
-    table = [("intercept", float(model.intercept)), *zip(names, map(float, model.coefficients))]
+    table = [("intercept", intercept), *zip(names, map(float, slopes))]
     coefficients = df.sparkSession.createDataFrame([(f, c, float(np.exp(c))) for f, c in table], spec)
-    logit = model.intercept + sum((F.col(f) * float(c) for f, c in zip(names, model.coefficients)), F.lit(0.0))
+    logit = intercept + _linear(names, slopes)
     return coefficients, rows.withColumn("hazard", 1 / (1 + F.exp(-logit)))
 
 

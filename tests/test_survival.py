@@ -310,3 +310,38 @@ def test_durations_of_rows_without_event_status(spark):
     df = spark.createDataFrame([(1, 1), (3, None), (5, None)], "t int, e int")
     assert {r.e: (r.n, r.median_duration) for r in sv.duration_stats(df, "t", "e").collect()} == {1: (1, 1.0), None: (2, 4.0)}
     assert {(r.e, r.t): r.ecdf for r in sv.duration_ecdf(df, "t", "e").collect()} == {(1, 1): 1.0, (None, 3): 0.5, (None, 5): 1.0}
+
+
+def penalised_logistic(x, y, penalty):
+    """Plain numpy: long gradient-free Newton on standardised columns, intercept unpenalised."""
+    means, scales = x.mean(axis=0), x.std(axis=0, ddof=1)
+    design = np.column_stack([np.ones(len(y)), (x - means) / scales])
+    pull = np.diag([0.0, *[penalty * len(y)] * x.shape[1]])
+    beta = np.zeros(design.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + pull, design.T @ (y - p) - pull @ beta)
+    slopes = beta[1:] / scales
+    return [beta[0] - slopes @ means, *slopes]
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.05])
+def test_discrete_time_hazard_against_numpy(spark, penalty):
+    rng = np.random.default_rng(4)
+    rows = [(int(d), int(e), float(a)) for d, e, a in zip(rng.integers(0, 500, 300), rng.integers(0, 2, 300), rng.normal(size=300))]
+    df = spark.createDataFrame(rows, "t int, e int, a double")
+    found, _ = mo.discrete_time_hazard(df, "t", "e", ["a"], width=100, regularization=penalty)
+    long = [(k, a, e if k == t // 100 else 0) for t, e, a in rows for k in range(t // 100 + 1)]
+    want = penalised_logistic(np.array([r[:2] for r in long], float), np.array([r[2] for r in long], float), penalty)
+    assert [r.coef for r in found.collect()] == pytest.approx(want, abs=1e-8)
+
+
+def test_discrete_time_hazard_odd_features(spark):
+    rows = [(250, 1, 0.5, 1.0), (120, 0, None, 1.0), (90, 1, float("nan"), 1.0), (310, 0, 0.1, 1.0), (40, 1, 0.9, 1.0), (220, 1, 0.2, 1.0)]
+    df = spark.createDataFrame(rows, "t int, e int, a double, c double")
+    found, periods = mo.discrete_time_hazard(df, "t", "e", ["a", "c"], width=100, regularization=0.01)
+    coefficients = {r.feature: r.coef for r in found.collect()}
+    assert coefficients["c"] == 0 and all(np.isfinite(v) for v in coefficients.values())
+    assert periods.count() == 3 + 2 + 1 + 4 + 1 + 3  # rows outside the fit stay
+    with pytest.raises(ValueError):
+        mo.discrete_time_hazard(df.withColumn("e", df.e * 0), "t", "e", ["a"], width=100)
