@@ -1,13 +1,15 @@
 """Visible text of HTML pages by a small layout: a tree with implied tags, visibility rules, and block rendering.
 
-Tokens (tags, text, comments) come from one pattern. The tree builder opens and closes what HTML implies: a new
+Tokens (tags, text, comments) are cut in one pass; where a tag ends is looked up in a list of all quotes and ``>``
+made once, so unfinished tags cost no second scan of the page. The tree builder opens and closes what HTML implies: a new
 block ends an open paragraph, an item ends the item before it, rows and cells end each other, end tags close what
 is open inside. Rendering walks the tree without recursion: hidden elements (script, style, head matter,
 ``hidden``, ``display:none``; ``aria-hidden`` is visible to the eye and stays) give nothing; ``visibility`` is
 inherited node by node, so that a visible element in a hidden one shows; what SVG's ``use`` repeats is not followed;
 blocks start on lines of their own, with an empty line around paragraphs, headings, lists and tables; list items
 get ``- `` or their number and are indented; table cells are padded to the width of their column, however deep
-tables nest; ``pre`` keeps its white space. All other white space collapses to single spaces. Of SVG the text
+tables nest, and cells over several columns or rows keep the columns of others free; a closed ``details`` shows its
+summary; rules in style sheets are not evaluated; ``pre`` keeps its white space. All other white space collapses to single spaces. Of SVG the text
 elements (and HTML in them) show, each set apart by spaces; of MathML the tokens without the white space between
 them, parts of fractions, cells and rows set apart; of select the options, one a line.
 
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -59,12 +63,13 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+TAG_MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+#: The most columns and rows that a cell may span in HTML.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -82,12 +87,37 @@ def attributes_of(text: str) -> dict[str, str]:
     return dict(reversed([*found]))  # the first of equal names counts
 
 
+class TagEnds:
+    """For a place in a page, the ``>`` that ends the tag there: the first one outside quotes, or -1."""
+
+    def __init__(self, page: str):
+        self.marks = [m.start() for m in TAG_MARK.finditer(page)]
+        count = len(self.marks)
+        self.ends = [-1] * (count + 1)
+        later = {'"': count, "'": count}  # number of the next quote of each kind
+        for i in range(count - 1, -1, -1):
+            mark = page[self.marks[i]]
+            if mark == ">":
+                self.ends[i] = self.marks[i]
+            else:
+                self.ends[i] = self.ends[min(later[mark] + 1, count)]
+                later[mark] = i
+
+    def after(self, at: int) -> int:
+        return self.ends[bisect_left(self.marks, at)]
+
+
 def tree(page: str) -> Node:
     """The page as nested nodes; text is strings."""
     root = Node("#root")
     path = [root]
     is_open: Counter[str] = Counter()  # so that nothing is searched for that is not there
-    at, end = 0, len(page)
+    at, end, last, tag_ends = 0, len(page), page.rfind(">"), TagEnds(page)
+
+    def text(upto: int) -> int:
+        part = page[at:upto]
+        path[-1].children.append(entities.unescape(part) if "&" in part else part)
+        return upto
 
     def cut(i: int) -> None:
         is_open.subtract(x.tag for x in path[i:])
@@ -109,14 +139,25 @@ def tree(page: str) -> Node:
             path[-1].children.append(page[at + 9 : stop if stop >= 0 else end])
             at = stop + 3 if stop >= 0 else end
             continue
-        token = TOKEN.match(page, at)
-        at = token.end()
-        name = token[2]
-        if name is None:
-            text = token[0]
-            if not text.startswith(("<!", "<?")):
-                path[-1].children.append(entities.unescape(text) if "&" in text else text)
+        if page[at] != "<":
+            start = page.find("<", at)
+            at = text(start if start >= 0 else end)
+            continue
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        token = NAME.match(page, at)
+        if token is None:
+            comment = page.startswith(("<!", "<?", "</"), at) and at + 2 < end
+            stop = page.find(">", at) if comment and last >= at else -1
+            at = stop + 1 if stop >= 0 else text(at + 1)
+            continue
+        stop = tag_ends.after(token.end())
+        if stop < 0:
+            at = text(at + 1)
             continue
+        name, inside, at = token[2], page[token.end() : stop], stop + 1
         name = name.lower()
         if token[1]:
             if name == "p" and not is_open["p"]:
@@ -141,16 +182,16 @@ def tree(page: str) -> Node:
             close({"p"}, {"td", "th", "table", "button"})
         if name in IMPLIED:
             close(*IMPLIED[name])
-        node = Node(name, attributes_of(token[3]))
+        node = Node(name, attributes_of(inside))
         path[-1].children.append(node)
-        if foreign and token[3].rstrip().endswith("/"):
+        if foreign and inside.rstrip().endswith("/"):
             continue
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if name == "textarea":
                 node.children.append(entities.unescape(page[at : stop.start() if stop else end]))
             at = stop.end() if stop else end
-        elif name not in VOID and (name in BLOCK or not token[3].rstrip().endswith("/")):  # a slash closes no block
+        elif name not in VOID and (name in BLOCK or not inside.rstrip().endswith("/")):  # a slash closes no block
             path.append(node)
             is_open[name] += 1
     return root
@@ -257,9 +298,10 @@ class Lines:
 
 def table_lines(node: Node, state: State):
     """Rows of a table with every column padded to its widest cell; asks for the texts of cells."""
-    rows, captions, waiting = [], [], [(x, state) for x in reversed(node.children)]
+    rows, captions, waiting = [], [], [(x, state, 0) for x in reversed(node.children)]
+    groups = 0
     while waiting:
-        x, state = waiting.pop()
+        x, state, group = waiting.pop()
         if isinstance(x, str):
             if x.strip():
                 captions.append((x, state))
@@ -272,28 +314,78 @@ def table_lines(node: Node, state: State):
             for c in x.children:
                 if isinstance(c, str):
                     if c.strip():
-                        row.append(((yield [c], below)).split("\n"))
+                        row.append((((yield [c], below)).split("\n"), 1, 1))
                 elif not gone(c, below.place):
-                    row.append(((yield c.children, below.below(c))).split("\n"))
-            rows.append(row)
+                    lines = ((yield c.children, below.below(c))).split("\n")
+                    row.append((lines, span(c, "colspan", MOST_COLUMNS) or 1, span(c, "rowspan", MOST_ROWS)))
+            rows.append((group, row))
         elif x.tag in ("td", "th"):
-            rows.append([((yield x.children, below)).split("\n")])
+            rows.append((group, [(((yield x.children, below)).split("\n"), 1, 1)]))
         elif x.tag in ("tbody", "thead", "tfoot"):
-            waiting += [(c, below) for c in reversed(x.children)]
+            groups += 1
+            waiting += [(c, below, groups) for c in reversed(x.children)]
         else:
             captions.append((x, state))
     out = []
     for x, state in captions:
         out += [line for line in ((yield [x], state)).split("\n") if line]
-    widths: list[int] = []
+    return out + aligned(placed(rows))
+
+
+def span(cell: Node, name: str, most: int) -> int:
+    value = cell.attributes.get(name, "1").strip()
+    return min(int(value), most) if re.fullmatch(r"[0-9]{1,9}", value) else 1
+
+
+def placed(rows: list) -> list[list[tuple]]:
+    """Cells ``(lines, first column, column after the last)`` per row; a cell of several rows keeps its columns.
+
+    It does so up to the end of its row group, as it does with a row span of 0.
+    """
+    out, held, at_group = [], [], None
+    for number, (group, row) in enumerate(rows):
+        if group != at_group:
+            held, at_group = [], group
+        held = sorted(h for h in held if h[2] > number)
+        cells, column, i = [], 0, 0
+        for lines, across, down in row:
+            while i < len(held) and held[i][0] <= column:
+                column = max(column, held[i][1])
+                i += 1
+            cells.append((lines, column, column + across))
+            if down != 1:
+                held.append((column, column + across, number + down if down else len(rows)))
+            column += across
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[tuple]]) -> list[str]:
+    """Every column padded to its widest cell; columns in which no cell starts take no room."""
+    number = {c: i for i, c in enumerate(sorted({first for row in rows for _, first, _ in row}))}
+    starts = [*number]
+    widths = [0] * len(starts)
+    wide = []
     for row in rows:
-        for i, lines in enumerate(row):
-            widths += [0] * (i + 1 - len(widths))
-            widths[i] = max(widths[i], *map(len, lines))
+        for lines, first, after in row:
+            i, j, width = number[first], bisect_left(starts, after), max(map(len, lines))
+            if j - i == 1:
+                widths[i] = max(widths[i], width)
+            else:
+                wide.append((j - i, i, j, width))
+    for _, i, j, width in sorted(wide):
+        widths[j - 1] += max(0, width - sum(widths[i:j]) - 2 * (j - i - 1))
+    places = [0, *accumulate(w + 2 for w in widths)]
+    out = []
     for row in rows:
-        for k in range(max((len(lines) for lines in row), default=0)):
-            cells = [lines[k] if k < len(lines) else "" for lines in row]
-            out.append("  ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip())
+        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
+            parts, length = [], 0
+            for lines, first, _ in row:
+                if k < len(lines) and lines[k]:
+                    gap = places[number[first]] - length
+                    parts += [" " * gap, lines[k]]
+                    length += gap + len(lines[k])
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -360,6 +452,8 @@ def rendering(nodes: list, state: State):
             children = [label] if label and tag == "option" else node.children
             if label and tag == "optgroup":
                 children = [Node("option", {}, [label]), *children]
+            if tag == "details" and "open" not in node.attributes:
+                children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
             if in_fraction:
                 children = [y for x in children for y in (x, Node("mtd"))]
             waiting += [("open", child, state) for child in reversed(children)]
