@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.grouped import first_per_group
+from ..plans.materialize import materialize
 from ..plans.schemas import COLUMN_KEY, TABLE_KEY
 from .rollup import overview_counts
 
@@ -89,12 +90,17 @@ def search_batch(
     bonuses: dict[str, int] | None = None,
     tie_break: list[Column] | None = None,
     top_n: int = 20,
+    parts: int = 1,
 ) -> DataFrame:
     """Top ``top_n`` rows for every ``(query_id, text)``, all queries at once, by equality joins only.
 
     Every distinct name is cut into the substrings that have some keyword's length and joined to the
     keywords on equality, which is the same test as ``contains`` without pairing names with keywords.
-    The (query, name) points then join back to the rows.
+    The hits make an inverted list, name to its queries. A row looks up the list of each of its names and adds up
+    its scores itself, so no (query, row) point is grouped: what a row scores is pruned to ``top_n`` per query in the
+    map task that scored it. A list holds one entry per query that hits the name; ``parts`` splits all lists by
+    query, for sets of queries too large for one array. Rows are scored one by one, as a single search does, also
+    where their keys are equal.
     """
     words = (
         queries.select("query_id", F.explode(F.split(F.lower(F.trim("text")), r"\s+")).alias("word"))
@@ -127,23 +133,65 @@ def search_batch(
         ).alias("word"),
     )
     hits = pieces.join(words, "word").groupBy("query_id", "name").agg(F.sum("times").alias("hits"))
+    # written once for all fields; its size is known then, so Spark broadcasts it below its threshold and rows with
+    # frequent names stay where they are
+    lists = materialize(
+        hits.groupBy("name", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("_part"))
+        .agg(F.collect_list(F.struct("query_id", "hits")).alias("found")),
+        "lists",
+    )
     flags = bonuses or {}
     bonus = reduce(add, [F.when(F.col(c), b).otherwise(0) for c, b in flags.items()], F.lit(0))
     extra = [c for c in ["row_count_estimate"] if c in df.columns and c not in row_key]
+    rows = df.select(
+        *row_key, *extra, bonus.alias("_bonus"), *[F.lower(c).alias(f"_name{i}") for i, c in enumerate(weights)],
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"),
+    )
+    for i in range(len(weights)):
+        side = lists.select(F.col("name").alias(f"_name{i}"), "_part", F.col("found").alias(f"_found{i}"))
+        rows = rows.join(side, [f"_name{i}", "_part"], "left")
+
+    def weighted(found: str, weight: int) -> Column:
+        entry = lambda x: F.struct(x["query_id"].alias("query_id"), (x["hits"] * weight).alias("score"))
+        return F.transform(F.coalesce(F.col(found), F.array()), entry)
+
+    scores = [weighted(f"_found{i}", w) for i, w in enumerate(weights.values())]
+    sorted_scores = F.col("_scores")
+
+    def summed(x: Column, i: Column) -> Column:
+        """The score of a query at its first place; its at most ``len(weights)`` entries lie side by side."""
+        later = [F.get(sorted_scores, i + d) for d in range(1, len(weights))]
+        score = reduce(
+            add, [F.when(y["query_id"] == x["query_id"], y["score"]).otherwise(0) for y in later], x["score"]
+        )
+        first = F.coalesce(F.get(sorted_scores, i - 1)["query_id"] != x["query_id"], F.lit(True))
+        return F.when(first, F.struct(x["query_id"].alias("query_id"), score.alias("score")))
+
     scored = (
-        df.select(*row_key, *extra, bonus.alias("_bonus"), F.explode(fields).alias("f"))
-        .select(*row_key, *extra, "_bonus", "f.weight", "f.name")
-        .join(hits, "name")
-        .groupBy("query_id", *row_key, *extra, "_bonus")
-        .agg(F.sum(F.col("weight") * F.col("hits")).alias("_score"))
-        .withColumn("relevance", F.col("_score") + F.col("_bonus"))
+        rows.where(F.coalesce(*[F.col(f"_found{i}") for i in range(len(weights))]).isNotNull())
+        .withColumn("_scores", F.sort_array(F.concat(*scores)))
+        .select(*row_key, *extra, "_bonus", F.inline(F.array_compact(F.transform(sorted_scores, summed))))
+        .withColumn("relevance", F.col("score") + F.col("_bonus"))
     )
     if tie_break is None:
         tie_break = [F.col(c).desc_nulls_last() for c in extra] + [F.col(c) for c in row_key]
-    top = first_per_group(scored, ["query_id"], [F.col("relevance").desc(), *tie_break], top_n)
+    reached = scored.join(_least_relevance(scored, top_n), "query_id").where(F.col("relevance") >= F.col("_least"))
+    top = first_per_group(reached, ["query_id"], [F.col("relevance").desc(), *tie_break], top_n)
     return top.select("query_id", *row_key, *extra, "relevance", F.col("_nth").alias("position"))
 
 
+def _least_relevance(scored: DataFrame, top_n: int) -> DataFrame:
+    """Per query the relevance ``_least`` of its ``top_n``-th row, from counts per relevance; one written row a query.
+
+    Relevance is a small whole number, so the counts are summed in the map tasks, and only rows that reach it are sorted.
+    """
+    counts = scored.groupBy("query_id", "relevance").agg(F.count("*").alias("rows"))
+    above = Window.partitionBy("query_id").orderBy(F.col("relevance").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("rows").over(above), F.lit(0)))
+    least = ahead.where(F.col("_ahead") < top_n).groupBy("query_id").agg(F.min("relevance").alias("_least"))
+    return materialize(least, "least")
+
+
 def table_details(catalog: DataFrame, database: str, schema: str, table_name: str) -> DataFrame:
     """All columns of one table with the table's own facts on each row; empty when there is no such table."""
     wanted = {"database": database, "schema": schema, "table_name": table_name}

@@ -36,11 +36,12 @@ def test_case_is_ignored(happy):
     assert set(tables(search.search_catalog(happy, "ORDER"))) == {"Order", "OrderItem"}
 
 
-def test_batch_equals_single_searches(spark, happy):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_batch_equals_single_searches(spark, happy, parts):
     texts = [(1, "order"), (2, " Product id "), (3, "x"), (4, "id id"), (5, "")]
     queries = spark.createDataFrame(texts, "query_id int, text string")
     batch = search.search_batch(
-        happy, queries, row_key=search.COLUMN_KEY, weights=search.NAME_WEIGHTS, bonuses=search.KEY_BONUSES, top_n=3
+        happy, queries, row_key=search.COLUMN_KEY, weights=search.NAME_WEIGHTS, bonuses=search.KEY_BONUSES, top_n=3, parts=parts
     ).collect()
     for number, text in texts:
         got = [(r.table_name, r.relevance) for r in sorted(batch, key=lambda r: r.position) if r.query_id == number]
@@ -48,6 +49,19 @@ def test_batch_equals_single_searches(spark, happy):
         assert got == want, text
 
 
+def test_batch_scores_rows_without_grouping_them(spark, happy):
+    queries = spark.createDataFrame([(1, "order"), (2, None)], "query_id int, text string")
+    twice = happy.unionByName(happy)
+    run = lambda df: search.search_batch(
+        df, queries, row_key=search.COLUMN_KEY, weights=search.NAME_WEIGHTS, bonuses=search.KEY_BONUSES
+    )
+    once, both = run(happy), run(twice)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert not any("query_id" in k and "column_name" in k for k in keys)
+    assert sorted(r.relevance for r in both.collect()) == sorted(2 * [r.relevance for r in once.collect()])
+
+
 def test_details_and_missing_table(happy):
     assert search.table_details(happy, "Orders", "dbo", "OrderItem").first().fk_references == "Order.OrderId"
     assert search.table_details(happy, "Orders", "dbo", "Nope").count() == 0
