@@ -166,6 +166,22 @@ def _(t):
     )
 
 
+@R.add(
+    "entities_in_parts",
+    """SELECT 'app:' || f.database || '.' || f.table_name AS id, f.schema, row_count, column_count, column_name, semantic_role
+    FROM {facts} f JOIN {reviewed} r ON f.database = r.database AND f.schema = r.schema AND f.table_name = r.table_name""",
+    NODES,
+)
+def _(t):
+    # every table's columns over up to 16 rows, so that no task holds a wide table; nothing is lost between the parts
+    parts = graph.entities(nodes(t), RULES, parts=16)
+    listed = parts.select("id", "schema", "row_count", "column_count", F.explode("has_column").alias("c"))
+    return listed.select(
+        "id", "schema", "row_count", "column_count", F.col("c.column_name").alias("column_name"),
+        F.col("c.semantic_role").alias("semantic_role"),
+    )
+
+
 @R.add(
     "entity_review_status",
     """SELECT database, schema, table_name, concat_ws(',', CASE WHEN domain = 'UncategorizedDomain' THEN 'unclassified_domain' END,

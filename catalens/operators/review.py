@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.interpret import interpret_aggregation, interpret_filter, interpret_join, interpret_metric
 from ..plans.grouped import first_per_group, matched
+from ..plans.materialize import materialize
 
 # fixed values: words of a formula that are not columns
 FORMULA_KEYWORDS = [
@@ -158,7 +159,9 @@ def apply_feedback(
     """Columns with ``business_terms`` and ``business_meaning`` from the answers, matched by column name.
 
     The last answer (by ``order``) for a name wins. ``changes`` counts what was set on the row: a term
-    that the column already has, and a repeated answer, change nothing.
+    that the column already has, and a repeated answer, change nothing. The answers make one dictionary of names,
+    written so that its size is known: Spark broadcasts it below its threshold, and rows of a frequent name stay where
+    they are; a larger one is joined by a shuffle, whose frequent names AQE splits.
     """
     terms = (
         metric_answers.where(_filled("corrected_name"))
@@ -169,6 +172,7 @@ def apply_feedback(
     meanings = filter_answers.groupBy(F.substring_index("column", ".", -1).alias("column_name")).agg(
         F.max_by("business_meaning", order).alias("_meaning")
     )
+    answers = materialize(terms.join(meanings, "column_name", "full"), "answers")
     have = F.col("business_terms") if "business_terms" in columns.columns else F.array().cast("array<string>")
     have = F.coalesce(have, F.array().cast("array<string>"))
     old = columns.withColumn("_have", have)
@@ -176,8 +180,7 @@ def apply_feedback(
     kept = [c for c in columns.columns if c not in ("business_terms", "business_meaning")]
     before = F.col("business_meaning") if "business_meaning" in columns.columns else F.lit(None).cast("string")
     return (
-        old.join(terms, "column_name", "left")
-        .join(meanings, "column_name", "left")
+        old.join(answers, "column_name", "left")
         .select(
             *kept,
             F.when(new_term, F.array_append("_have", F.col("_term"))).otherwise(F.col("_have")).alias("business_terms"),
