@@ -318,6 +318,56 @@ def _(t):
     return graph.columns_by_role(nodes(t), "Monetary")
 
 
+@R.add(
+    "ontology_sections",
+    f"""SELECT 'Root' AS section, 'app:root' AS id, concat_ws(':', COUNT(*), COUNT(DISTINCT database || '.' || schema || '.' || table_name),
+        COUNT(DISTINCT database), COUNT(*) FILTER (WHERE is_foreign_key), '2002-06-01T00:00:00', 'urn:catalog#', '@set') AS detail FROM {{catalog_columns}}
+    UNION ALL SELECT 'Domain', 'app:' || l.domain, label || ':' || COALESCE(n, 0) FROM ({LISTED}) l LEFT JOIN (
+      SELECT domain, COUNT(*) AS n FROM (SELECT DISTINCT database, table_name, {DOMAIN_SQL} AS domain FROM {{catalog_columns}}) x
+      GROUP BY domain) c ON l.domain = c.domain
+    UNION ALL SELECT 'Entity', 'app:' || database || '.' || table_name, row_count || ':' || column_count || ':' || columns_needing_review FROM {{facts}}
+    UNION ALL SELECT 'Column', id, semantic_role FROM {{nodes}}
+    UNION ALL SELECT 'Relationship', id, relationship_type || ':' || "from" || ':' || "to" FROM ({EDGES_SQL}) e
+    UNION ALL SELECT 'Metric', 'app:metric:order_value', string_agg(name || ':' || (kind IS NOT NULL), ',' ORDER BY name) FROM (
+      SELECT w.name, MIN(data_type) AS kind FROM (VALUES ('db3.dbo.Order.TotalAmount'), ('db3.dbo.Order.NoSuchColumn'), ('db8.dbo.OrderItem.ItemCount')) w(name)
+      LEFT JOIN {{catalog_columns}} ON w.name = concat_ws('.', database, schema, table_name, column_name) GROUP BY w.name) m
+    UNION ALL SELECT 'CoreEntity', 'app:core:' || w.name, w.name || ':' || COALESCE(CAST(MAX(row_count_estimate) AS VARCHAR), '') || ':' ||
+        COALESCE(bool_or(column_name = k), false)
+      FROM (VALUES ('db3.dbo.Customer', 'OrderID'), ('db3.dbo.Order', 'Missing'), ('db3.dbo.Nowhere', 'ID')) w(name, k)
+      LEFT JOIN {{catalog_columns}} ON w.name = concat_ws('.', database, schema, table_name) GROUP BY w.name
+    UNION ALL SELECT 'ReviewItem', id, 'domainReview:' || reason FROM ({REVIEW_DOMAIN}) a
+    UNION ALL SELECT 'ReviewItem', id, 'unclassifiedColumns:' || reason FROM ({REVIEW_UNCLASSIFIED}) b
+    UNION ALL SELECT 'ReviewItem', id, 'highNullRateColumns:' || reason FROM ({REVIEW_NULL}) c
+    UNION ALL SELECT 'ReviewItem', id, 'lowCardinalityColumns:' || reason FROM ({REVIEW_LOW}) d
+    UNION ALL SELECT 'ReviewSummary', 'app:review:' || COALESCE(category, 'total'), CAST(CAST(SUM(items) AS BIGINT) AS VARCHAR) FROM (
+      SELECT 'domainReview' AS category, COUNT(*) AS items FROM ({REVIEW_DOMAIN}) a
+      UNION ALL SELECT 'unclassifiedColumns', COUNT(*) FROM ({REVIEW_UNCLASSIFIED}) b
+      UNION ALL SELECT 'highNullRateColumns', COUNT(*) FROM ({REVIEW_NULL}) c
+      UNION ALL SELECT 'lowCardinalityColumns', COUNT(*) FROM ({REVIEW_LOW}) d) x GROUP BY ROLLUP (category)""",
+    NODES,
+    stage=("catalog_columns",),
+)
+def _(t):
+    cat = t("catalog_columns")
+    path = new_path(cat.sparkSession, "ontology")
+    graph.write_ontology(cat, RULES, path, base_uri="urn:catalog#", generated_at=F.lit(REFERENCE).cast("timestamp_ntz"))
+    back = graph.read_ontology(cat.sparkSession, path)
+    field = lambda name: F.get_json_object("document", f"$.{name}")
+    joined = lambda *names: F.concat_ws(":", *[F.coalesce(field(n), F.lit("")) for n in names])
+    sources = F.from_json(field("sourceColumns"), "array<struct<column:string,resolved:string>>")
+    context = F.concat_ws(":", F.get_json_object("document", "$['@context']['@vocab']"), F.get_json_object("document", "$['@context']['hasColumn']['@container']"))
+    stats = [f"sourceStats.{k}" for k in ("totalColumns", "totalTables", "totalDatabases", "totalForeignKeys")]
+    forms = {
+        "Root": F.concat_ws(":", joined(*stats, "generatedAt"), context), "Domain": joined("label", "tableCount"),
+        "Entity": joined("rowCount", "columnCount", "columnsNeedingReview"), "Column": field("semanticRole"),
+        "Relationship": joined("relationshipType", "from", "to"), "CoreEntity": joined("table", "rowCount", "keyFound"),
+        "Metric": F.array_join(F.transform(sources, lambda c: F.concat(c["column"], F.lit(":"), c["resolved"])), ","),
+        "ReviewItem": joined("category", "reason"), "ReviewSummary": field("items"),
+    }
+    detail = F.coalesce(*[F.when(F.col("section") == k, v) for k, v in forms.items()])
+    return back.select("section", "id", detail.alias("detail"))
+
+
 @R.add(
     "entities_in_domain",
     """SELECT 'app:' || database || '.' || table_name AS id, database, schema, table_name, row_count, column_count FROM {facts}

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.grouped import matched, nested_parts
 from ..plans.materialize import materialize
 from ..plans.schemas import TABLE_KEY
-from .classify import domain_of, relationship_of, role_of
+from .classify import domain_counts, domain_of, relationship_of, role_of, source_stats
 
 # fixed values: review thresholds and the roles that explain a low cardinality
 HIGH_NULL_RATE = 0.5
@@ -274,10 +275,12 @@ def core_entities(catalog: DataFrame, rules: dict) -> DataFrame:
 # --- whole document and queries over it -------------------------------------------------------------
 
 
-def graph_documents(catalog: DataFrame, rules: dict) -> DataFrame:
-    """Every node and edge as one JSON object per row, told apart by ``type``."""
-    nodes = column_nodes(catalog, rules)
-    facts = entity_facts(nodes, rules)
+def graph_documents(
+    catalog: DataFrame, rules: dict, *, nodes: DataFrame | None = None, facts: DataFrame | None = None
+) -> DataFrame:
+    """Every node and edge as one JSON object per row, told apart by ``type``; from given nodes where there are any."""
+    nodes = column_nodes(catalog, rules) if nodes is None else nodes
+    facts = entity_facts(nodes, rules) if facts is None else facts
     tables = facts.select(
         F.lit("Entity").alias("type"), "id",
         F.to_json(
@@ -341,6 +344,89 @@ def write_graph(catalog: DataFrame, rules: dict, path: str) -> None:
     ).partitionBy("type").text(path)
 
 
+def ontology_sections(
+    catalog: DataFrame, rules: dict, *, base_uri: str, generated_at: Column, label: str = "Data catalog",
+    comment: str = "Tables, columns and references of the catalog",
+) -> DataFrame:
+    """The whole document as one JSON object per row, told apart by ``section``.
+
+    ``Root`` holds the context, the time and the source statistics; then come ``Domain``, ``Entity``, ``Column``,
+    ``Relationship``, ``Metric``, ``CoreEntity``, ``ReviewItem`` and ``ReviewSummary``. No section is collected, so
+    each may be as long as the catalog; metrics and core entities are as many as the rule file has.
+    """
+    ns = rules["namespace"]
+    nodes = materialize(column_nodes(catalog, rules), "nodes")  # read by seven sections
+    facts = materialize(entity_facts(nodes, rules), "facts")
+
+    def section(name: str, rows: DataFrame, key: Column, **fields: Column | str) -> DataFrame:
+        columns = [(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()]
+        body = F.struct(key.alias("@id"), F.lit(name).alias("@type"), *columns)
+        return rows.select(F.lit(name).alias("section"), key.alias("id"), F.to_json(body).alias("document"))
+
+    stats = {camel(c): F.col(c) for c in ("total_columns", "total_tables", "total_databases", "total_foreign_keys")}
+    root = section(
+        "Root", source_stats(catalog), F.lit(f"{ns}:root"), label=F.lit(label), comment=F.lit(comment),
+        generatedAt=F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss"),
+        sourceStats=F.struct(*[c.alias(k) for k, c in stats.items()]),
+    )
+    context = json.dumps({"@context": graph_context(rules, base_uri, rules.get("context"))})
+    root = root.withColumn("document", F.concat(F.lit(context[:-1] + ","), F.substr("document", F.lit(2))))
+    graph = graph_documents(catalog, rules, nodes=nodes, facts=facts).select(
+        F.col("type").alias("section"), "id", "document"
+    )
+    domains = section(
+        "Domain", domain_counts(catalog, rules["domains"]), F.concat(F.lit(f"{ns}:"), "domain"),
+        label="label", comment="description", tableCount="table_count",
+    )
+    source = F.when(
+        F.col("source_column").isNotNull(),
+        F.struct(F.col("source_column").alias("column"), F.col("data_type").alias("dataType"), F.col("resolved")),
+    )
+    told = ["id", "label", "description", "formula", "conditions", "observation_window_days", "notes"]
+    per_metric = metric_nodes(catalog, rules).groupBy(*told).agg(F.sort_array(F.collect_list(source)).alias("sources"))
+    metrics = section(
+        "Metric", per_metric, F.col("id"), label="label", comment="description", formula="formula",
+        sourceColumns="sources", conditions="conditions", observationWindowDays="observation_window_days", notes="notes",
+    )
+    core = section(
+        "CoreEntity", core_entities(catalog, rules), F.col("id"), label="label", comment="description", table="table",
+        keyColumn="key_column", keyFound="key_found", isAggregateRoot="is_aggregate_root", belongsTo="belongs_to",
+        rowCount="row_count", domain="domain",
+    )
+    queue = {
+        "domainReview": review_domain(facts), "unclassifiedColumns": review_unclassified(nodes),
+        "highNullRateColumns": review_high_null(nodes), "lowCardinalityColumns": review_low_cardinality(nodes),
+    }
+    items = [
+        section(
+            "ReviewItem", rows, F.col("id"), category=F.lit(category),
+            **{camel(c): c for c in rows.columns if c != "id"},
+        )
+        for category, rows in queue.items()
+    ]
+    summary = section(
+        "ReviewSummary", review_summary(nodes, facts), F.concat(F.lit(f"{ns}:review:"), "category"), items="items"
+    )
+    return reduce(DataFrame.unionByName, [root, domains, graph, metrics, core, *items, summary])
+
+
+def camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(w.capitalize() for w in rest)
+
+
+def write_ontology(catalog: DataFrame, rules: dict, path: str, **options) -> None:
+    """All sections as JSON lines, one folder per section; ``options`` as in ``ontology_sections``."""
+    sections = ontology_sections(catalog, rules, **options).select("section", F.col("document").alias("value"))
+    sections.write.mode("overwrite").partitionBy("section").text(path)
+
+
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    """``section, id, document`` of a written document."""
+    found = spark.read.option("basePath", path).text(path)
+    return found.select("section", F.get_json_object("value", "$['@id']").alias("id"), F.col("value").alias("document"))
+
+
 def entities_in_domain(facts: DataFrame, domain: str) -> DataFrame:
     return facts.where(F.col("domain") == domain).select("id", *TABLE_KEY, "row_count", "column_count")
 

@@ -135,3 +135,30 @@ def test_same_named_tables_of_two_schemas_stay_apart(happy):
     both = conform(happy.unionByName(happy.withColumn("schema", F.lit("sales"))), CATALOG)
     facts = graph.entity_facts(graph.column_nodes(both, default_rules()), default_rules())
     assert facts.count() == 10
+
+
+def test_ontology_sections_round_trip(spark, tmp_path):
+    spec = (
+        "target string, server string, database string, schema string, table_name string, column_name string, data_type string, "
+        "is_nullable boolean, is_primary_key boolean, is_foreign_key boolean, fk_references string, row_count_estimate long, "
+        "null_count long, null_rate double, distinct_count long, profiled_rows long"
+    )
+    rows = [
+        ("t", "s", "d", "dbo", "Order", "OrderID", "int", False, True, False, "", 5, 0, 0.0, 5, 5),
+        ("t", "s", "d", "dbo", "Item", "OrderID", "int", False, False, True, "dbo.Order.OrderID", 9, 8, 0.9, 1, 9),
+    ]
+    rules = {**default_rules(), "context": {"dc": "urn:dc#"}}
+    options = {"base_uri": "urn:x#", "generated_at": F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"), "label": "Mine"}
+    for n, data in enumerate([rows, []]):
+        catalog, path = spark.createDataFrame(data, spec), str(tmp_path / str(n))
+        graph.write_ontology(catalog, rules, path, **options)
+        found = [(r.section, r.id, json.loads(r.document)) for r in graph.read_ontology(spark, path).collect()]
+        root = next(d for s, _, d in found if s == "Root")
+        assert root["@context"]["dc"] == "urn:dc#" and root["@context"]["@vocab"] == "urn:x#" and root["label"] == "Mine"
+        assert root["generatedAt"] == "2024-05-06T07:08:09" and root["@type"] == "Root"
+        assert root["sourceStats"]["totalColumns"] == len(data) and root["sourceStats"]["totalForeignKeys"] == len(data) // 2
+        names = {s for s, _, _ in found}
+        assert {"Root", "Domain"} <= names and (not data or {"Entity", "Column", "Relationship", "ReviewItem", "ReviewSummary"} <= names)
+        high = [d for s, _, d in found if s == "ReviewItem" and d["category"] == "highNullRateColumns"]
+        assert [d["reason"] for d in high] == (["Column is 90% null"] if data else [])
+        assert all(d["@id"] == i for _, i, d in found)
