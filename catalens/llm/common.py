@@ -83,3 +83,31 @@ class WordCache(dict):
     def make_room(self) -> None:
         if len(self) > self.limit:
             self.clear()
+
+
+class RecentWords(dict):
+    """Results per word, made by ``make`` where they are missing; of ``limit`` to twice as many words the latest stay.
+
+    Results of words of more than ``longest`` characters are not kept.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest = make, limit, longest
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+            if len(word) > self.longest:
+                return found
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()

@@ -14,10 +14,12 @@ packed as rows of their own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -26,54 +28,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import WordCache, arrow_of, small_slices, two_columns
+from .common import RecentWords, arrow_of, small_slices, two_columns
+from .token_counts import byte_symbols
 
-SENTINEL = "\x01"  # stands between words that are sent to the tokenizer together
 CLOSE = (1).to_bytes(4, "little")
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
+#: What a tokenizer file says if its words are cut here: how it normalises, and how it splits.
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of ASCII and Latin-1 letters only: NFC leaves them, and each letter has one lower-case letter.
+PLAIN = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]+")
+#: The same split for lower-case words of that kind.
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 
 class Ids:
-    """Token ids of texts as little-endian bytes, by the library for a tokenizer whose words end at white space."""
+    """Token ids of texts as little-endian bytes, by the library for a tokenizer whose words end at white space.
+
+    A new word goes to the library. Where the file's rules are the known ones, plain words are lower-cased and split
+    here, so that only pretokens not seen lately go to the library's model.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache = WordCache()
-        self.sentinel = self._ids(SENTINEL)
+        self.tokenize, self.symbols = self.library.model.tokenize, byte_symbols()
+        self.words, self.pretokens = RecentWords(self.of_word, 150_000), RecentWords(self.of_pretoken, 200_000)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        split = [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.known = (
+            spec["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZERS}
+            and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": split}
+            and not any(x["normalized"] or x["content"].isalpha() for x in spec["added_tokens"])
+        )
         # only what white space is to both Python and the library may part words
-        self.odd = {chr(c) for c in range(0x3001) if chr(c).isspace()} - set(" \t\n\r")
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def learn(self, words: list[str]) -> None:
-        """Encode many words at once, parted by a symbol of their own, and cut the ids there."""
-        self.cache.make_room()
-        for start in range(0, len(words), 2000):
-            some = words[start : start + 2000]
-            ids = self._ids(f" {SENTINEL} ".join(some))
-            cuts = np.flatnonzero(ids == self.sentinel[0]) if len(self.sentinel) == 1 else ()
-            if len(cuts) != len(some) - 1:
-                self.cache.update((x, self._ids(x).astype("<u4").tobytes()) for x in some)
-                continue
-            raw, ends = ids.astype("<u4").tobytes(), [*cuts.tolist(), len(ids)]
-            begin = 0
-            for word, end in zip(some, ends):
-                self.cache[word] = raw[4 * begin : 4 * end]
-                begin = end + 1
+        self.odd = sorted({chr(c) for c in range(0x3001) if chr(c).isspace()} - set(" \t\n\r"))
+
+    def of_text(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of_pretoken(self, pretoken: str) -> bytes:
+        if not (pretoken.isascii() and pretoken.isprintable()):  # else its bytes are their own symbols
+            pretoken = "".join(map(self.symbols.__getitem__, pretoken.encode("utf-8")))
+        ids = [x.id for x in self.tokenize(pretoken)]
+        return pack("<%dI" % len(ids), *ids)
+
+    def of_word(self, word: str) -> bytes:
+        if not (self.known and (word.isascii() or PLAIN.fullmatch(word))):
+            return self.of_text(word)
+        if word.isalpha():
+            return self.pretokens[word.lower()]
+        if any(map(word.__contains__, self.special)):
+            return self.of_text(word)
+        return b"".join(map(self.pretokens.__getitem__, PRETOKEN.findall(word.lower())))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if not self.odd.isdisjoint(x) or SENTINEL in x else x.split() for x in texts]
-        cache = self.cache
-        new = {x for x in set(chain.from_iterable(x for x in split if x)) if x not in cache}
-        if new:
-            self.learn(sorted(new))
-            if len(cache) <= len(new):  # it was emptied
-                self.learn([x for x in set(chain.from_iterable(x for x in split if x)) if x not in cache])
-        for text, words in zip(texts, split):
-            yield self._ids(text).astype("<u4").tobytes() if words is None else b"".join(map(cache.__getitem__, words))
+        for text in texts:
+            if any(map(text.__contains__, self.odd)):
+                yield self.of_text(text)
+            else:
+                yield b"".join(map(self.words.__getitem__, text.split()))
+
+    def forget(self) -> None:
+        self.words.forget()
+        self.pretokens.forget()
 
 
 @lru_cache(maxsize=4)
@@ -88,16 +117,19 @@ def token_pieces(df: DataFrame, path: str, capacity: int, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = ids_of(path), 4 * capacity
-        for batch in batches:
-            for part in small_slices(batch, 128):
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()])):
-                    ids += CLOSE
-                    for i, at in enumerate(range(0, len(ids), step)):
-                        cut = ids[at : at + step]
-                        rows.append((doc, i, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                columns = list(zip(*rows)) or [()] * len(target)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+        try:
+            for batch in batches:
+                for part in small_slices(batch, 128):
+                    rows = []
+                    for doc, ids in zip(part.column(0).to_pylist(), encode([x or "" for x in part.column(1).to_pylist()])):
+                        ids += CLOSE
+                        for i, at in enumerate(range(0, len(ids), step)):
+                            cut = ids[at : at + step]
+                            rows.append((doc, i, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                    columns = list(zip(*rows)) or [()] * len(target)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+        finally:
+            encode.forget()  # an idle worker holds no words while other stages run
 
     return two_columns(df, key, text).mapInArrow(run, schema)
 
