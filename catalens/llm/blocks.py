@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import arrow_of
+from .common import arrow_of, each_row
 
 BLOCK_BYTES = 2 << 20
 PART_BYTES = 12 << 20  # of text for each part of the key space
@@ -155,7 +155,7 @@ def ask(
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 keys, extra = questions(row)
                 at = parted(keys, parts)
                 some = [i for i in range(parts) if at[i] < at[i + 1]]

@@ -54,6 +54,12 @@ def small_slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBa
         yield batch.slice(start, rows)
 
 
+def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one at a time, for rows of megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def arrow_of(ddl: str) -> pa.Schema:
     """Arrow form of a Spark DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -66,7 +66,7 @@ class Runs:
         return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, slice_bytes: int = 1 << 21):
+def word_hashes(data: np.ndarray, ends: np.ndarray, slice_bytes: int = 1 << 18):
     """``(hash, start, end)`` of every word of concatenated texts that end at ``ends``; words end with their text."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)

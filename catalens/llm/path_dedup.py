@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import Block, text_blocks
-from .common import arrow_of, importable
+from .common import arrow_of, each_row, importable
 from .hashing import word_hashes
 from .repeats import ANYWHERE, find, runs_of
 
@@ -54,7 +54,7 @@ def path_dedup(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 block, removed = Block.of(row), mark(row)
                 data, ends = block.data.tobytes(), _words(block)[1]
                 rows, start, at = [], 0, 0

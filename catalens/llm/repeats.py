@@ -27,7 +27,7 @@ from .hashing import Runs, mix
 EARLIER, ANYWHERE = "earlier", "anywhere"
 DONE, SETTLED, ASKS, SPEAKS = 0, 1, 2, 3
 _PLACE_BITS = 22
-_SLICE = 1 << 20
+_SLICE = 1 << 18  # places hashed at a time: some 36 MB of arrays, of which a worker keeps the powers, 8 MB
 
 
 def least_of_each(values: np.ndarray, width: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from .blocks import Block, rest_of, text_blocks
-from .common import importable
+from .common import each_row, importable
 from .hashing import BYTE
 from .repeats import EARLIER, find, runs_of
 
@@ -56,7 +56,7 @@ def suffix_dedup(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in each_row(batch):
                 block, removed = Block.of(row), mark(row)
                 rows, start = [], 0
                 for doc, end, (n, spans) in zip(block.id_list, block.ends.tolist(), runs_of(removed, block.ends)):
