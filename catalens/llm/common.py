@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,20 @@ def each_row(batch: pa.RecordBatch) -> Iterator[dict]:
         yield batch.slice(i, 1).to_pylist()[0]
 
 
+def among(rows: DataFrame, number: Column, kept: Column, of: DataFrame) -> DataFrame:
+    """The rows whose ``number`` (not negative) is one of ``kept`` in ``of``; no row is shuffled.
+
+    Every executor gets the numbers as bitmaps, an eighth of a byte for each number up to the largest of a range of
+    32,768, so that numbers should lie close together.
+    """
+    maps = of.select(F.bitmap_bucket_number(kept).alias("_bucket"), F.bitmap_bit_position(kept).alias("_bit"))
+    maps = maps.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    place = F.bitmap_bit_position(number).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(number) == F.col("_bucket"))
+    return met.where(F.getbit(byte, place % 8) == 1).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def arrow_of(ddl: str) -> pa.Schema:
     """Arrow form of a Spark DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -7,7 +7,8 @@ n - ceil(t n) + 1 shingles in any fixed order with it. The first shingles of all
 two points or more have, split where sizes leave a gap that no link can bridge, are the regions: every link lies
 in one of them. The order puts shingles last that a bounded sample finds in many documents, so a passage that many
 documents share makes no region unless they consist of it. (Document pivots alone cannot cut the corpus: nearly all
-points lie at distance 1 from any of them.)
+points lie at distance 1 from any of them.) Sizes say how many first shingles a linked pair has in common; regions are
+cut into groups that pairs with as many connect, so passages that only some documents share do not join them.
 
 *Leaves.* Regions that share points are joined together. Where such a union has at most ``leaf_shingles`` shingles,
 its points and regions come to one task, which takes them in turn as pivots: a pivot is compared exactly with the
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
 from .blocks import from_six_bytes, packed, parted, six_bytes, unpacked
-from .common import arrow_of, importable, reclaim, two_columns
+from .common import among, arrow_of, importable, reclaim, two_columns
 from .components import components
 from .hashing import LOWER, Runs, mix, word_hashes
 from .repeats import groups
@@ -206,18 +207,104 @@ def shared_regions(points: DataFrame, percent: int, parts: int, paired: int) ->
     return points.mapInArrow(put, request).groupBy("part").applyInArrow(meet, out_schema)
 
 
-def possible_regions(met: DataFrame, percent: int) -> DataFrame:
-    """``region, point, n``: the large regions of ``shared_regions`` and, as regions of two, pairs that may link."""
+def least_shared(n: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """How many first shingles sets of these sizes have in common if they reach the threshold."""
+    behind = -(-percent * np.maximum(n, other) // 100) - 1
+    return -(-percent * (n + other) // (100 + percent)) - behind
+
+
+def candidate_groups(n: np.ndarray, regions: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each point (sizes ascending) the least one that pairs with enough regions in common lead to."""
+    count = len(n)
+    owner = np.repeat(np.arange(count), [len(x) for x in regions])
+    number = np.unique(np.concatenate(regions), return_inverse=True)[1]
+    by_region = np.lexsort((owner, number))
+    members, number_of = owner[by_region], number[by_region]
+    region_end = np.searchsorted(number_of, np.arange(number_of[-1] + 1), "right")[number_of]
+    place = np.empty(len(owner), np.int64)
+    place[by_region] = np.arange(len(owner))
+    at = np.cumsum([0] + [len(x) for x in regions])
+    most = np.searchsorted(n, n * 100 // percent, "right")
+    group = np.arange(count)
+    for i in range(count):
+        own = place[at[i] : at[i + 1]]
+        later = [members[p + 1 : e] for p, e in zip(own.tolist(), region_end[own].tolist()) if p + 1 < e]
+        if not later:
+            continue
+        later = np.concatenate(later)
+        later = later[(later < most[i]) & (later > i) & (group[later] != group[i])]
+        others, shared = np.unique(later, return_counts=True)
+        for j in others[shared >= least_shared(n[i], n[others], percent)].tolist():
+            if group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group[group == high] = low
+    return group
+
+
+def refined(large: DataFrame, lists: DataFrame, percent: int, widest: int, part_entries: int = 400_000) -> DataFrame:
+    """``region, point, n``: the regions cut into groups of points that pairs with enough regions in common connect.
+
+    A passage that some documents share makes many regions of them, yet too few for a link. Each region comes, with those
+    that have the same least member in a fixed order, to a task that gets the numbers of all regions of its points: short
+    lists in place of the sets. Regions of more than ``widest`` members are left as they are. ``lists`` holds
+    ``point, n, numbers`` for the points of ``large``.
+    """
+    least = F.min(F.struct(F.xxhash64("point").alias("order"), "point"))
+    sizes = large.groupBy("region").agg(F.count("*").alias("members"), least["point"].alias("home"))
+    sizes = materialize(sizes, "sizes")
+    homes = large.join(sizes.where(F.col("members") <= widest), "region").select("home", "point").distinct()
+    homes = materialize(homes.join(lists, "point").select("home", "point", "n", "numbers"), "homes")
+    total = homes.agg(F.coalesce(F.sum(F.size("numbers")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // part_entries))
+    schema = "region bigint, point bigint, n bigint"
+    target = arrow_of(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        home, point, n = (table.column(c).to_numpy() for c in ("home", "point", "n"))
+        numbers = table.column("numbers").combine_chunks()
+        ends = numbers.offsets.to_numpy()
+        flat = numbers.values.to_numpy()
+        order = np.lexsort((point, n, home))
+        cuts = [0, *(np.flatnonzero(np.diff(home[order])) + 1).tolist(), len(order)]
+        out = [np.zeros((3, 0), np.int64)]
+        for a, b in zip(cuts, cuts[1:]):
+            some = order[a:b]
+            group = candidate_groups(n[some], [flat[ends[k] : ends[k + 1]] for k in some.tolist()], percent)
+            total = np.zeros(len(group), np.uint64)
+            np.add.at(total, group, mix(point[some].astype(np.uint64)))  # equal groups have one name wherever they are found
+            kept = np.bincount(group, minlength=len(group))[group] > 1
+            out.append(np.stack([total.astype(np.int64)[group[kept]], point[some[kept]], n[some[kept]]]))
+        return pa.Table.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], schema=target)
+
+    dealt = homes.select(F.pmod(F.xxhash64("home"), F.lit(parts)).alias("part"), "home", "point", "n", "numbers")
+    groups_of = dealt.groupBy("part").applyInArrow(run, schema).distinct()
+    wide = large.join(sizes.where(F.col("members") > widest), "region").select("region", "point", "n")
+    return groups_of.unionByName(wide)
+
+
+def possible_regions(met: DataFrame, percent: int, widest: int = 10_000) -> DataFrame:
+    """``region, point, n``: the refined large regions of ``shared_regions`` and, as regions of two, pairs that may link."""
     large = met.where(F.col("region").isNotNull()).select("region", "point", "n")
+    # numbers of 32 bits: two regions with one number can only add to what a pair seems to share
+    lists = materialize(large.groupBy("point", "n").agg(F.collect_list(F.hash("region")).alias("numbers")), "lists")
     pairs = met.where(F.col("region").isNull()).groupBy("point", "n", "other", "other_n").agg(F.sum("shared").alias("shared"))
-    more = large.groupBy("point").agg(F.count("*").alias("more"))
+    more = lists.select("point", F.size("numbers").alias("more"))
     pairs = pairs.join(more, "point", "left").join(more.toDF("other", "other_more"), "other", "left")
     most = F.col("shared") + F.least(F.coalesce("more", F.lit(0)), F.coalesce("other_more", F.lit(0)))
     both = F.expr(f"({percent} * (n + other_n) + {99 + percent}) div {100 + percent}")  # rounded up
     behind = F.expr(f"({percent} * greatest(n, other_n) + 99) div 100 - 1")
+    pairs = pairs.withColumn("least", both - behind).where(most >= F.col("least"))
+    pairs = materialize(pairs.select("point", "n", "other", "other_n", "shared", "least"), "pairs")
     ends = F.explode(F.array(F.struct("point", "n"), F.struct(F.col("other").alias("point"), F.col("other_n").alias("n"))))
-    pairs = pairs.where(most >= both - behind).select(F.xxhash64("point", "other").alias("region"), ends.alias("end"))
-    return large.unionByName(pairs.select("region", "end.point", "end.n"))
+    unsure = pairs.where(F.col("shared") < F.col("least"))
+    unsure = unsure.join(lists.select("point", "numbers"), "point")
+    unsure = unsure.join(lists.select(F.col("point").alias("other"), F.col("numbers").alias("other_numbers")), "other")
+    repeats = F.size("numbers") - F.size(F.array_distinct("numbers"))
+    in_common = F.size(F.array_intersect("numbers", "other_numbers")) + repeats
+    unsure = unsure.where(F.col("shared") + in_common >= F.col("least")).select(*pairs.columns)
+    pairs = pairs.where(F.col("shared") >= F.col("least")).unionByName(unsure)
+    pairs = pairs.select(F.xxhash64("point", "other").alias("region"), ends.alias("end"))
+    return refined(large, lists, percent, widest).unionByName(pairs.select("region", "end.point", "end.n"))
 
 
 def full_sets(df: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -225,8 +312,7 @@ def full_sets(df: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
     A point comes twice if rows with equal ids have equal texts.
     """
-    if needed.count() <= BROADCAST_IDS:  # a bounded side; beyond it, Spark shuffles the texts
-        needed = F.broadcast(needed)
+    count = needed.count()
     schema = "key bigint, a bigint, b bigint, shingles binary"
     target = arrow_of(schema)
 
@@ -238,7 +324,11 @@ def full_sets(df: DataFrame, needed: DataFrame, words: int) -> DataFrame:
             columns = [keys, *set_names(value, ends), blobs]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
-    some = df.join(needed, df["key"].eqNullSafe(needed["key"]), "left_semi")
+    if count <= BROADCAST_IDS:
+        some = df.join(F.broadcast(needed), df["key"].eqNullSafe(needed["key"]), "left_semi")
+    else:  # bits of hashed ids, so that no text is shuffled; what they let through by chance goes at the join below
+        bits = 1 << (32 * count).bit_length()
+        some = among(df, F.pmod(F.xxhash64("key"), F.lit(bits)), F.pmod(F.xxhash64("key"), F.lit(bits)), needed)
     sets = some.mapInArrow(run, schema).drop("key")
     return sets.join(needed.drop("key"), ["a", "b"]).drop("a", "b")
 
@@ -454,7 +544,7 @@ def jaccard_components(
     named = rows.where(F.col("n") > 0)
     classes = named.groupBy("a", "b").agg(F.min("row").alias("point"), F.min("key").alias("least"))
     classes = materialize(classes, "classes")
-    points = named.join(classes.select(F.col("point").alias("row")), "row").select(F.col("row").alias("point"), "n", "first")
+    points = among(named, F.col("row"), F.col("point"), classes).select(F.col("row").alias("point"), "n", "first")
     total = rows.agg(F.coalesce(F.sum(F.length("first")), F.lit(0))).first()[0] // 6
     met = materialize(shared_regions(points, percent, max(1, -(-total // part_keys)), paired), "met")
     regions = materialize(possible_regions(met, percent), "regions")
