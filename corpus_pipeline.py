@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalens.llm import language
+from catalens.llm.common import among
 from catalens.llm.jaccard_join import jaccard_components
 from catalens.llm.packing import pack_documents
 from catalens.llm.queries import CAPACITY, WORD_BPE, held_out, table
@@ -58,7 +59,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
     ids = rows.select(F.col(number).alias("row"), "doc_id")
     kept = groups.join(ids, "row").groupBy("component_id").agg(least).select(F.col("least.row").alias(number))
-    return rows.join(kept, number, "left_semi").select(*docs.columns)
+    return among(rows, F.col(number), F.col(number), kept).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

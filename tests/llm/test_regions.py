@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from catalens.llm import jaccard_join
 from catalens.llm.common import among
 from catalens.llm.embedding_dedup import _labels
@@ -88,3 +89,18 @@ def test_rows_among_numbers(spark):
     rows = spark.createDataFrame([(i, str(i)) for i in numbers], "row long, text string")
     some = spark.createDataFrame([(i,) for i in [*kept, 3, 9, 40_000, kept[0]]], "n long")
     assert sorted(x.row for x in among(rows, F.col("row"), F.col("n"), some).collect()) == kept
+
+
+def test_distinct_documents_move_no_text(spark):
+    rows = [(i, f"alpha beta gamma delta epsilon zeta {'eta' if i % 2 else 'theta'} iota kappa lamda mu {i % 4}") for i in range(9)]
+    docs = spark.createDataFrame(rows + [(None, rows[0][1])], "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.distinct_documents(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "text" in plan and not any("Exchange" in x and "text" in x for x in plan.splitlines())
+        assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+        assert sorted((x.doc_id for x in out.collect())) == [0, 1, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
