@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 VALUE = rf"{LITERAL}|@[A-Za-z0-9_]+|\?|{NUMBER}|\(\s*SELECT\b|{NAME}(?:\([^()]*\))?"
 
 COMMENT = r"(?s)('[^']*')|--[^\n]*|/\*.*?\*/"
+BLANKS = r"\s{2,}|[\t\n\x0B\f\r]"  # all runs of blanks but a single space
 FROM_SPLIT = r"(?i)\bFROM\s+"
 JOIN_MARK = r"(?i)\b(?:(INNER|CROSS|LEFT|RIGHT|FULL)\s+)?(?:OUTER\s+)?JOIN\s+"
 ON_PART = r"(?i)\bON\s+(.*)"
@@ -78,6 +80,9 @@ NO_OPERAND = (
     "SELECT|DISTINCT|ALL|TOP|WHEN|THEN|ELSE|END|AND|OR|NOT|WHERE|ON|BY|HAVING|IN|BETWEEN|LIKE|SET|RETURN|FROM|CASE|AS|IF|"
     "WHILE|PRINT|VALUES|UNION|EXCEPT|INTERSECT|LIMIT|OFFSET|INTO|IS|EXISTS|BEGIN|JOIN|OVER"
 )
+# fixed values: a text without them has no such pattern (characters of the tags count as blanks)
+AGGREGATES = r"(?i)\b(?:SUM|COUNT|AVG|MIN|MAX)[\s\x01-\x04]*\("
+JOINS = r"(?i),|\x01|\bJOIN\b"
 AGGREGATE_AT = r"(?:SUM|COUNT|AVG|MIN|MAX)\s*\("
 
 
@@ -95,6 +100,8 @@ CASE = rf"(?is)({ITEM}?)\b({nested(3, 'CASE', 'END')}){ALIAS}"
 #: Where a match may begin: not inside a name or number, nor behind a mark or an operator that binds as tightly.
 FREE = rf"(?<![A-Za-z0-9_.$#@\]{ITEM}])"
 CALLED = rf"(?:(?!\()|(?<=\b(?:{NO_OPERAND.removesuffix('|OVER')})\s)|(?<![A-Za-z0-9_\]\"]\s))"  # no bracket of a call
+FREE_AGGREGATE = rf"(?=[{ITEM}SCAM]){FREE}"  # what else no match begins with is passed over at once
+FREE_CASE = rf"(?=[{ITEM}C]){FREE}"
 FREE_FACTOR = rf"{FREE}(?<![*/%\"'])(?<![*/%]\s){CALLED}"
 # fixed values: words after an expression that are no alias
 NO_ALIAS = [
@@ -120,11 +127,14 @@ SQL_WORDS = sorted({*NO_ALIAS, *FORMULA_WORDS, *NO_OPERAND.split("|"), "GO", "OU
 
 def masked(definition: str | Column = "definition") -> Column:
     """Text without comments, blanks collapsed, contents of string literals hex-encoded."""
-    text = F.col(definition) if isinstance(definition, str) else definition
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, "$1")
+    text = F.coalesce(F.col(definition) if isinstance(definition, str) else definition, F.lit(""))
+    # most texts have no comment, and many no literal: what would leave them as they are is not run
+    commented = F.contains(text, F.lit("--")) | F.contains(text, F.lit("/*"))
+    clean = F.when(commented, F.regexp_replace(text, COMMENT, "$1")).otherwise(text)
     parts = F.split(clean, "'")
     coded = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.hex(p)).otherwise(p))
-    return F.trim(F.regexp_replace(F.array_join(coded, "'"), r"\s+", " "))
+    coded = F.when(F.contains(text, F.lit("'")), F.array_join(coded, "'")).otherwise(clean)
+    return F.trim(F.regexp_replace(coded, BLANKS, " "))
 
 
 def prepare(objects: DataFrame, definition: str = "definition") -> DataFrame:
@@ -197,12 +207,22 @@ def _plain(text: Column) -> Column:
 
 def _everywhere(text: Column, pattern: str, groups: int, free: str = FREE) -> Column:
     """As ``_matches``, for matches at every place, also inside one another."""
-    flags, body = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 :]
-    # the match is looked for ahead of a place, as group 1; its own groups come one later there
-    shifted = _shift(body)
-    found = _all(text, f"{flags}{free}(?=({shifted}))", 1)
+    flags, body = _flags(pattern)
     joined = "\x01".join(f"${i}" for i in range(1, groups + 1))
-    return F.transform(found, lambda m: F.split(F.regexp_replace(m, f"{flags}^{body}$", joined), "\x01"))
+    return F.transform(_places(text, pattern, free), lambda m: F.split(F.regexp_replace(m, f"{flags}^{body}$", joined), "\x01"))
+
+
+def _flags(pattern: str) -> tuple[str, str]:
+    """A pattern's flags and what stands behind them."""
+    at = pattern.index(")") + 1
+    return pattern[:at], pattern[at:]
+
+
+def _places(text: Column, pattern: str, free: str = FREE) -> Column:
+    """The matches at every place, also inside one another."""
+    flags, body = _flags(pattern)
+    # the match is looked for ahead of a place, as group 1; its own groups come one later there
+    return _all(text, f"{flags}{free}(?=({_shift(body)}))", 1)
 
 
 def _shift(pattern: str) -> str:
@@ -256,6 +276,24 @@ def _tail(parts: Column) -> Column:
     return F.filter(parts, lambda _, i: i > 0)
 
 
+def _join_pieces(segment: Column) -> Column:
+    """The kind and right side of every JOIN, or comma, behind one FROM."""
+    listed = F.regexp_extract(segment, FROM_LIST, 0)
+    rest = F.substr(segment, F.length(listed) + 1)
+    marked = F.concat(F.regexp_replace(listed, ",", "\x01\x02"), F.regexp_replace(rest, JOIN_MARK, "\x01$1\x02"))
+    return _tail(F.split(marked, "\x01"))
+
+
+def _joined(piece: Column) -> Column:
+    """The right side in a piece of ``_join_pieces``."""
+    return F.ltrim(F.substring_index(piece, "\x02", -1))
+
+
+def _clauses(sql: str) -> Column:
+    """The conditions behind every WHERE."""
+    return F.transform(_tail(F.split(F.col(sql), WHERE_SPLIT)), lambda c: F.get(F.split(c, WHERE_END, 2), 0))
+
+
 # --- one array column per kind of pattern -----------------------------------------------------------
 
 
@@ -265,12 +303,9 @@ def joins(sql: str = "sql") -> Column:
     def of_from(segment: Column) -> Column:
         start = _or_null(F.regexp_extract(segment, rf"^({NAME})", 1))
         left = F.coalesce(_unquoted(start), F.lit("UNKNOWN"))
-        listed = F.regexp_extract(segment, FROM_LIST, 0)
-        rest = F.substr(segment, F.length(listed) + 1)
-        marked = F.concat(F.regexp_replace(listed, ",", "\x01\x02"), F.regexp_replace(rest, JOIN_MARK, "\x01$1\x02"))
 
         def of_join(piece: Column) -> Column:
-            kind, rest = F.substring_index(piece, "\x02", 1), F.ltrim(F.substring_index(piece, "\x02", -1))
+            kind, rest = F.substring_index(piece, "\x02", 1), _joined(piece)
             on = F.get(F.split(F.regexp_extract(rest, ON_PART, 1), ON_END, 2), 0)
             pairs = F.transform(
                 _matches(on, ON_PAIR, 2),
@@ -283,7 +318,7 @@ def joins(sql: str = "sql") -> Column:
                 pairs.alias("on_columns"),
             )
 
-        return F.transform(_tail(F.split(marked, "\x01")), of_join)
+        return F.transform(_join_pieces(segment), of_join)
 
     found = F.flatten(F.transform(_tail(F.split(F.col(sql), FROM_SPLIT)), of_from))
     return F.filter(found, lambda j: j["right_table"] != "")
@@ -303,7 +338,7 @@ def aggregations(sql: str = "sql") -> Column:
             F.when(plain, _or_null(_unquoted(prefix))).alias("context"),
         )
 
-    return F.transform(_everywhere(tagged(sql), AGGREGATE, 7), one)
+    return F.transform(_everywhere(tagged(sql), AGGREGATE, 7, FREE_AGGREGATE), one)
 
 
 def filters(sql: str = "sql") -> Column:
@@ -342,10 +377,7 @@ def filters(sql: str = "sql") -> Column:
             value.alias("value_pattern"),
         )
 
-    clauses = F.transform(
-        _tail(F.split(F.col(sql), WHERE_SPLIT)), lambda c: F.get(F.split(c, WHERE_END, 2), 0)
-    )
-    return F.transform(F.flatten(F.transform(clauses, lambda c: _matches(c, CONDITION, 12))), one)
+    return F.transform(F.flatten(F.transform(_clauses(sql), lambda c: _matches(c, CONDITION, 12))), one)
 
 
 def formula_columns(formula: Column) -> Column:
@@ -391,7 +423,7 @@ def ratio_metrics(sql: str = "sql") -> Column:
 
 def case_metrics(sql: str = "sql") -> Column:
     """The same fields for every CASE expression that contains SUM, COUNT or AVG."""
-    found = F.filter(_everywhere(tagged(sql), CASE, 5), lambda g: g[1].rlike(HAS_AGGREGATE))
+    found = F.filter(_everywhere(tagged(sql), CASE, 5, FREE_CASE), lambda g: g[1].rlike(HAS_AGGREGATE))
     return F.transform(found, lambda g: _metric(F.when(g[0] != "", _alias(g[4])), g[1], False))
 
 
@@ -504,6 +536,47 @@ def unnested(df: DataFrame, patterns: str) -> DataFrame:
     )
 
 
+def counted(prepared: DataFrame, keep: list[str]) -> DataFrame:
+    """Numbers of patterns of each kind per text, as many as the arrays of ``KINDS`` have entries.
+
+    Brackets are tagged once a text for all kinds, and only where one of them may be; no field of a pattern is made.
+    """
+    sql = F.col("sql")
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+
+    def of_from(segment: Column) -> Column:
+        names = F.transform(_join_pieces(segment), lambda x: _unquoted(F.regexp_extract(_joined(x), rf"^({NAME})", 1)))
+        return F.when(segment.rlike(JOINS), F.size(F.filter(names, lambda x: x != ""))).otherwise(0)
+
+    def of_chain(match: Column) -> Column:
+        flags, body = _flags(DIVISION)
+        factors = _all(F.regexp_replace(match, f"{flags}^{body}$", "$2"), FACTOR)
+        return F.size(F.filter(factors, lambda x: F.trim(x).startswith("/")))
+
+    def of_case(match: Column) -> Column:
+        flags, body = _flags(CASE)
+        return match.rlike(HAS_AGGREGATE) & F.regexp_replace(match, f"{flags}^{body}$", "$2").rlike(HAS_AGGREGATE)
+
+    def where(has: str) -> Column:
+        return F.when(F.col(has), F.col("_tagged")).otherwise("")
+
+    has = {"_aggregates": sql.rlike(AGGREGATES), "_divisions": F.contains(sql, F.lit("/")), "_cases": sql.rlike(r"(?i)\bCASE\b")}
+    rows = prepared.withColumns(has)
+    rows = rows.withColumn("_tagged", F.when(reduce(Column.__or__, map(F.col, has)), tagged()).otherwise(""))
+    return rows.select(
+        *keep, "sql",
+        total(F.transform(_tail(F.split(sql, FROM_SPLIT)), of_from)).alias("joins"),
+        F.size(_places(where("_aggregates"), AGGREGATE, FREE_AGGREGATE)).alias("aggregations"),
+        total(F.transform(_clauses("sql"), lambda c: F.size(_all(c, CONDITION)))).alias("filters"),
+        (
+            total(F.transform(_places(where("_divisions"), DIVISION, FREE_FACTOR), of_chain))
+            + F.size(F.filter(_places(where("_cases"), CASE, FREE_CASE), of_case))
+        ).alias("metrics"),
+    )
+
+
 def complexity(prepared: DataFrame, keep: list[str]) -> DataFrame:
     """Numbers of tables, joins, aggregations, filters and metrics per text."""
     sizes = {name: F.size(make()).alias(name) for name, make in KINDS.items()}
@@ -546,7 +619,7 @@ def top_filter_patterns(found: DataFrame, n: int = 20) -> DataFrame:
 
 def pattern_totals(prepared: DataFrame) -> DataFrame:
     """Patterns of each kind over all texts."""
-    return prepared.agg(*[F.coalesce(F.sum(F.size(make())), F.lit(0)).alias(name) for name, make in KINDS.items()])
+    return counted(prepared, []).agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in KINDS])
 
 
 def first_metrics(prepared: DataFrame, keep: list[str], n: int = 50) -> DataFrame:
