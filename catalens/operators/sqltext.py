@@ -579,8 +579,8 @@ def counted(prepared: DataFrame, keep: list[str]) -> DataFrame:
 
 def complexity(prepared: DataFrame, keep: list[str]) -> DataFrame:
     """Numbers of tables, joins, aggregations, filters and metrics per text."""
-    sizes = {name: F.size(make()).alias(name) for name, make in KINDS.items()}
-    return prepared.select(*keep, F.size(tables_referenced()).alias("tables"), *sizes.values())
+    tables = F.array_distinct(F.transform(_all(F.col("sql"), TABLE_REF, 1), _unquoted))
+    return counted(prepared, keep).select(*keep, F.size(tables).alias("tables"), *KINDS)
 
 
 def parse_errors(objects: DataFrame, keep: list[str], definition: str = "definition") -> DataFrame:

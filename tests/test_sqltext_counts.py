@@ -45,6 +45,6 @@ def test_masked_as_before(spark):
 
 def test_counting_tags_once_and_makes_no_fields(spark):
     rows = st.prepare(spark.createDataFrame([(1, "SELECT 1")], "id int, definition string"))
-    for df in (st.pattern_totals(rows),):
+    for df in (st.complexity(rows, ["id"]), st.pattern_totals(rows)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count(st.BRACKET) == 1 and "value_pattern" not in plan and "columns_used" not in plan
